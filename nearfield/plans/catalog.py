@@ -1,6 +1,821 @@
+"""One query for each operator over whole tables, with its SQL where SQL can express it.
+
+``embeddings`` are the vectors. Queries are those with vec_id under 5, groups are (0, 0) and
+(1, label), deleted are multiples of 7, creation times are a minute apart, and centroids and
+codebooks are fixed rows, so that both engines compute the same.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.functions import encode, metrics
+from nearfield.operators import graph, ivf, knn, merge, pq, topk, train
+from nearfield.sources import readers
+from nearfield.streaming import segments
+
+L2 = metrics.squared_euclidean
+NOW, BORN = 1704067200 + 500 * 60, 1704067200
+FRAGMENTS, WIDTH, CODES, K = 16, 4, 16, 10
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+class T:
+    """The derived tables of a scale."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+        self.base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        self.queries = self.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("v").alias("qv"))
+        self.deleted = self.base.where("vec_id % 7 = 0").select("vec_id")
+        self.centroids = self.base.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("label"), F.col("v").alias("cv"))
+        self.created = F.lit(BORN) + F.col("vec_id") * 60
+
+    @property
+    def codebook(self) -> DataFrame:
+        return pq.fragments(self.base.where(F.col("vec_id") < CODES).select(F.col("vec_id").cast("int").alias("code"), "v"), ["code"], "v", FRAGMENTS, WIDTH).withColumnRenamed("part", "cv")
+
+    def scored(self, metric=L2) -> DataFrame:
+        return knn.scored(self.base, self.queries, metric)
+
+    @property
+    def postings(self) -> DataFrame:
+        return ivf.postings(self.base, self.centroids)
+
+    def probes(self, n: int = 2) -> DataFrame:
+        return ivf.probes(self.queries, self.centroids, n)
+
+
+def _r(c="dist", digits=6):
+    return (F.round(c, digits) + 0.0).alias(c if isinstance(c, str) else "dist")
+
+
+def _s(expr: str, a: str = "qv", b: str = "v") -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: {expr}))"
+
+
+def _l2(a: str = "qv", b: str = "v") -> str:
+    return _s("(p[1] - p[2]) * (p[1] - p[2])", a, b)
+
+
+WITH = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+q AS (SELECT vec_id AS qid, label AS qlabel, v AS qv FROM e WHERE vec_id < 5),
+c AS (SELECT vec_id // 50 AS label, v AS cv FROM e WHERE vec_id % 50 = 0)"""
+D = f", d AS (SELECT qid, qv, vec_id, label, v, {_l2()} AS dist FROM q, e)"
+ASSIGN = f""", a AS (SELECT vec_id, slot, cv FROM (SELECT e.vec_id, c.label AS slot, c.cv, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_l2("cv", "v")}, c.label) AS r FROM e, c) WHERE r = 1)"""
+PROBE = f""", p AS (SELECT qid, qv, slot, pd, cv FROM (SELECT qid, qv, cv, c.label AS slot, {_l2("qv", "cv")} AS pd, row_number() OVER (PARTITION BY qid ORDER BY {_l2("qv", "cv")}, c.label) AS r FROM q, c) WHERE r <= 2)"""
+CODE = f""", cb AS (SELECT f AS frag, vec_id AS code, v[4 * f + 1 : 4 * f + 4] AS cv FROM e, (SELECT unnest(range({FRAGMENTS})) AS f) WHERE vec_id < {CODES}),
+fr AS (SELECT vec_id, f AS frag, v[4 * f + 1 : 4 * f + 4] AS part FROM e, (SELECT unnest(range({FRAGMENTS})) AS f)),
+code AS (SELECT vec_id, frag, code FROM (SELECT vec_id, frag, code, row_number() OVER (PARTITION BY vec_id, frag ORDER BY {_l2("cv", "part")}, code) AS r FROM fr JOIN cb USING (frag)) WHERE r = 1),
+lut AS (SELECT vec_id AS qid, frag, code, {_l2("part", "cv")} AS d FROM fr JOIN cb USING (frag) WHERE vec_id < 5)"""
+ADC = ", adc AS (SELECT qid, vec_id, sum(d) AS dist FROM code JOIN lut USING (frag, code) GROUP BY qid, vec_id)"
+
+
+def _top(table: str, k: int = K, by: str = "qid", key: str = "vec_id", extra: str = "", digits: int = 6) -> str:
+    return f" SELECT {by}, {key}, round(dist, {digits}) + 0.0 AS dist{extra} FROM {table} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY dist, {key}) <= {k}"
+
+
+# Exact neighbours by every metric ---------------------------------------------------------
+
+_MEANS = "(list_sum(qv) / len(qv)) AS mq, (list_sum(v) / len(v)) AS mv"
+_NORM = "(sqrt(" + _s("p[1] * p[1]", "qv", "qv") + ") * sqrt(" + _s("p[1] * p[1]", "v", "v") + "))"
+_CORR = f"1 - {_s('(p[1] - mq) * (p[2] - mv)')} / (sqrt({_s('(p[1] - mq) * (p[1] - mq)')}) * sqrt({_s('(p[2] - mv) * (p[2] - mv)')}))"
+_NSQ = f"{_s('((p[1] - mq) - (p[2] - mv)) * ((p[1] - mq) - (p[2] - mv))')} / ({_s('(p[1] - mq) * (p[1] - mq)')} + {_s('(p[2] - mv) * (p[2] - mv)')}) / 2"
+_METRICS = {
+    "knn_l2": ("squared_euclidean", _l2()),
+    "knn_euclid": ("euclidean", f"sqrt({_l2()})"),
+    "knn_ip": ("inner_product", "-" + _s("p[1] * p[2]")),
+    "knn_cosine": ("cosine", f"1 - {_s('p[1] * p[2]')} / {_NORM}"),
+    "knn_manhattan": ("manhattan", _s("abs(p[1] - p[2])")),
+    "knn_chebyshev": ("chebyshev", _s("abs(p[1] - p[2])").replace("list_sum", "list_max")),
+    "knn_chessboard": ("chessboard", _s("abs(p[1] - p[2])").replace("list_sum", "list_max")),
+    "knn_canberra": ("canberra", _s("CASE WHEN abs(p[1]) + abs(p[2]) = 0 THEN 0 ELSE abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) END")),
+    "knn_braycurtis": ("bray_curtis", f"{_s('abs(p[1] - p[2])')} / {_s('abs(p[1] + p[2])')}"),
+    "knn_correlation": ("correlation", _CORR),
+    "knn_norm_l2": ("normalized_squared_euclidean", _NSQ),
+    "knn_norm_euclid": ("normalized_euclidean", f"sqrt({_NSQ})"),
+    "knn_equal": ("equality", "CASE WHEN qv = v THEN 0.0 ELSE 1.0 END::DOUBLE"),
+}
+for _name, (_metric, _expr) in _METRICS.items():
+
+    @query(_name, f"{WITH}, m AS (SELECT qid, qv, vec_id, v, {_MEANS} FROM q, e), d AS (SELECT qid, vec_id, {_expr} AS dist FROM m){_top('d')}")
+    def _(spark, sf_dir, metric=_metric):
+        t = T(spark, sf_dir)
+        return knn.exact(t.base, t.queries, K, metric).select("qid", "vec_id", _r())
+
+
+for _name, _metric in (("knn_half_l2", "half_squared_euclidean"), ("knn_half_ip", "half_inner_product")):
+
+    @query(_name)
+    def _(spark, sf_dir, metric=_metric):
+        t = T(spark, sf_dir)
+        return knn.exact(t.base, t.queries, K, metric).select("qid", "vec_id", _r())
+
+
+for _name, _kind in (("knn_int8_l2", "tinyint"), ("knn_int16_l2", "smallint")):
+    _scale = 127 if _kind == "tinyint" else 32767
+
+    @query(_name, f"{WITH}, i AS (SELECT vec_id, list_transform(v, lambda x: floor(x * {_scale} + 0.5)) AS v FROM e), d AS (SELECT x.vec_id AS qid, y.vec_id, {_l2('x.v', 'y.v')} AS dist FROM i x, i y WHERE x.vec_id < 5){_top('d')}")
+    def _(spark, sf_dir, kind=_kind, scale=_scale):
+        t = T(spark, sf_dir)
+        base = t.base.select("vec_id", encode.quantized(F.col("v"), scale, kind).alias("v"))
+        return knn.exact(base, base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), K).select("qid", "vec_id", _r())
+
+
+@query("knn_weighted_l2", f"{WITH}, w AS (SELECT v AS w FROM e WHERE vec_id = 5), d AS (SELECT qid, vec_id, list_sum(list_transform(list_zip(qv, v, w), lambda p: abs(p[3]) * (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM q, e, w){_top('d')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    w = t.base.where("vec_id = 5").select(F.transform("v", lambda x: F.abs(x)).alias("w"))
+    found = t.base.crossJoin(t.queries.crossJoin(w)).withColumn("dist", metrics.weighted_squared_euclidean(F.col("qv"), F.col("v"), F.col("w")))
+    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("exact_topk_sweep", f"{WITH}{D}" + " UNION ALL ".join(f" SELECT {k} AS k, qid, vec_id, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d) WHERE r <= {k}" for k in (1, 10, 50)))
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = knn.exact(t.base, t.queries, 50)
+    return found.withColumn("k", F.explode(F.array(F.lit(1), F.lit(10), F.lit(50)))).where("rk <= k").select("k", "qid", "vec_id", _r())
+
+
+# Binary metrics ---------------------------------------------------------------------------
+
+_BIN = {
+    "bin_hamming": ("hamming", "h"),
+    "bin_jaccard": ("jaccard", "CASE WHEN n11 + h = 0 THEN 0 ELSE h / (n11 + h) END"),
+    "bin_matching": ("matching", "h / 64"),
+    "bin_dice": ("dice", "CASE WHEN 2 * n11 + h = 0 THEN 0 ELSE h / (2 * n11 + h) END"),
+    "bin_rogers": ("rogers_tanimoto", "2 * h / (64 + h)"),
+    "bin_russellrao": ("russell_rao", "(64 - n11) / 64"),
+    "bin_sokalmichener": ("sokal_michener", "h / 64"),
+    "bin_sokalsneath": ("sokal_sneath", "CASE WHEN n11 + 2 * h = 0 THEN 0 ELSE 2 * h / (n11 + 2 * h) END"),
+    "bin_yule": ("yule", "CASE WHEN n11 * n00 + n10 * n01 = 0 THEN 0 ELSE 2 * n10 * n01 / (n11 * n00 + n10 * n01) END"),
+}
+_CELLS = ", b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS b FROM e), m AS (SELECT x.vec_id AS qid, y.vec_id, " + ", ".join(f"{_s(f, 'x.b', 'y.b')} AS {n}" for n, f in (("n11", "p[1] * p[2]"), ("n10", "p[1] * (1 - p[2])"), ("n01", "(1 - p[1]) * p[2]"), ("n00", "(1 - p[1]) * (1 - p[2])"), ("h", "abs(p[1] - p[2])"))) + " FROM b x, b y WHERE x.vec_id < 5)"
+for _name, (_metric, _expr) in _BIN.items():
+
+    @query(_name, f"{WITH}{_CELLS}, d AS (SELECT qid, vec_id, ({_expr})::DOUBLE AS dist FROM m){_top('d')}")
+    def _(spark, sf_dir, metric=_metric):
+        t = T(spark, sf_dir)
+        bits = metrics.pack_bits(encode.sign_bits(F.col("v")))
+        found = t.base.select("vec_id", bits.alias("b")).crossJoin(t.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), bits.alias("qb")))
+        found = found.withColumn("dist", metrics.BINARY[metric](F.col("qb"), F.col("b"), 64))
+        return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("bitmap_ops", f"{WITH}{_CELLS} SELECT qid, sum(n11)::BIGINT AS both_bits, sum(n11 + h)::BIGINT AS either_bits, sum(h)::BIGINT AS differing_bits, sum(n10)::BIGINT AS left_only_bits FROM m GROUP BY qid")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    bits = metrics.pack_bits(encode.sign_bits(F.col("v")))
+    met = t.base.select(bits.alias("b")).crossJoin(t.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), bits.alias("qb")))
+    count = lambda f: F.sum(F.aggregate(F.zip_with("qb", "b", lambda x, y: F.bit_count(f(x, y))), F.lit(0), lambda s, x: s + x)).cast("long")
+    return met.groupBy("qid").agg(count(lambda x, y: x.bitwiseAND(y)).alias("both_bits"), count(lambda x, y: x.bitwiseOR(y)).alias("either_bits"), count(lambda x, y: x.bitwiseXOR(y)).alias("differing_bits"), count(lambda x, y: x.bitwiseAND(F.bitwise_not(y))).alias("left_only_bits"))
+
+
+# Composite metrics ------------------------------------------------------------------------
+
+_PART = 16
+_PERM = "list_sum(list_transform(range(4), lambda i: list_min(list_transform(range(4), lambda j: " + _l2("qv[16 * i + 1 : 16 * i + 16]", "v[16 * j + 1 : 16 * j + 16]") + "))))"
+_CT = _l2("qv[1:16]", "v[1:16]") + " * " + _l2("qv[17:32]", "v[17:32]")
+
+
+@query("m_permutation", f"{WITH}, d AS (SELECT qid, vec_id, {_PERM} AS dist FROM q, e){_top('d')}")
+def _(spark, sf_dir):
+    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: metrics.permutation(q, v, _PART)), K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("m_ctcvr", f"{WITH}, d AS (SELECT qid, vec_id, {_CT} AS dist FROM q, e){_top('d')}")
+def _(spark, sf_dir):
+    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: metrics.product_of_parts(q, v, _PART)), K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("m_simple", f"{WITH}, d AS (SELECT qid, vec_id, {_l2('qv[1:32]', 'v[1:32]')} AS dist FROM q, e){_top('d')}")
+def _(spark, sf_dir):
+    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: L2(F.slice(q, 1, 32), F.slice(v, 1, 32))), K, ["qid"]).select("qid", "vec_id", _r())
+
+
+def _recall_rank(found: DataFrame) -> DataFrame:
+    """The K best by the recall score, with their rank score."""
+    return topk.top_k(found.withColumn("dist", F.col("recall")), K, ["qid"]).select("qid", "vec_id", _r("dist"), _r("rank"))
+
+
+def _rank_sql(recall: str, rank: str) -> str:
+    return f"{WITH}, d AS (SELECT qid, vec_id, {recall} AS dist, {rank} AS rank FROM q, e){_top('d', extra=', round(rank, 6) + 0.0 AS rank')}"
+
+
+@query("m_mobius", _rank_sql(_l2("qv[1:32]", "v[1:32]"), _l2("qv[33:64]", "v[1:32]")))
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    recall, rank = metrics.mobius(F.col("qv"), F.slice("v", 1, 32), 32, 32)
+    return _recall_rank(t.base.crossJoin(t.queries).withColumns({"recall": recall, "rank": rank}))
+
+
+@query("m_relcvr", _rank_sql(_PERM, _l2("qv[1:16]", "v[1:16]")))
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    recall, rank = metrics.relevance(F.col("qv"), F.col("v"), _PART)
+    return _recall_rank(t.base.crossJoin(t.queries).withColumns({"recall": recall, "rank": rank}))
+
+
+@query("m_multi_min", f"{WITH}{D}, m AS (SELECT label, qid, min(dist) AS d FROM d GROUP BY label, qid) SELECT label, round(sum(d), 6) AS dist FROM m GROUP BY label")
+def _(spark, sf_dir):
+    m = T(spark, sf_dir).scored().groupBy("label", "qid").agg(F.min("dist").alias("d"))
+    return m.groupBy("label").agg(F.round(F.sum("d"), 6).alias("dist"))
+
+
+@query("m_normalizer", f"{WITH}, d AS (SELECT qid, vec_id, 1 - {_s('p[1] * p[2]')} / {_NORM} AS dist FROM q, e) SELECT qid, vec_id, round(1 - dist, 6) + 0.0 AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 10")
+def _(spark, sf_dir):
+    """Distances turned back into similarities."""
+    t = T(spark, sf_dir)
+    return knn.exact(t.base, t.queries, K, "cosine").select("qid", "vec_id", (F.round(1 - F.col("dist"), 6) + 0.0).alias("score"))
+
+
+# Filters ----------------------------------------------------------------------------------
+
+
+@query("f_delete_pre", f"{WITH}{D}, l AS (SELECT * FROM d WHERE vec_id % 7 <> 0){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.exact(t.base.join(t.deleted, "vec_id", "left_anti"), t.queries, K).select("qid", "vec_id", _r())
+
+
+@query("f_delete_post", f"{WITH}{D}, k AS ({_top('d')}) SELECT * FROM k WHERE vec_id % 7 <> 0")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.exact(t.base, t.queries, K).join(t.deleted, "vec_id", "left_anti").select("qid", "vec_id", _r())
+
+
+@query("f_filter", f"{WITH}{D}, l AS (SELECT * FROM d WHERE NOT (vec_id % 3 = 1)){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    reject = F.col("vec_id") % 3 == 1
+    return knn.exact(t.base.where(~reject), t.queries, K).select("qid", "vec_id", _r())
+
+
+@query("f_feeder", f"{WITH}{D}, l AS (SELECT * FROM d WHERE vec_id IN (SELECT DISTINCT o_custkey FROM orders)){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("vec_id"))
+    return knn.exact(t.base.join(keys, "vec_id", "left_semi"), t.queries, K).select("qid", "vec_id", _r())
+
+
+@query("f_docfeeder", f"{WITH}{D}, l AS (SELECT *, count(*) OVER (PARTITION BY qid) AS visited FROM d WHERE vec_id IN (SELECT s_suppkey FROM supplier)){_top('l', extra=', visited')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("vec_id")).distinct()
+    fed = t.base.join(ids, "vec_id", "left_semi")
+    return knn.exact(fed, t.queries, K).crossJoin(fed.agg(F.count("*").alias("visited"))).select("qid", "vec_id", _r(), "visited")
+
+
+@query("f_category", f"{WITH}{D}, l AS (SELECT * FROM d WHERE label = 3){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.exact(t.base.where("label = 3"), t.queries, K).select("qid", "vec_id", _r())
+
+
+@query("f_visit_limit", f"{WITH}{ASSIGN}, n AS (SELECT slot, count(*) AS n FROM a GROUP BY slot), v AS (SELECT slot, n, sum(n) OVER (ORDER BY slot) AS visited FROM n) SELECT slot, n, visited::BIGINT AS visited FROM v WHERE visited < 300")
+def _(spark, sf_dir):
+    n = knn.nearest_label(T(spark, sf_dir).base, T(spark, sf_dir).centroids).groupBy("slot").agg(F.count("*").alias("n"))
+    return topk.visit_limit(n.withColumn("one", F.lit(1)), ["one"], "slot", "n", 300).select("slot", "n", "visited")
+
+
+# Quotas -----------------------------------------------------------------------------------
+
+_WANTED = [(0, 0, 0, 4), (1, 3, 1, 3), (1, 7, 2, 5), (9, 9, 3, 2)]
+_GROUPS = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("id")), F.struct(F.lit(1).alias("level"), F.col("label").cast("int").alias("id")))
+_WANTED_SQL = ", w(level, id, pool_id, k) AS (VALUES (0, 0, 0, 4), (1, 3, 1, 3), (1, 7, 2, 5), (9, 9, 3, 2)), g AS (SELECT vec_id, v, 0 AS level, 0 AS id FROM e UNION ALL SELECT vec_id, v, 1, label FROM e)"
+_QUOTA = f", m AS (SELECT qid, pool_id, vec_id, k, {_l2()} AS dist FROM q, w JOIN g USING (level, id)), h AS (SELECT qid, pool_id, vec_id, dist FROM m QUALIFY row_number() OVER (PARTITION BY qid, pool_id ORDER BY dist, vec_id) <= k)"
+
+
+def _quota(spark, sf_dir) -> DataFrame:
+    t = T(spark, sf_dir)
+    wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
+    return ivf.group_search(ivf.group_entries(t.base, _GROUPS), wanted, 5)
+
+
+@query("topk_group_quota", f"{WITH}{_WANTED_SQL}{_QUOTA} SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM h")
+def _(spark, sf_dir):
+    return _quota(spark, sf_dir).select("qid", "pool_id", "vec_id", _r())
+
+
+@query("topk_dedupe", f"{WITH}{_WANTED_SQL}{_QUOTA} SELECT qid, vec_id, round(min(dist), 6) + 0.0 AS dist, min(pool_id) AS pool_id FROM h GROUP BY qid, vec_id")
+def _(spark, sf_dir):
+    return topk.dedupe(_quota(spark, sf_dir), ["qid"]).select("qid", "vec_id", _r(), "pool_id")
+
+
+@query("topk_global_quota", f"{WITH}{_WANTED_SQL}, m AS (SELECT qid, pool_id, vec_id, {_l2()} AS dist FROM q, w JOIN g USING (level, id)) SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id, pool_id) <= 8")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
+    return ivf.global_quota(ivf.group_entries(t.base, _GROUPS), wanted, 8).select("qid", "pool_id", "vec_id", _r())
+
+
+@query("topk_fill_left", f"{WITH}{D}, h AS ({_top('(SELECT * FROM d WHERE label = 3)', 3)}), r AS (SELECT qid, vec_id, round(dist, 6) + 0.0 AS dist FROM (SELECT d.*, row_number() OVER (PARTITION BY d.qid ORDER BY d.dist, d.vec_id) AS r FROM d ANTI JOIN h USING (qid, vec_id)) WHERE r <= 5) SELECT * FROM h UNION ALL SELECT * FROM r")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = topk.top_k(t.scored().where("label = 3"), 3, ["qid"])
+    return topk.fill_left(found, t.scored(), 8, ["qid"]).select("qid", "vec_id", _r())
+
+
+_AGES = [(1800, 3), (3600, 4), (20000, 5)]
+
+
+@query("topk_age_quota", f"{WITH}{D}, a AS (SELECT *, {NOW} - ({BORN} + vec_id * 60) AS age FROM d), b AS (SELECT *, CASE WHEN age BETWEEN 0 AND 1800 THEN 0 WHEN age BETWEEN 0 AND 5400 THEN 1 WHEN age BETWEEN 0 AND 20000 THEN 2 END AS pool_id FROM a) SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM b WHERE pool_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid, pool_id ORDER BY dist, vec_id) <= pool_id + 3")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return topk.age_quota(t.scored(), F.lit(NOW), t.created, _AGES, ["qid"]).select("qid", "pool_id", "vec_id", _r())
+
+
+@query("multi_query", f"{WITH}, w(i, label, k) AS (VALUES (0, 1, 3), (1, 4, 2), (2, 8, 4)), d AS (SELECT i AS pool_id, k, e.vec_id, {_l2()} AS dist FROM w JOIN q ON q.qid = w.i JOIN e ON e.label = w.label) SELECT pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pool_id ORDER BY dist, vec_id) <= k")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    w = spark.createDataFrame([(0, 1, 1, 3), (1, 4, 1, 2), (2, 8, 1, 4)], "pool_id int, id int, level int, k int")
+    wanted = w.join(t.queries, F.col("pool_id") == F.col("qid"))
+    return ivf.group_search(ivf.group_entries(t.base, _GROUPS), wanted, 4).select("pool_id", "vec_id", _r())
+
+
+# Inverted files ---------------------------------------------------------------------------
+
+
+@query("ivf_assign", f"{WITH}{ASSIGN} SELECT vec_id, slot::BIGINT AS slot FROM a")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.nearest_label(t.base, t.centroids).select("vec_id", "slot")
+
+
+_LEVELS = f", ro AS (SELECT label, cv FROM c WHERE label < 5), fi AS (SELECT (vec_id // 20) % 5 AS parent, vec_id // 20 AS label, v AS cv FROM e WHERE vec_id % 20 = 0)"
+
+
+def _levels(t: T):
+    fine = t.base.where("vec_id % 20 = 0").select(F.expr("(vec_id div 20) % 5").alias("parent"), F.expr("vec_id div 20").alias("label"), F.col("v").alias("cv"))
+    return t.centroids.where("label < 5"), fine
+
+
+@query("ivf_assign_2level", f"{WITH}{_LEVELS}, f AS (SELECT vec_id, v, label AS parent FROM (SELECT vec_id, v, ro.label, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('ro.cv', 'v')}, ro.label) AS r FROM e, ro) WHERE r <= 2) SELECT vec_id, label FROM (SELECT vec_id, fi.label, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('fi.cv', 'v')}, fi.label) AS r FROM f JOIN fi USING (parent)) WHERE r = 1")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ivf.two_level(t.base, *_levels(t), beam=2)
+
+
+@query("ivf_probe", f"{WITH}{PROBE} SELECT qid, slot::BIGINT AS slot, round(pd, 6) + 0.0 AS dist FROM p")
+def _(spark, sf_dir):
+    return T(spark, sf_dir).probes().select("qid", "slot", _r(F.col("probe_dist")))
+
+
+@query("ivf_candidates", f"{WITH}{ASSIGN}{PROBE} SELECT qid, vec_id, 0.0::DOUBLE AS score FROM p JOIN a USING (slot)")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ivf.candidates(t.probes(), t.postings).select("qid", "vec_id", F.lit(0.0).alias("score"))
+
+
+_IVF = f"{WITH}{ASSIGN}{PROBE}, d AS (SELECT qid, vec_id, label, {_l2()} AS dist FROM p JOIN a USING (slot) JOIN e USING (vec_id))"
+
+
+@query("ivf_flat", f"{_IVF}{_top('d')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ivf.search(t.probes(), t.postings, K).select("qid", "vec_id", _r())
+
+
+@query("posting_length", f"{WITH}{ASSIGN} SELECT slot::BIGINT AS slot, count(*) AS n FROM a GROUP BY slot")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.nearest_label(t.base, t.centroids).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+@query("group_ivf", f"{_IVF}, l AS (SELECT * FROM d WHERE label IN (3, 7) AND vec_id % 7 <> 0) SELECT qid, label, vec_id, round(dist, 6) + 0.0 AS dist FROM l QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY dist, vec_id) <= 3")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = ivf.candidates(t.probes(), t.postings.where("label in (3, 7)").join(t.deleted, "vec_id", "left_anti")).withColumn("dist", L2(F.col("qv"), F.col("v")))
+    return topk.top_k(found, 3, ["qid", "label"]).select("qid", "label", "vec_id", _r())
+
+
+@query("group_ivf_two_stage", f"{WITH}{_LEVELS}, rp AS (SELECT qid, qv, label AS parent FROM (SELECT qid, qv, ro.label, row_number() OVER (PARTITION BY qid ORDER BY {_l2('qv', 'ro.cv')}, ro.label) AS r FROM q, ro) WHERE r <= 2), fp AS (SELECT qid, qv, slot FROM (SELECT qid, qv, fi.label AS slot, row_number() OVER (PARTITION BY qid ORDER BY {_l2('qv', 'fi.cv')}, fi.label) AS r, count(*) OVER (PARTITION BY qid) AS n FROM rp JOIN fi USING (parent)) WHERE r <= greatest(floor(n * 0.4 + 1e-9), 1)), fa AS (SELECT vec_id, v, slot FROM (SELECT vec_id, v, fi.label AS slot, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('fi.cv', 'v')}, fi.label) AS r FROM e, fi) WHERE r = 1), d AS (SELECT qid, vec_id, {_l2()} AS dist FROM fp JOIN fa USING (slot)){_top('d')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    rough, fine = _levels(t)
+    return ivf.search(ivf.two_stage_probes(t.queries, rough, fine, 2, 0.4), ivf.postings(t.base, fine.select("label", "cv")), K).select("qid", "vec_id", _r())
+
+
+@query("cat_flat", f"{WITH}{D}, l AS (SELECT d.* FROM d JOIN q USING (qid) WHERE d.label = q.qlabel){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = t.base.join(t.queries, F.col("label") == F.col("qlabel")).withColumn("dist", L2(F.col("qv"), F.col("v")))
+    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("cat_ivf", f"{_IVF}, l AS (SELECT * FROM d WHERE label = 3){_top('l', extra=', label AS category')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return ivf.search(t.probes(), t.postings.where("label = 3"), K).select("qid", "vec_id", _r(), F.col("label").alias("category"))
+
+
+@query("multi_category", f"{WITH}, g AS (SELECT vec_id, v, label AS cat FROM e UNION ALL SELECT vec_id, v, 100 + vec_id % 4 FROM e), d AS (SELECT qid, cat, vec_id, {_l2()} AS dist FROM q, g WHERE cat IN (2, 101)) SELECT qid, cat, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY row_number() OVER (PARTITION BY qid, cat ORDER BY dist, vec_id) <= 4")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    cats = t.base.withColumn("cat", F.explode(F.array(F.col("label").cast("long"), F.lit(100) + F.col("vec_id") % 4))).where("cat in (2, 101)")
+    found = cats.crossJoin(t.queries).withColumn("dist", L2(F.col("qv"), F.col("v")))
+    return topk.top_k(found, 4, ["qid", "cat"]).select("qid", F.col("cat").cast("int").alias("cat"), "vec_id", _r())
+
+
+# Product quantisation ---------------------------------------------------------------------
+
+
+@query("pq_encode", f"{WITH}{CODE} SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY frag) AS codes FROM code GROUP BY vec_id")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH).select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+@query("pq_lut", f"{WITH}{CODE} SELECT qid, frag::INT AS frag, code::INT AS code, round(d, 6) + 0.0 AS dist FROM lut")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH).select("qid", "frag", "code", _r(F.col("d")))
+
+
+def _adc(t: T) -> DataFrame:
+    codes = pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH)
+    return codes.crossJoin(F.broadcast(pq.tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"]))).withColumn("dist", pq.from_codes(F.col("codes"), F.col("lut")))
+
+
+_ADC_ROUND = ", ar AS (SELECT qid, vec_id, round(dist, 9) AS dist FROM adc)"
+
+
+def _adc_top(t: T, k: int) -> DataFrame:
+    return topk.top_k(_adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")), k, ["qid"])
+
+
+@query("pq_adc", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{_top('ar')}")
+def _(spark, sf_dir):
+    return _adc_top(T(spark, sf_dir), K).select("qid", "vec_id", _r())
+
+
+@query("ivfpq_candidates", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{ASSIGN}{PROBE}, l AS (SELECT ar.* FROM ar JOIN a USING (vec_id) JOIN p ON p.qid = ar.qid AND p.slot = a.slot), k AS ({_top('l', 20)}) SELECT qid, vec_id, 0.0::DOUBLE AS score FROM k")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    probed = ivf.candidates(t.probes().select("qid", "slot"), knn.nearest_label(t.base, t.centroids).select("vec_id", "slot"))
+    found = _adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")).join(probed, ["qid", "vec_id"], "left_semi")
+    return topk.top_k(found, 20, ["qid"]).select("qid", "vec_id", F.lit(0.0).alias("score"))
+
+
+@query("ivfpq_refine", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{D}, k AS ({_top('ar', 40)}), r AS (SELECT d.* FROM d JOIN k USING (qid, vec_id)){_top('r')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return pq.refine(_adc_top(t, 40), t.base, t.queries, K).select("qid", "vec_id", _r())
+
+
+@query("group_ivfpq", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{D}, l AS (SELECT ar.qid, ar.vec_id, ar.dist, e.label FROM ar JOIN e USING (vec_id) WHERE e.label IN (3, 7)), k AS (SELECT qid, vec_id, label FROM l QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY dist, vec_id) <= 4) SELECT k.qid, k.label, k.vec_id, round(d.dist, 6) + 0.0 AS dist FROM k JOIN d USING (qid, vec_id)")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    near = _adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")).join(t.base.where("label in (3, 7)").select("vec_id", "label"), "vec_id")
+    near = topk.top_k(near, 4, ["qid", "label"]).select("qid", "label", "vec_id")
+    return near.join(t.base.select("vec_id", "v"), "vec_id").join(t.queries, "qid").select("qid", "label", "vec_id", _r(L2(F.col("qv"), F.col("v"))))
+
+
+_RES = f""", rb AS (SELECT vec_id, slot, list_transform(list_zip(v, cv), lambda p: p[1] - p[2]) AS rv FROM e JOIN a USING (vec_id)),
+rf AS (SELECT vec_id, slot, f AS frag, rv[4 * f + 1 : 4 * f + 4] AS part FROM rb, (SELECT unnest(range(16)) AS f)),
+rc AS (SELECT f AS frag, vec_id AS code, rv[4 * f + 1 : 4 * f + 4] AS cv FROM rb, (SELECT unnest(range(16)) AS f) WHERE vec_id < 16),
+rk AS (SELECT vec_id, slot, frag, code FROM (SELECT vec_id, slot, frag, code, row_number() OVER (PARTITION BY vec_id, frag ORDER BY {_l2("cv", "part")}, code) AS r FROM rf JOIN rc USING (frag)) WHERE r = 1),
+rq AS (SELECT qid, slot, list_transform(list_zip(qv, cv), lambda p: p[1] - p[2]) AS rv FROM p),
+rl AS (SELECT qid, slot, frag, code, {_l2("rv[4 * frag + 1 : 4 * frag + 4]", "cv")} AS d FROM rq, rc),
+rd AS (SELECT qid, vec_id, round(sum(d), 9) AS dist FROM rk JOIN rl USING (slot, frag, code) GROUP BY qid, vec_id)"""
+
+
+def _residual(t: T):
+    own = t.postings.join(t.centroids.withColumnRenamed("label", "slot"), "slot").select("vec_id", "slot", encode.residual(F.col("v"), F.col("cv")).alias("v"))
+    book = pq.fragments(own.where(F.col("vec_id") < CODES).select(F.col("vec_id").cast("int").alias("code"), "v"), ["code"], "v", FRAGMENTS, WIDTH).withColumnRenamed("part", "cv")
+    return own, book
+
+
+@query("residual_pq", f"{WITH}{ASSIGN}{PROBE}{_RES}{_top('rd')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    own, book = _residual(t)
+    codes = pq.codes(own, book, FRAGMENTS, WIDTH).join(own.select("vec_id", "slot"), "vec_id")
+    q = t.probes().select("qid", "slot", encode.residual(F.col("qv"), F.col("cv")).alias("qv"))
+    lut = pq.tables(pq.lookup(q, book, FRAGMENTS, WIDTH, ["qid", "slot"]), ["qid", "slot"])
+    found = codes.join(lut, "slot").select("qid", "vec_id", F.round(pq.from_codes(F.col("codes"), F.col("lut")), 9).alias("dist"))
+    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+
+
+@query("rpq_terms", f"{WITH}{ASSIGN}{PROBE}{_RES}{_top('rd', digits=5)}")
+def _(spark, sf_dir):
+    """|q - C|^2 + (|y|^2 + 2 C.y) - 2 q.y: the middle term is made when the index is built."""
+    t = T(spark, sf_dir)
+    own, book = _residual(t)
+    dot = lambda a, b: -metrics.inner_product(F.col(a), F.col(b))
+    codes = pq.codes(own, book, FRAGMENTS, WIDTH).join(own.select("vec_id", "slot"), "vec_id")
+    built = pq.fragments(t.centroids.withColumnRenamed("label", "slot"), ["slot"], "cv", FRAGMENTS, WIDTH).withColumnRenamed("part", "ccv").join(book, "frag").select("slot", "frag", "code", (dot("cv", "cv") + 2 * dot("ccv", "cv")).alias("d"))
+    asked = pq.lookup(t.queries, book, FRAGMENTS, WIDTH, metric=metrics.inner_product)
+    terms = pq.tables(built, ["slot"]).withColumnRenamed("lut", "terms")
+    found = codes.join(terms, "slot").join(t.probes().select("qid", "slot", "probe_dist"), "slot").join(pq.tables(asked, ["qid"]), "qid")
+    dist = F.col("probe_dist") + pq.from_codes(F.col("codes"), F.col("terms")) + 2 * pq.from_codes(F.col("codes"), F.col("lut"))
+    return topk.top_k(found.select("qid", "vec_id", F.round(dist, 9).alias("dist")), K, ["qid"]).select("qid", "vec_id", _r(digits=5))
+
+
+_FAST = ", sp AS (SELECT qid, frag, min(d) AS lo, max(d) AS hi FROM lut GROUP BY qid, frag), sc AS (SELECT qid, least(255.0 / max(hi - lo), 65535.0 / sum(hi - lo)) AS a, sum(lo) AS b FROM sp GROUP BY qid), ql AS (SELECT qid, frag, code, floor((d - lo) * a)::INT AS d, a, b FROM lut JOIN sp USING (qid, frag) JOIN sc USING (qid))"
+
+
+@query("fastscan_lut", f"{WITH}{CODE}{_FAST} SELECT qid, frag::INT AS frag, code::INT AS code, d AS q, round(a, 6) AS a, round(b, 6) AS b FROM ql")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    fast = pq.fast_scan_tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"])
+    return fast.select("qid", "frag", "code", F.col("d").alias("q"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+@query("fastscan_scan", f"{WITH}{CODE}{_FAST}, fd AS (SELECT qid, vec_id, round(sum(d) / any_value(a) + any_value(b), 9) AS dist FROM code JOIN ql USING (frag, code) GROUP BY qid, vec_id){_top('fd')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    fast = pq.fast_scan_tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"]).persist()
+    codes = pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH)
+    lut = pq.tables(fast, ["qid"]).join(fast.groupBy("qid").agg(F.first("a").alias("a"), F.first("b").alias("b")), "qid")
+    found = codes.crossJoin(F.broadcast(lut)).select("qid", "vec_id", F.round(pq.from_codes(F.col("codes"), F.col("lut")) / F.col("a") + F.col("b"), 9).alias("dist"))
+    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+
+
+_RANGE = ", r AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM e)"
+
+
+@query("sq8_range", f"{WITH}{_RANGE} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM r")
+def _(spark, sf_dir):
+    return T(spark, sf_dir).base.agg(F.round(F.min(F.array_min("v")), 6).alias("lo"), F.round(F.max(F.array_max("v")), 6).alias("hi"))
+
+
+@query("sq8_roundtrip", f"{WITH}{_RANGE}, s AS (SELECT vec_id, v, list_transform(v, lambda x: floor(least(greatest((x - lo) / (hi - lo), 0), 1) * 255)) AS s, lo, hi FROM e, r) SELECT vec_id, list_sum(s)::BIGINT AS code_sum, round(list_sum(list_transform(s, lambda x: lo + (x + 0.5) / 255 * (hi - lo))), 6) + 0.0 AS decoded_sum FROM s")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    r = t.base.agg(F.min(F.array_min("v")).alias("lo"), F.max(F.array_max("v")).alias("hi"))
+    s = t.base.crossJoin(F.broadcast(r)).withColumn("s", encode.sq8_encode(F.col("v"), F.col("lo"), F.col("hi")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return s.select("vec_id", total(F.transform("s", lambda x: x.cast("double"))).cast("long").alias("code_sum"), (F.round(total(encode.sq8_decode(F.col("s"), F.col("lo"), F.col("hi"))), 6) + 0.0).alias("decoded_sum"))
+
+
+# Inner products as distances ---------------------------------------------------------------
+
+_N2 = _s("p[1] * p[1]", "v", "v")
+_LONGEST = f", n AS (SELECT max(sqrt({_N2})) AS longest FROM e)"
+
+
+@query("max_norm", f"{WITH}{_LONGEST} SELECT round(longest, 6) AS longest FROM n")
+def _(spark, sf_dir):
+    return T(spark, sf_dir).base.agg(F.round(F.max(F.sqrt(encode.norm2(F.col("v")))), 6).alias("longest"))
+
+
+def _longest(t: T) -> DataFrame:
+    return t.base.crossJoin(F.broadcast(t.base.agg(F.max(F.sqrt(encode.norm2(F.col("v")))).alias("longest"))))
+
+
+@query("mips_transform", f"{WITH}{_LONGEST}, s AS (SELECT vec_id, list_transform(v, lambda x: x * (0.38 / longest)) AS v FROM e, n), m AS (SELECT vec_id, {_N2} AS n2, v FROM s) SELECT vec_id, round(list_sum(v), 6) + 0.0 AS head, round(0.5 - n2, 6) + 0.0 AS t1, round(0.5 - n2 * n2, 6) + 0.0 AS t2, round(0.5 - (n2 * n2) * (n2 * n2), 6) + 0.0 AS t3 FROM m")
+def _(spark, sf_dir):
+    m = _longest(T(spark, sf_dir)).select("vec_id", encode.mips_document(F.col("v"), F.col("longest"), 3, 0.38).alias("m"))
+    head = F.aggregate(F.slice("m", 1, 64), F.lit(0.0), lambda s, x: s + x)
+    return m.select("vec_id", (F.round(head, 6) + 0.0).alias("head"), *((F.round(F.get("m", F.lit(63 + i)), 6) + 0.0).alias(f"t{i}") for i in (1, 2, 3)))
+
+
+@query("mips_extra_dim", f"{WITH}{_LONGEST} SELECT vec_id, round(sqrt(greatest(longest * longest - {_N2}, 0)), 4) + 0.0 AS extra FROM e, n")
+def _(spark, sf_dir):
+    return _longest(T(spark, sf_dir)).select("vec_id", (F.round(encode.mips_extra(F.col("v"), F.col("longest")), 4) + 0.0).alias("extra"))
+
+
+@query("rank_score", f"{WITH} SELECT vec_id, round(ln(label + 1) + ln(vec_id % 9 + 1), 6) AS score FROM e")
+def _(spark, sf_dir):
+    group = lambda level, i: F.struct(F.lit(level).alias("level"), i.cast("int").alias("id"))
+    return T(spark, sf_dir).base.select("vec_id", F.round(encode.rank_score(F.array(group(0, F.lit(0)), group(1, F.col("label")), group(1, F.col("vec_id") % 9)), 1), 6).alias("score"))
+
+
+@query("note_time", f"{WITH}, n AS (SELECT vec_id, printf('%08x', {BORN} + vec_id * 60) || CASE WHEN vec_id % 5 = 0 THEN 'x' ELSE '0123456789abcdef' END AS note FROM e) SELECT vec_id, CASE WHEN length(note) = 24 THEN {BORN} + vec_id * 60 END AS seconds FROM n")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    note = F.concat(F.lower(F.lpad(F.hex(t.created), 8, "0")), F.when(F.col("vec_id") % 5 == 0, "x").otherwise("0123456789abcdef"))
+    return t.base.select("vec_id", encode.note_seconds(note).alias("seconds"))
+
+
+# Aggregates and training --------------------------------------------------------------------
+
+_POS = ", l AS (SELECT label, unnest(range(64)) AS pos, unnest(v) AS x FROM e)"
+for _name, _f, _sql, _shift in (("vec_mean", train.mean, "avg(x)", False), ("vec_harmonic", train.harmonic_mean, "count(*) / sum(1 / x)", True), ("vec_geometric", train.geometric_mean, "exp(avg(ln(x)))", True), ("vec_variance", train.variance, "avg(x * x) - avg(x) * avg(x)", False)):
+
+    @query(_name, f"{WITH}{_POS if not _shift else _POS.replace('unnest(v)', 'abs(unnest(v)) + 0.1')} SELECT label, pos::INT AS pos, round({_sql}, 6) + 0.0 AS x FROM l GROUP BY label, pos")
+    def _(spark, sf_dir, f=_f, shift=_shift):
+        base = T(spark, sf_dir).base
+        base = base.withColumn("v", F.transform("v", lambda x: F.abs(x) + 0.1)) if shift else base
+        return f(base, ["label"]).select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
+
+
+for _name, _f, _sql in (("bin_majority", train.majority, "CASE WHEN sum(x) > count(*) // 2 THEN 1 ELSE 0 END::DOUBLE"), ("bin_variance", train.variance, "round(avg(x * x) - avg(x) * avg(x), 6)")):
+
+    @query(_name, f"{WITH}{_POS.replace('unnest(v)', 'unnest(list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE))')} SELECT label, pos::INT AS pos, {_sql} + 0.0 AS x FROM l GROUP BY label, pos")
+    def _(spark, sf_dir, f=_f):
+        bits = T(spark, sf_dir).base.select("label", encode.sign_bits(F.col("v")).alias("bits"))
+        return f(bits, ["label"], "bits").select("label", "pos", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+
+
+@query("medoid", f"{WITH}{_POS}, m AS (SELECT label, list(x ORDER BY pos) AS cv FROM (SELECT label, pos, avg(x) AS x FROM l GROUP BY label, pos) GROUP BY label), d AS (SELECT label, vec_id, {_l2('cv', 'v')} AS dist FROM e JOIN m USING (label)) SELECT label, vec_id, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) = 1")
+def _(spark, sf_dir):
+    return train.medoids(T(spark, sf_dir).base, ["label"]).select("label", "vec_id", _r())
+
+
+def _lloyd_sql(k: int, source: str, vec: str) -> str:
+    """CTE s<k+1>(label, cv) from s<k>: one round on table ``source``."""
+    return f""", a{k} AS (SELECT id, {vec} AS v, label FROM (SELECT t.id, t.{vec}, s.label, row_number() OVER (PARTITION BY t.id ORDER BY {_l2("s.cv", f"t.{vec}")}, s.label) AS r FROM {source} t, s{k} s) WHERE r = 1),
+m{k} AS (SELECT label, list(x ORDER BY pos) AS nv FROM (SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(v))) AS pos, unnest(v) AS x FROM a{k}) GROUP BY label, pos) GROUP BY label),
+s{k + 1} AS (SELECT label, coalesce(nv, cv) AS cv FROM s{k} LEFT JOIN m{k} USING (label))"""
+
+
+@query("kmeans_2iter", f"{WITH}, t AS (SELECT vec_id AS id, v FROM e), s0 AS (SELECT * FROM c WHERE label < 10){_lloyd_sql(0, 't', 'v')}{_lloyd_sql(1, 't', 'v')} SELECT label::BIGINT AS label, pos::INT AS pos, round(x, 5) + 0.0 AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(cv) AS x FROM s2)")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = train.kmeans(t.base, t.centroids.where("label < 10"), 2, 0.0, digits=6)
+    return found.select("label", F.posexplode("cv").alias("pos", "x")).select("label", "pos", (F.round("x", 5) + 0.0).alias("x"))
+
+
+def _book_sql() -> str:
+    parts = []
+    for f in range(2):
+        sql = f", t{f} AS (SELECT vec_id AS id, v[{4 * f + 1}:{4 * f + 4}] AS v FROM e), f{f}s0 AS (SELECT vec_id AS label, v AS cv FROM (SELECT vec_id, v[{4 * f + 1}:{4 * f + 4}] AS v FROM e WHERE vec_id < 16))"
+        for k in range(2):
+            step = _lloyd_sql(k, f"t{f}", "v")
+            for name in (f"a{k}", f"m{k}", f"s{k + 1}", f"s{k}"):
+                step = re.sub(rf"\b{name}\b", f"f{f}{name}", step)
+            sql += step
+        parts.append(sql)
+    return f"{WITH}{parts[0]}{parts[1]} " + " UNION ALL ".join(f"SELECT {f} AS frag, label::INT AS code, pos::INT AS pos, round(x, 5) + 0.0 AS x FROM (SELECT label, unnest(range(4)) AS pos, unnest(cv) AS x FROM f{f}s2)" for f in range(2))
+
+
+@query("codebook_2iter", _book_sql())
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = train.codebook(t.base.withColumn("v", F.slice("v", 1, 8)), t.codebook, 2, WIDTH, 2, digits=6)
+    return found.select("frag", "code", F.posexplode("cv").alias("pos", "x")).select("frag", "code", "pos", (F.round("x", 5) + 0.0).alias("x"))
+
+
+@query("cluster_stats", f"{WITH}, a AS (SELECT vec_id, slot, dist FROM (SELECT vec_id, c.label AS slot, {_l2('cv', 'v')} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('cv', 'v')}, c.label) AS r FROM e, c) WHERE r = 1) SELECT slot::BIGINT AS slot, count(*) AS n, round(sum(dist), 6) AS cost FROM a GROUP BY slot")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return train.cluster_stats(t.base, t.centroids).select("slot", "n", F.round("cost", 6).alias("cost"))
+
+
+@query("group_counts", f"{WITH}{_WANTED_SQL} SELECT level, id, count(*) AS n FROM g GROUP BY level, id")
+def _(spark, sf_dir):
+    return ivf.group_entries(T(spark, sf_dir).base, _GROUPS).groupBy("level", "id").agg(F.count("*").alias("n"))
+
+
+@query("reservoir_sample")
+def _(spark, sf_dir):
+    return train.first_centroids(T(spark, sf_dir).base, 20)
+
+
+@query("latency_percentiles", "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + " FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.groupBy("event_type").agg(*(F.round(F.percentile("value", F.lit(p / 100)), 6).alias(f"p{p}") for p in (25, 50, 75, 90, 95, 99)))
+
+
+# Merging and recall -------------------------------------------------------------------------
+
+
+def _two(t: T):
+    a = t.base.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pk"), F.expr("vec_id div 2").alias("doc_id"), "v")
+    b = t.base.where("vec_id % 2 = 1 or vec_id % 10 = 0").select(F.col("vec_id").alias("pk"), F.col("vec_id").alias("doc_id"), "v")
+    return a, b
+
+
+@query("merge_by_docid", f"{WITH} SELECT vec_id // 2 * 3 AS doc_id, vec_id AS pk, round(v[1], 6) + 0.0 AS x FROM e WHERE vec_id % 2 = 0 AND (vec_id // 2) % 7 <> 0 UNION ALL SELECT vec_id * 3 + 1, vec_id, round(v[1], 6) + 0.0 FROM e WHERE (vec_id % 2 = 1 OR vec_id % 10 = 0) AND vec_id % 5 <> 0")
+def _(spark, sf_dir):
+    a, b = _two(T(spark, sf_dir))
+    ids = a.select(F.lit(0).alias("part"), "doc_id", F.when(F.col("doc_id") % 7 == 0, -1).otherwise(F.col("doc_id") * 3).alias("new_id")).union(b.where("doc_id % 5 <> 0").select(F.lit(1), "doc_id", F.col("doc_id") * 3 + 1))
+    return merge.by_docid([a, b], ids).select("doc_id", "pk", (F.round(F.get("v", F.lit(0)), 6) + 0.0).alias("x"))
+
+
+@query("merge_by_pk", f"{WITH} SELECT vec_id + 1000 AS doc_id, vec_id AS pk, round(v[1], 6) + 0.0 AS x FROM e WHERE vec_id % 3 <> 0")
+def _(spark, sf_dir):
+    a, b = _two(T(spark, sf_dir))
+    keys = a.union(b).where("pk % 3 <> 0").select("pk", (F.col("pk") + 1000).alias("new_id")).distinct()
+    return merge.by_key([a, b], keys).select("doc_id", "pk", (F.round(F.get("v", F.lit(0)), 6) + 0.0).alias("x"))
+
+
+@query("groundtruth", f"{WITH}{D} SELECT qid, vec_id, (row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id))::INT AS rk FROM d QUALIFY rk <= 100")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return knn.exact(t.base, t.queries, 100).select("qid", "vec_id", "rk")
+
+
+@query("recall_at_k", f"{_IVF}, t AS ({_top('(SELECT qid, vec_id, ' + _l2() + ' AS dist FROM q, e)')}), f AS ({_top('d')}) SELECT t.qid, round(count(f.vec_id) / count(*), 6) AS recall FROM t LEFT JOIN f USING (qid, vec_id) GROUP BY t.qid")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return merge.recall(ivf.search(t.probes(), t.postings, K), knn.exact(t.base, t.queries, K)).select("qid", F.round("recall", 6).alias("recall"))
+
+
+@query("split_by_category", f"{WITH}, n AS (SELECT label, count(*) AS n FROM e GROUP BY label) SELECT vec_id, label, CASE WHEN n > 50 THEN 'ivf' ELSE 'flat' END AS kind FROM e JOIN n USING (label)")
+def _(spark, sf_dir):
+    return merge.by_category_size(T(spark, sf_dir).base, "label", 50).select("vec_id", "label", "kind")
+
+
+# Sources ------------------------------------------------------------------------------------
+
+
+def _text(t: T) -> DataFrame:
+    return t.base.select(F.concat_ws(";", F.col("label").cast("string"), F.col("vec_id").cast("string"), F.array_join(F.transform(F.slice("v", 1, 8), lambda x: F.round(x, 3).cast("decimal(10,3)").cast("string")), ",")).alias("value"))
+
+
+@query("text_vectors", f"{WITH} SELECT vec_id AS key, label::BIGINT AS cat, round(list_sum(list_transform(v[1:6], lambda x: round(x, 3))), 3) + 0.0 AS total FROM e WHERE vec_id % 11 <> 0")
+def _(spark, sf_dir):
+    """Lines of vectors, some too short, parsed back."""
+    t = T(spark, sf_dir)
+    lines = _text(t).withColumn("value", F.when(F.regexp_extract("value", r"^\d+;(\d+);", 1).cast("long") % 11 == 0, F.substring_index("value", ",", 3)).otherwise(F.col("value")))
+    rows = readers.parsed_vectors(lines, 6, category=True)
+    return rows.select("key", "cat", (F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + 0.0).alias("total"))
+
+
+@query("centroid_file", f"{WITH} SELECT label % 3 AS parent, label, round(cv[1], 3) + 0.0 AS x FROM c")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    lines = t.centroids.select(F.concat_ws(" ", (F.col("label") % 3).cast("string"), F.col("label").cast("string"), F.array_join(F.transform("cv", lambda x: F.round(x, 3).cast("decimal(10,3)").cast("string")), ",")).alias("value"))
+    return readers.parsed_centroids(lines, fine=True).select("parent", "label", (F.round(F.get("cv", F.lit(0)), 3) + 0.0).alias("x"))
+
+
+@query("group_meta", "WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT 1::BIGINT AS level, label::BIGINT AS id, n AS doc_count, (n // 10)::BIGINT AS centroid_count, coalesce(sum(n // 10) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot FROM n")
+def _(spark, sf_dir):
+    n = T(spark, sf_dir).base.groupBy("label").agg(F.count("*").alias("n"))
+    lines = n.select(F.concat_ws(":", F.lit("1"), F.col("label").cast("string"), F.col("n").cast("string"), F.expr("n div 10").cast("string")).alias("value"))
+    return readers.parsed_group_meta(lines)
+
+
+@query("requests", "SELECT event_id::VARCHAR AS request_id, event_type AS request_url FROM events")
+def _(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = events.select(F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), F.col("event_type").alias("request_url"))).alias("value"))
+    return readers.parsed_requests(lines)
+
+
+@query("records", f"{WITH} SELECT vec_id::VARCHAR AS id, round(v[1], 3) + 0.0 AS x FROM e WHERE vec_id % 2 = 0")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    text = F.concat(F.lit("CMD="), F.when(F.col("vec_id") % 2 == 0, "add").otherwise("del"), F.lit("\nid="), F.col("vec_id").cast("string"), F.lit("\ncate_vec="), F.array_join(F.transform("v", lambda x: F.round(x, 3).cast("decimal(10,3)").cast("string")), " "))
+    return readers.parsed_records(t.base.select(text.alias("value"))).select("id", (F.round(F.get("vec", F.lit(0)).cast("double"), 3) + 0.0).alias("x"))
+
+
+# Graphs -------------------------------------------------------------------------------------
+
+
+def _graph_recall(t: T, base: DataFrame, kind: str, **options) -> DataFrame:
+    edges = graph.build(base, kind, **options)
+    found = graph.search(base, edges, t.queries, K)
+    return merge.recall(found, knn.exact(t.base, t.queries, K)).select("qid", (F.col("recall") >= 0.9).alias("good"))
+
+
+_GOOD = "SELECT vec_id AS qid, true AS good FROM embeddings WHERE vec_id < 5"
+
+
+@query("hnsw_recall", _GOOD)
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return _graph_recall(t, graph.sharded(t.base), "hnsw")
+
+
+@query("vamana_recall", _GOOD)
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return _graph_recall(t, graph.sharded(t.base, 1000), "vamana")
+
+
+@query("sharded_vamana_recall", _GOOD)
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return _graph_recall(t, graph.by_centroids(t.base, t.centroids.where("label < 4")), "vamana")
+
+
+# Streams ------------------------------------------------------------------------------------
+
+
+@query("rt_union", f"{_IVF}{_top('d')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    rows = t.postings
+    return segments.union_search(rows.where("vec_id % 4 <> 0"), rows.where("vec_id % 4 = 0"), t.probes(), K, L2).select("qid", "vec_id", _r())
+
+
+@query("global_ids", f"{WITH} SELECT vec_id, (label::BIGINT * 4294967296 + vec_id) AS gloid FROM e")
+def _(spark, sf_dir):
+    return T(spark, sf_dir).base.select("vec_id", segments.global_id(F.col("label"), F.col("vec_id")).alias("gloid"))
