@@ -643,11 +643,11 @@ m{k} AS (SELECT label, list(x ORDER BY pos) AS nv FROM (SELECT label, pos, round
 s{k + 1} AS (SELECT label, coalesce(nv, cv) AS cv FROM s{k} LEFT JOIN m{k} USING (label))"""
 
 
-@query("kmeans_2iter", f"{WITH}, t AS (SELECT vec_id AS id, v FROM e), s0 AS (SELECT * FROM c WHERE label < 10){_lloyd_sql(0, 't', 'v')}{_lloyd_sql(1, 't', 'v')} SELECT label::BIGINT AS label, pos::INT AS pos, round(x, 5) + 0.0 AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(cv) AS x FROM s2)")
+@query("kmeans_2iter", f"{WITH}, t AS (SELECT vec_id AS id, v FROM e), s0 AS (SELECT * FROM c WHERE label < 10){_lloyd_sql(0, 't', 'v')}{_lloyd_sql(1, 't', 'v')} SELECT label::BIGINT AS label, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(cv) AS x FROM s2)")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
     found = train.kmeans(t.base, t.centroids.where("label < 10"), 2, 0.0, digits=6)
-    return found.select("label", F.posexplode("cv").alias("pos", "x")).select("label", "pos", (F.round("x", 5) + 0.0).alias("x"))
+    return found.select("label", F.posexplode("cv").alias("pos", "x")).select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def _book_sql() -> str:
@@ -660,14 +660,14 @@ def _book_sql() -> str:
                 step = re.sub(rf"\b{name}\b", f"f{f}{name}", step)
             sql += step
         parts.append(sql)
-    return f"{WITH}{parts[0]}{parts[1]} " + " UNION ALL ".join(f"SELECT {f} AS frag, label::INT AS code, pos::INT AS pos, round(x, 5) + 0.0 AS x FROM (SELECT label, unnest(range(4)) AS pos, unnest(cv) AS x FROM f{f}s2)" for f in range(2))
+    return f"{WITH}{parts[0]}{parts[1]} " + " UNION ALL ".join(f"SELECT {f} AS frag, label::INT AS code, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM (SELECT label, unnest(range(4)) AS pos, unnest(cv) AS x FROM f{f}s2)" for f in range(2))
 
 
 @query("codebook_2iter", _book_sql())
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
     found = train.codebook(t.base.withColumn("v", F.slice("v", 1, 8)), t.codebook, 2, WIDTH, 2, digits=6)
-    return found.select("frag", "code", F.posexplode("cv").alias("pos", "x")).select("frag", "code", "pos", (F.round("x", 5) + 0.0).alias("x"))
+    return found.select("frag", "code", F.posexplode("cv").alias("pos", "x")).select("frag", "code", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query("cluster_stats", f"{WITH}, a AS (SELECT vec_id, slot, dist FROM (SELECT vec_id, c.label AS slot, {_l2('cv', 'v')} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('cv', 'v')}, c.label) AS r FROM e, c) WHERE r = 1) SELECT slot::BIGINT AS slot, count(*) AS n, round(sum(dist), 6) AS cost FROM a GROUP BY slot")
