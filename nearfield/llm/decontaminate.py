@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
-from nearfield.llm.storage import written
+from nearfield.llm.storage import map_arrow, written
 
 SEGMENT = 4 << 20
 BLOCK = 32 << 20
@@ -68,7 +68,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray | None = None, segment_b
                 )
                 k += 1
 
-    return docs.select("doc_id", "text").mapInArrow(build, INDEX)
+    return map_arrow(docs.select("doc_id", "text"), build, INDEX)
 
 
 NO_ID = np.iinfo(np.int64).min
@@ -170,7 +170,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], size: int = 10, slop:
                     names=["segment", "doc_no", "doc_id", "n_words", "spans", "items", "near_items"],
                 )
 
-    return index.mapInArrow(run, "segment long, doc_no int, doc_id long, n_words long, spans array<int>, items array<string>, near_items array<string>")
+    return map_arrow(index, run, "segment long, doc_no int, doc_id long, n_words long, spans array<int>, items array<string>, near_items array<string>")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:

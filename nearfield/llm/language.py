@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
+from nearfield.llm.storage import map_arrow
 from nearfield.llm.word_bpe import vocabulary
 
 PIECES = "piece_bpe_32k.model"
@@ -194,7 +195,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     sure.append(float(1 / np.exp((total - total[k]) * min(1.0, EVIDENCE / n)).sum()))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def held_out():

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nearfield.llm import textgrid as tg
+from nearfield.llm.storage import map_arrow
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH, CHANNELS = 64, 3
@@ -156,7 +157,7 @@ def with_media(docs: DataFrame) -> DataFrame:
                     media.append(encode_png(payload.reshape(-1, WIDTH, CHANNELS)))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(o), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -173,7 +174,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *map(pa.array, zip(*out, strict=True))], names=["doc_id", "n_bytes", *names])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op1(spark, sf_dir):

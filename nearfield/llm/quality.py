@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
+from nearfield.llm.storage import map_arrow
 
 LABELLED, POOL = 4000, 4000
 ROUNDS, EACH = 3, 200
@@ -153,7 +154,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
                     out.append((tc.astype("<i4").tobytes(), tv.astype("<f4").tobytes(), mc.astype("<i4").tobytes(), mv.astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y").cast(pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], names=["doc_id", "y", "tc", "tv", "mc", "mv"])
 
-    got = chosen.mapInArrow(run, "doc_id long, y int, tc binary, tv binary, mc binary, mv binary").collect()
+    got = map_arrow(chosen, run, "doc_id long, y int, tc binary, tv binary, mc binary, mv binary").collect()
     return sorted({r.doc_id: r for r in got}.values(), key=lambda r: r.doc_id)
 
 
@@ -188,7 +189,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
                 p = [1 / (1 + np.exp(-z)) for z in (odds[0], odds[1], (odds[0] + odds[1]) / 2)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *map(pa.array, (p[2], p[0], p[1])), pa.array(p[2] >= 0.5)], names=["doc_id", "quality", "text_quality", "meta_quality", "keep"])
 
-    return docs.select(COLUMNS).mapInArrow(run, "doc_id long, quality double, text_quality double, meta_quality double, keep boolean")
+    return map_arrow(docs.select(COLUMNS), run, "doc_id long, quality double, text_quality double, meta_quality double, keep boolean")
 
 
 def op7(spark, sf_dir):

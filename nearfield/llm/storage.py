@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one is set where the session names none (tests)."""
     sc = spark.sparkContext
@@ -30,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size, so that workers stay small whatever the texts'
+    lengths. Sets the session's Arrow batch limits where they are larger."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(conf.get(key).removesuffix("b") or 0) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(function, schema)

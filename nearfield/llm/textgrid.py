@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PIECE = 1 << 20  # bytes hashed at once: the working arrays stay in cache and memory is bounded
+PIECE = 1 << 18  # bytes hashed at once: the working arrays stay in cache and memory is bounded
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -123,7 +123,7 @@ def runs(h: np.ndarray) -> int:
     return int(windows(h, len(h))[0])
 
 
-def blocks(batch: pa.RecordBatch, name: str, most: int = 8 << 20):
+def blocks(batch: pa.RecordBatch, name: str, most: int = 2 << 20):
     """Slices of ``batch`` with about ``most`` bytes of ``name`` each (one row at least)."""
     column = batch.column(name)
     at, n = 0, batch.num_rows

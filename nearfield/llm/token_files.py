@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
-from nearfield.llm.storage import scratch, written
+from nearfield.llm.storage import map_arrow, scratch, written
 from nearfield.llm.word_bpe import _texts, vocabulary
 from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led
 
@@ -122,7 +122,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([f], pa.string()) for f in files), pa.array([n_docs], pa.int64()), pa.array([total], pa.int64())], names=["shard", "ids_path", "docs_path", "n_docs", "n_tokens"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    return written(rows.mapInArrow(run, MANIFEST), "manifest")
+    return written(map_arrow(rows, run, MANIFEST), "manifest")
 
 
 class TokenFile:
@@ -176,7 +176,7 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([names.slice(at, len(part)), *(pa.array(x, pa.int64()) for x in zip(*part, strict=True))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
-    return based.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(based.repartition(n, "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark, sf_dir):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nearfield.llm import textgrid as tg
+from nearfield.llm.storage import map_arrow
 from nearfield.llm.wordtable import WordTable
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,7 +53,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = np.frombuffer(b"".join(packed), table.type).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -67,7 +68,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             text = [" ".join(piece[flat[a:b]]) for a, b in zip(o, o[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -85,7 +86,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     text.append(hashlib.sha256(table.decode(p).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5(spark, sf_dir):
