@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
 from nearfield.llm.graph import components
-from nearfield.llm.storage import written
+from nearfield.llm.storage import map_arrow, written
 
 RANK_BITS = 18
 CHUNK_BITS = 12
-SUFFIX_PARTS = 16
+SUFFIX_BITS = 6  # a set is divided into 2**SUFFIX_BITS parts by its hashes
+SMALL_IDS = 500_000  # ids, 8 bytes each, that may be sent to every task
 FEW = 20  # open pairs per open list entry that may be compared at once
 
 
@@ -73,7 +74,8 @@ def gram_counts(docs: DataFrame, n: int, bits: int = RANK_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
     kind = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition((1 << bits) // chunk, "part").mapInArrow(add, kind).collect()
+    parts = map_arrow(docs.select("text"), count, kind).repartition((1 << bits) // chunk, "part")
+    rows = map_arrow(parts, add, kind).collect()
     out = np.zeros(((1 << bits) // chunk, chunk), np.int64)
     for r in rows:
         out[r.part] = np.frombuffer(r.counts, np.int64)
@@ -85,7 +87,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per row: doc_id, the set's size, its 128-bit signature and its rarest n-grams in order."""
+    """Per row: doc_id, the set's size, its 128-bit signature, its rarest n-grams in order, and the
+    sizes of the parts into which its hashes divide it."""
     table = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
 
     def run(batches):
@@ -93,12 +96,13 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
         low = tg.U(len(rank) - 1)
         for batch in batches:
             for rows in tg.blocks(batch, "text"):
-                size, one, two, prefix = [], [], [], []
+                size, one, two, prefix, parts = [], [], [], [], []
                 for g in _sets(rows, n):
                     g = np.unique(g)
                     size.append(len(g))
                     one.append(int(tg.mix(g).sum(dtype=np.uint64)))
                     two.append(int(tg.mix(g ^ tg.U(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)))
+                    parts.append(np.bincount((g >> tg.U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS))
                     k = prefix_length(len(g), percent) if len(g) else 0
                     c = rank[(g & low).astype(np.int64)]
                     if k < len(g):  # nothing above the k-th smallest count can be in the prefix
@@ -108,11 +112,11 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
                 ends = np.append(0, np.cumsum([len(p) for p in prefix])).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id").cast(pa.int64()), pa.array(size, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "n", "one", "two", "prefix"],
+                    [rows.column("doc_id").cast(pa.int64()), pa.array(size, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) << SUFFIX_BITS), pa.array(np.concatenate(parts).astype(np.int32)))],
+                    names=["doc_id", "n", "one", "two", "prefix", "parts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, one long, two long, prefix array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n int, one long, two long, prefix array<long>, parts array<int>")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -122,36 +126,44 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
                 g = [np.unique(x) for x in _sets(rows, n)]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in g], pa.binary())], names=["doc_id", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, grams binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, grams binary")
 
 
-def _parts(g: np.ndarray) -> np.ndarray:
-    return np.bincount((g >> tg.U(60)).astype(np.int64), minlength=SUFFIX_PARTS)
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be sent to every task if they are counted and few; else they are joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+
+
+def suffix_filtered(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets can be similar enough: the parts of two sets differ in size by no more than
+    the sets differ."""
+    parts = sigs.select("doc_id", "parts").join(_few(_ids(pairs)), "doc_id", "left_semi")
+    both = pairs.join(parts.select(F.col("doc_id").alias("a"), F.col("parts").alias("x")), "a").join(parts.select(F.col("doc_id").alias("b"), F.col("parts").alias("y")), "b")
+    total = F.aggregate(F.concat("x", "y"), F.lit(0), lambda s, k: s + k)
+    apart = F.aggregate(F.zip_with("x", "y", lambda i, j: F.abs(i - j)), F.lit(0), lambda s, k: s + k)
+    return both.where((100 + percent) * (total - apart) >= 2 * percent * total).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b, shared, total, linked) for each pair of ids, from the whole texts. The suffix
-    filter comes first: sets whose parts differ too much in size can't be linked."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(whole_sets(docs.join(ids, "doc_id", "left_semi"), n), "sets").distinct()
+    """(a, b, shared, total, linked) for each pair of ids, from the whole texts."""
+    sets = written(whole_sets(docs.join(_few(_ids(pairs)), "doc_id", "left_semi"), n), "sets").distinct()
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             shared, total = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                most = (len(x) + len(y) - int(np.abs(_parts(x) - _parts(y)).sum())) // 2
-                if (100 + percent) * most < percent * (len(x) + len(y)):
-                    shared.append(-1)
-                else:
-                    shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
                 total.append(len(x) + len(y))
             s, t = np.array(shared, np.int64), np.array(total, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s), pa.array(t), pa.array((100 + percent) * s >= percent * t)], names=["a", "b", "shared", "total", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s), pa.array(t), pa.array((100 + percent) * s >= percent * t)], names=["a", "b", "shared", "total", "linked"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, shared long, total long, linked boolean")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a long, b long, shared long, total long, linked boolean")
 
 
 def _can_link(percent: int, na: str, nb: str, pa_: str, pb: str):
@@ -167,12 +179,13 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _compare(met: DataFrame, done: DataFrame | None, links: list[DataFrame], docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _compare(met: DataFrame, done: DataFrame | None, links: list[DataFrame], docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Verify the pairs of ``met`` that aren't in ``done``; both tables with what is new."""
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if done is not None:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
-    new = written(verified(written(pairs, "candidates"), docs, n, percent), "pairs")
+    near = written(suffix_filtered(written(pairs, "candidates"), sigs, percent), "near")
+    new = written(verified(near, docs, n, percent), "pairs")
     return new.drop("linked") if done is None else done.union(new.drop("linked")), [*links, new.where("linked").select("a", "b").distinct()]
 
 
@@ -195,7 +208,7 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     while True:
         pivot = open_.groupBy("gram").agg(F.min(F.struct("away", "rep", "n", "pos", "c")).alias("p")).select("gram", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"), F.col("p.c").alias("ca"))
         met = open_.withColumnRenamed("rep", "b").join(pivot, "gram").where("a <> b and ca <> c").where(_can_link(percent, "na", "n", "pa", "pos"))
-        done, links = _compare(met, done, links, docs, n, percent)
+        done, links = _compare(met, done, links, docs, sigs, n, percent)
         comp = written(components(_union(links)), "components")
         # what is left: the lists without the pivots, which have met all others
         left = open_.select("gram", "rep", "n", "pos").join(pivot.select("gram", "a"), "gram").where("rep <> a")
@@ -211,7 +224,7 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
         if pairs <= FEW * rows or before is not None and pairs > before / 2:
             x, y = (open_.select("gram", F.col("rep").alias(i), F.col("n").alias("n" + i), F.col("pos").alias("p" + i), F.col("c").alias("c" + i)) for i in "ab")
             met = x.join(y, "gram").where("a < b and ca <> cb").where(_can_link(percent, "na", "nb", "pa", "pb"))
-            done, links = _compare(met, done, links, docs, n, percent)
+            done, links = _compare(met, done, links, docs, sigs, n, percent)
             comp = written(components(_union(links)), "components")
             break
         before = pairs
