@@ -9,9 +9,11 @@ the earliest member alone settles the others, so no pairs are made inside it: a
 neighbour is the earliest that shares a key, and the edit distance of the two is verified.
 
 A line has as many variants as characters, so lines without any near neighbour are set aside
-first. One edit leaves the first or the last ``4 * (length // 8)`` characters of a line alone
-(the piece where the edit is lies in the other half), so only lines that share such a half
-with another line, hashed together with its length, emit variants. This loses nothing.
+first, which loses nothing. One edit leaves the first or the last ``4 * (length // 8)``
+characters of a line alone, so only lines that share such a half with another go on. One
+edit also lies in one of the line's 2 to 32 blocks, so of those only lines
+that share all but one block with another emit variants, of that block alone, hashed together
+with the rest: the work grows with a line's length and not with its square.
 
 Only lines of ``min_chars`` characters or more, without the spaces around them, take part;
 blank and short ones always stay. Everything is DataFrame expressions.
@@ -56,11 +58,30 @@ def _halves(line: Column) -> Column:
     return F.when(n % 8 == 7, F.concat(keys(half), keys(half + 4))).otherwise(keys(half))
 
 
-def _variants(line: Column) -> Column:
-    """(hash of a variant, its place): place 0 is the whole line. The hash of a deletion tells nothing of its place."""
-    n = F.char_length(line)
-    deleted = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n))).alias("key"), i.alias("place")))
-    return F.concat(F.array(F.struct(F.xxhash64(line).alias("key"), F.lit(0).alias("place"))), deleted)
+def _blocks(line: Column, n: Column) -> Column:
+    """The line with one block of characters out, as hashes, with the block: for each block of the
+    line as the shorter of two lines, and as one character longer than the other."""
+
+    def without(length):
+        size = F.when(length < 128, 8).otherwise(F.greatest(F.lit(32), F.floor(length / 32).cast("int")))
+        last = F.greatest(F.floor(length / size).cast("int") - 1, F.lit(0))
+
+        def block(j):
+            after = F.when(j == last, 0).otherwise(length - (j + 1) * size)
+            rest = F.xxhash64(length, j, F.substring(line, F.lit(1), j * size), F.when(after > 0, F.substring(line, -after, after)).otherwise(""))
+            return F.struct(rest.alias("rest"), F.substring(line, j * size + 1, n - after - j * size).alias("block"))
+
+        return F.transform(F.sequence(F.lit(0), last), block)
+
+    return F.concat(without(n), without(n - 1))
+
+
+def _variants(block: Column) -> Column:
+    """(hash, place) of the block whole, at place 0, and without each of its characters."""
+    n = F.char_length(block)
+    places = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    deleted = F.transform(places, lambda i: F.struct(F.xxhash64(F.concat(F.substring(block, F.lit(1), i - 1), F.substring(block, i + 1, n))).alias("key"), i.alias("place")))
+    return F.concat(F.array(F.struct(F.xxhash64(block).alias("key"), F.lit(0).alias("place"))), deleted)
 
 
 def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -68,38 +89,46 @@ def kept_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = _lines(docs).where(F.char_length("line") >= min_chars)
     first = written(lines.select("doc_id", "no", *_hashes(F.col("line"))).groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("at")), "lines")
 
+    # lines that share a half with another
     halves = lines.select(F.explode(_halves(F.col("line"))).alias("half"), F.xxhash64("line", F.lit(17)).alias("h"))
     shared = written(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half"), "halves")
     few = shared.count() <= SMALL_KEYS
     with_halves = lines.select("doc_id", "no", "line", F.explode(_halves(F.col("line"))).alias("half"))
     near = with_halves.join(F.broadcast(shared) if few else shared, "half", "left_semi")
-    near = written(near.groupBy(*_hashes(F.col("line"))).agg(F.min(F.struct("doc_id", "no")).alias("at"), F.first("line").alias("line")), "near")
-
-    keyed = near.select("at", "line", F.explode(_variants(F.col("line"))).alias("v")).select("at", "line", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
-    entry = F.min(F.struct("at", "line")).alias("by")
-    cut, whole = keyed.where("place > 0"), keyed.where("place = 0")
+    near = written(near.groupBy(*_hashes(F.col("line"))).agg(F.min(F.struct("doc_id", "no")).alias("at"), F.first("line").alias("line")).select("at", "line", F.char_length("line").alias("n")), "near")
+
+    # of those, the ones that share all but one block
+    blocks = written(near.select("at", F.explode(_blocks(F.col("line"), F.col("n"))).alias("b")).select("at", "b.rest", "b.block"), "blocks")
+    alike = blocks.groupBy("rest").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("rest")
+    blocks = blocks.join(alike, "rest")
+    keyed = blocks.select("at", "rest", F.explode(_variants(F.col("block"))).alias("v")).select("at", "rest", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
+    cut, whole = keyed.where("place > 0"), keyed.where("place = 0").drop("place")
+    earliest = F.min("at").alias("by")
     # substitution: both without the character at the same place
-    alike = cut.groupBy("key", "place").agg(entry, F.count("*").alias("n")).where("n > 1").drop("n")
-    found = cut.join(alike, ["key", "place"]).select("at", "line", "by")
+    found = cut.join(cut.groupBy("rest", "key", "place").agg(earliest, F.max("at").alias("far")).where("by <> far").drop("far"), ["rest", "key", "place"]).select("at", "by")
     # one character less: the shorter line is the other's variant; each meets the other's earliest
-    found = found.union(cut.join(whole.groupBy("key").agg(entry), "key").select("at", "line", "by"))
-    found = found.union(whole.join(cut.groupBy("key").agg(entry), "key").select("at", "line", "by"))
-    found = found.where("by.at < at").where(F.levenshtein("line", F.col("by.line"), 1) >= 0)
-    gone = found.select("at").distinct()
+    found = found.union(cut.join(whole.groupBy("rest", "key").agg(earliest), ["rest", "key"]).select("at", "by"))
+    found = found.union(whole.join(cut.groupBy("rest", "key").agg(earliest), ["rest", "key"]).select("at", "by"))
+    pairs = found.where("by < at").distinct()
+    pairs = pairs.join(near, "at").join(near.select(F.col("at").alias("by"), F.col("line").alias("earlier")), "by")
+    gone = pairs.where(F.levenshtein("line", "earlier", 1) >= 0).select("at").distinct()
     return first.join(gone, "at", "left_anti").select("at.doc_id", "at.no")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the columns it has, ``text`` without dropped lines, and n_lines and n_dropped."""
-    kept = kept_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_list("no").alias("stay"))
-    lines = F.split("text", "\n", -1)
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
-    short = F.filter(every, lambda i: F.char_length(F.trim(F.get(lines, i))) < min_chars)
-    stay = F.array_sort(F.array_union(short, F.coalesce("stay", F.array().cast("array<int>"))))
-    out = docs.join(kept, "doc_id", "left").withColumn("stay", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), None).otherwise(stay))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    text = F.when(F.col("stay").isNull() | (F.size("stay") == F.size(lines)), F.col("text")).otherwise(F.array_join(F.transform("stay", lambda i: F.get(lines, i)), "\n"))
-    return out.select(*[c for c in docs.columns if c != "text"], text.alias("text"), n.alias("n_lines"), (n - F.coalesce(F.size("stay"), n)).alias("n_dropped"))
+    kept = kept_lines(docs, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("no")).alias("stay"))
+    # one mark a line: 1 where it stays
+    gap = F.transform("stay", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("stay", i - 1), F.lit(-1)) - 1), F.lit("1")))
+    marks = kept.select("doc_id", F.split(F.array_join(gap, ""), "").alias("marks"))
+    out = docs.join(marks, "doc_id", "left")
+    whole = F.col("doc_id").isNull() | F.col("text").isNull()
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: (F.char_length(F.trim(x)) < min_chars) | F.coalesce(F.get("marks", i) == "1", F.lit(False)))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1)
+    out = out.select(*docs.columns, F.when(~whole, left).alias("left"), n.alias("n_lines"))
+    dropped = F.when(F.col("left").isNull(), 0).otherwise(F.col("n_lines") - F.size("left"))
+    text = F.when(dropped == 0, F.col("text")).otherwise(F.array_join("left", "\n"))
+    return out.select(*[c for c in docs.columns if c != "text"], text.alias("text"), "n_lines", dropped.alias("n_dropped"))
 
 
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
