@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import textgrid as tg
 from nearfield.llm.storage import map_arrow, scratch, written
 from nearfield.llm.word_bpe import _texts, vocabulary
-from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led
+from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led, single_spaced, word_table
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, BATCH_ROWS = 1024, 256
@@ -46,10 +46,13 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _table_ids(table: WordTable, text: bytes) -> bytes:
+def _table_ids(table: WordTable, spaced: WordTable, text: bytes) -> bytes:
     """White space outside ASCII can join a run of spaces that the words are cut at; such texts are encoded whole."""
     if not text.isascii() and WIDE_SPACE.search(text.decode("utf-8", "replace")):
         return np.array(table.t.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, table.type).tobytes()
+    if single_spaced(text):
+        first, *rest = text.split(b" ")
+        return (table.join([first]) if first else b"") + spaced.join(rest)
     return table.join(led(text))
 
 
@@ -103,13 +106,13 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 if table is None:
-                    table = WordTable(vocab)
+                    table, spaced = word_table(vocab), word_table(vocab, " ")
                     fs.create_dir(base, recursive=True)
                     sinks = [fs.open_output_stream(f) for f in files]
                     sequences = _Sequences(sinks[0], table.type, length, batch_rows)
                     index = pa.ipc.new_stream(sinks[1], pa.schema([("doc_id", pa.int64())]))
                     end = np.array([end_id], table.type).tobytes()
-                packed = [_table_ids(table, t) + end for t in _texts(rows)]
+                packed = [_table_ids(table, spaced, t) + end for t in _texts(rows)]
                 counts = np.array([len(p) // table.type.itemsize for p in packed])
                 sequences.add(np.frombuffer(b"".join(packed), table.type), counts)
                 index.write_batch(pa.record_batch([rows.column("doc_id").cast(pa.int64())], names=["doc_id"]))

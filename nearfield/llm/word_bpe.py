@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from nearfield.llm import textgrid as tg
 from nearfield.llm.storage import map_arrow
-from nearfield.llm.wordtable import WordTable
+from nearfield.llm.wordtable import word_table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -45,7 +45,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
 
     def run(batches):
-        table = WordTable(path)
+        table = word_table(path)
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 packed = [table.join(t.split()) for t in _texts(rows)]
@@ -60,7 +60,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text of every row."""
 
     def run(batches):
-        table = WordTable(path, pieces=True)
+        table = word_table(path)
         piece = np.array(table.piece, dtype=object)
         for batch in batches:
             ids = batch.column("ids")
@@ -75,7 +75,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways without the ids leaving the task."""
 
     def run(batches):
-        table = WordTable(path, pieces=True)
+        table = word_table(path)
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 n, ids, text = [], [], []

@@ -2,21 +2,23 @@
 tokenizers library, and its ids are joined back by position.
 
 Ids are kept as packed little-endian bytes of one width, so joining a text's words back is
-one ``bytes.join``. A table holds at most ``WORDS`` words; then it starts anew (memory stays
-bounded; words are encoded again, results are the same).
+one ``bytes.join``. A table lives as long as its worker process and holds about ``WORDS`` words;
+then the older half goes (memory stays bounded; a word is encoded again, with the same ids).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
-WORDS = 300_000
+WORDS = 900_000
 #: Unicode white space outside ASCII
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOADED: dict[str, object] = {}
+_TABLES: dict[tuple[str, str], WordTable] = {}
 
 
 def tokenizer(path: str):
@@ -38,42 +40,47 @@ def id_type(size: int) -> np.dtype:
 
 
 class WordTable:
-    def __init__(self, path: str, pieces: bool = False):
+    """``before`` stands before each word when it is encoded."""
+
+    def __init__(self, path: str, before: str = ""):
+        self.before = before
         self.t = tokenizer(path)
         self.type = id_type(self.t.get_vocab_size(with_added_tokens=True))
         self.ids: dict[bytes, bytes] = {}
         #: the id-to-piece table, for decoding
-        self.piece = None
-        if pieces:
-            table = {i: p for p, i in self.t.get_vocab(with_added_tokens=True).items()}
-            self.piece = [table.get(i, "") for i in range(max(table) + 1)]
+        table = {i: p for p, i in self.t.get_vocab(with_added_tokens=True).items()}
+        self.piece = [table.get(i, "") for i in range(max(table) + 1)]
 
     def add(self, words: list[bytes]) -> None:
-        if len(self.ids) + len(words) > WORDS:
-            self.ids.clear()
         kind = self.type
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            for w, e in zip(part, self.t.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.t.encode_batch_fast([self.before + w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.ids[w] = np.array(e.ids, kind).tobytes()
 
     def join(self, words: list[bytes]) -> bytes:
         """The ids of the words, in their order, packed."""
         got = self.ids
-        try:
-            return b"".join(map(got.__getitem__, words))
-        except KeyError:
-            missing = [w for w in set(words) if w not in got]
-            if len(missing) + len(got) > WORDS:
-                missing = list(set(words))
-            self.add(missing)
-            return b"".join(map(self.ids.__getitem__, words))
+        if missing := set(words).difference(got):
+            if len(got) > WORDS:
+                for w in list(islice(got, len(got) // 2)):
+                    del got[w]
+                missing = set(words).difference(got)
+            self.add(list(missing))
+        return b"".join(map(got.__getitem__, words))
 
     def decode(self, packed: bytes) -> str:
         """Pieces joined by spaces, as a tokenizer without decoder does: a join of ids with the id-to-piece table."""
         return " ".join(map(self.piece.__getitem__, np.frombuffer(packed, self.type).tolist()))
 
 
+def word_table(path: str, before: str = "") -> WordTable:
+    """The table of this process for a tokenizer's file."""
+    if (path, before) not in _TABLES:
+        _TABLES[path, before] = WordTable(path, before)
+    return _TABLES[path, before]
+
+
 #: a run of white space and the word after it, or the white space at the end
 LED = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+\Z")
 
@@ -82,3 +89,12 @@ def led(data: bytes) -> list[bytes]:
     """Words with the white space before them: where white space begins, a pre-token of byte-level BPE begins."""
     return LED.findall(data)
 
+
+
+#: a space amid other white space, or after it at the end: such runs are not cut at each space
+AMID = re.compile(rb"[\x09-\x0d] (?:[\x09-\x0d]|\Z)")
+
+
+def single_spaced(data: bytes) -> bool:
+    """Whether every space begins a pre-token of byte-level BPE."""
+    return b"  " not in data and not AMID.search(data)
