@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import textgrid as tg
 from nearfield.llm.storage import map_arrow
 
-LABELLED, POOL = 4000, 4000
+LABELLED, POOL = 2500, 2500
 ROUNDS, EACH = 3, 200
 BITS = 12
 FORM = 10
@@ -65,13 +65,13 @@ COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 class Logistic:
     """Logistic regression with an L2 penalty, by accelerated gradient steps on all rows."""
 
-    def __init__(self, size: int, penalty: float = 1e-3, steps: int = 300):
+    def __init__(self, size: int, penalty: float = 1e-3, steps: int = 200):
         self.w, self.penalty, self.steps = np.zeros(size), penalty, steps
         self.a, self.b = 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
         share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-        rate = 4 / max(1e-9, (share[:, None] * x**2).sum() + self.penalty)
+        rate = 4 / max(1e-9, float(share @ np.einsum("ij,ij->i", x, x)) + self.penalty)
         w, last, t = self.w * 0, self.w * 0, 1.0
         for _ in range(self.steps):
             g = x.T @ (share * (1 / (1 + np.exp(-x @ w)) - y)) + self.penalty * w
@@ -98,7 +98,7 @@ class Logistic:
 
 
 def _dense(rows: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
-    x = np.zeros((len(rows), size), np.float64)
+    x = np.zeros((len(rows), size), np.float32)
     for i, (c, v) in enumerate(rows):
         np.add.at(x[i], c, v)
     return x
