@@ -29,8 +29,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and the text that the ids decode to."""
-    path = word_bpe.vocabulary(word_bpe.VOCABULARY)
-    return word_bpe.decode(word_bpe.encode(docs, path), path)
+    return word_bpe.encoded_and_decoded(docs, word_bpe.vocabulary(word_bpe.VOCABULARY))
 
 
 STAGES = [("language_id", language_id), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontamination), ("word_bpe", tokens)]

@@ -160,39 +160,49 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[t
     return sorted((r.lang, r.text) for r in named.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").collect())
 
 
+class Scorer:
+    """Scores texts; looks words up that were scored before."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.index, self.scores = model, {}, np.zeros((0, 0))
+
+    def _learn(self, words: set[str]) -> None:
+        new = sorted(w for w in words if w not in self.index)
+        if len(self.index) + len(new) > WORDS:
+            self.index, self.scores, new = {}, np.zeros((0, 0)), sorted(words)
+        if new:
+            got = self.model.word_scores(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, got]) if len(self.scores) else got
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """(language, score) of each text."""
+        counted = [Counter(split_words(t)) if t and self.model else Counter() for t in texts]
+        if self.model:
+            self._learn({w for c in counted for w in c})
+        pred, sure = [], []
+        for c in counted:
+            if not c:
+                pred.append("und")
+                sure.append(0.0)
+                continue
+            many = np.fromiter(c.values(), float, len(c))
+            total = many @ self.scores[np.fromiter(map(self.index.__getitem__, c), np.int64, len(c))]
+            k = int(total.argmax())
+            pred.append(self.model.languages[k])
+            sure.append(float(1 / np.exp((total - total[k]) * min(1.0, EVIDENCE / many.sum())).sum()))
+        return pred, sure
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
-        index: dict[str, int] = {}
-        scores = np.zeros((0, 0))
+        score = Scorer(sent.value)
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
-                counted = [Counter(split_words(t)) if t else Counter() for t in rows.column("text").to_pylist()]
-                if m is not None:
-                    new = {w for c in counted for w in c if w not in index}
-                    if len(index) + len(new) > WORDS:
-                        index, new = {}, {w for c in counted for w in c}
-                        scores = np.zeros((0, 0))
-                    if new:
-                        new = sorted(new)
-                        got = m.word_scores(new)
-                        index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-                        scores = np.concatenate([scores, got]) if len(scores) else got
-                pred, sure = [], []
-                for c in counted:
-                    if not c or m is None:
-                        pred.append("und")
-                        sure.append(0.0)
-                        continue
-                    many = np.fromiter(c.values(), float, len(c))
-                    total = many @ scores[np.fromiter(map(index.__getitem__, c), np.int64, len(c))]
-                    k = int(total.argmax())
-                    n = many.sum()
-                    pred.append(m.languages[k])
-                    sure.append(float(1 / np.exp((total - total[k]) * min(1.0, EVIDENCE / n)).sum()))
+                pred, sure = score(rows.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
@@ -209,8 +219,16 @@ def learned(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> Model |
 
 def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose language can't be told: no letters, or a score under ``least``."""
-    gone = predict(docs, learned(docs, F.lit(True))).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, F.lit(True)))
+
+    def run(batches):
+        score = Scorer(sent.value)
+        for batch in batches:
+            for rows in tg.blocks(batch, "text", 2 << 20):
+                pred, sure = score(rows.column("text").to_pylist())
+                yield rows.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, sure, strict=True)], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
 
 
 def op4(spark, sf_dir):

@@ -37,6 +37,7 @@ from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led, single_spaced, w
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, BATCH_ROWS = 1024, 256
+KEPT = 900_000  # words that a worker process keeps
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
 
 
@@ -106,7 +107,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 if table is None:
-                    table, spaced = word_table(vocab), word_table(vocab, " ")
+                    table, spaced = word_table(vocab), word_table(vocab, " ", KEPT)
                     fs.create_dir(base, recursive=True)
                     sinks = [fs.open_output_stream(f) for f in files]
                     sequences = _Sequences(sinks[0], table.type, length, batch_rows)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from nearfield.llm import textgrid as tg
 from nearfield.llm.storage import map_arrow
-from nearfield.llm.wordtable import word_table
+from nearfield.llm.wordtable import WordTable
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -45,7 +45,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids (array of int) of every row."""
 
     def run(batches):
-        table = word_table(path)
+        table = WordTable(path)
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 packed = [table.join(t.split()) for t in _texts(rows)]
@@ -60,7 +60,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text of every row."""
 
     def run(batches):
-        table = word_table(path)
+        table = WordTable(path)
         piece = np.array(table.piece, dtype=object)
         for batch in batches:
             ids = batch.column("ids")
@@ -71,11 +71,26 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, text string")
 
 
+def encoded_and_decoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and the text that the ids decode to, in one pass."""
+
+    def run(batches):
+        table = WordTable(path)
+        for batch in batches:
+            for rows in tg.blocks(batch, "text", 1 << 20):
+                packed = [table.join(t.split()) for t in _texts(rows)]
+                ends = np.append(0, np.cumsum([len(p) // table.type.itemsize for p in packed])).astype(np.int32)
+                ids = np.frombuffer(b"".join(packed), table.type).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(map(table.decode, packed), pa.string())], names=["doc_id", "ids", "text"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: both ways without the ids leaving the task."""
 
     def run(batches):
-        table = word_table(path)
+        table = WordTable(path)
         for batch in batches:
             for rows in tg.blocks(batch, "text", 2 << 20):
                 n, ids, text = [], [], []

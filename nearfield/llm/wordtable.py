@@ -2,8 +2,7 @@
 tokenizers library, and its ids are joined back by position.
 
 Ids are kept as packed little-endian bytes of one width, so joining a text's words back is
-one ``bytes.join``. A table lives as long as its worker process and holds about ``WORDS`` words;
-then the older half goes (memory stays bounded; a word is encoded again, with the same ids).
+one ``bytes.join``. A table holds about ``most`` words; then the older half goes (memory stays bounded; a word is encoded again, with the same ids).
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from itertools import islice
 
 import numpy as np
 
-WORDS = 900_000
+WORDS = 300_000
 #: Unicode white space outside ASCII
 WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LOADED: dict[str, object] = {}
@@ -42,8 +41,8 @@ def id_type(size: int) -> np.dtype:
 class WordTable:
     """``before`` stands before each word when it is encoded."""
 
-    def __init__(self, path: str, before: str = ""):
-        self.before = before
+    def __init__(self, path: str, before: str = "", most: int = WORDS):
+        self.before, self.most = before, most
         self.t = tokenizer(path)
         self.type = id_type(self.t.get_vocab_size(with_added_tokens=True))
         self.ids: dict[bytes, bytes] = {}
@@ -62,7 +61,7 @@ class WordTable:
         """The ids of the words, in their order, packed."""
         got = self.ids
         if missing := set(words).difference(got):
-            if len(got) > WORDS:
+            if len(got) > self.most:
                 for w in list(islice(got, len(got) // 2)):
                     del got[w]
                 missing = set(words).difference(got)
@@ -74,10 +73,10 @@ class WordTable:
         return " ".join(map(self.piece.__getitem__, np.frombuffer(packed, self.type).tolist()))
 
 
-def word_table(path: str, before: str = "") -> WordTable:
-    """The table of this process for a tokenizer's file."""
+def word_table(path: str, before: str = "", most: int = WORDS) -> WordTable:
+    """A table that this process keeps from task to task."""
     if (path, before) not in _TABLES:
-        _TABLES[path, before] = WordTable(path, before)
+        _TABLES[path, before] = WordTable(path, before, most)
     return _TABLES[path, before]
 
 
