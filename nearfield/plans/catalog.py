@@ -303,7 +303,13 @@ def _(spark, sf_dir):
 # Quotas -----------------------------------------------------------------------------------
 
 _WANTED = [(0, 0, 0, 4), (1, 3, 1, 3), (1, 7, 2, 5), (9, 9, 3, 2)]
-_GROUPS = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("id")), F.struct(F.lit(1).alias("level"), F.col("label").cast("int").alias("id")))
+
+
+def _groups():
+    return F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("id")), F.struct(F.lit(1).alias("level"), F.col("label").cast("int").alias("id")))
+
+
+
 _WANTED_SQL = ", w(level, id, pool_id, k) AS (VALUES (0, 0, 0, 4), (1, 3, 1, 3), (1, 7, 2, 5), (9, 9, 3, 2)), g AS (SELECT vec_id, v, 0 AS level, 0 AS id FROM e UNION ALL SELECT vec_id, v, 1, label FROM e)"
 _QUOTA = f", m AS (SELECT qid, pool_id, vec_id, k, {_l2()} AS dist FROM q, w JOIN g USING (level, id)), h AS (SELECT qid, pool_id, vec_id, dist FROM m QUALIFY row_number() OVER (PARTITION BY qid, pool_id ORDER BY dist, vec_id) <= k)"
 
@@ -311,7 +317,7 @@ _QUOTA = f", m AS (SELECT qid, pool_id, vec_id, k, {_l2()} AS dist FROM q, w JOI
 def _quota(spark, sf_dir) -> DataFrame:
     t = T(spark, sf_dir)
     wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
-    return ivf.group_search(ivf.group_entries(t.base, _GROUPS), wanted, 5)
+    return ivf.group_search(ivf.group_entries(t.base, _groups()), wanted, 5)
 
 
 @query("topk_group_quota", f"{WITH}{_WANTED_SQL}{_QUOTA} SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM h")
@@ -328,7 +334,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
     wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
-    return ivf.global_quota(ivf.group_entries(t.base, _GROUPS), wanted, 8).select("qid", "pool_id", "vec_id", _r())
+    return ivf.global_quota(ivf.group_entries(t.base, _groups()), wanted, 8).select("qid", "pool_id", "vec_id", _r())
 
 
 @query("topk_fill_left", f"{WITH}{D}, h AS ({_top('(SELECT * FROM d WHERE label = 3)', 3)}), r AS (SELECT qid, vec_id, round(dist, 6) + 0.0 AS dist FROM (SELECT d.*, row_number() OVER (PARTITION BY d.qid ORDER BY d.dist, d.vec_id) AS r FROM d ANTI JOIN h USING (qid, vec_id)) WHERE r <= 5) SELECT * FROM h UNION ALL SELECT * FROM r")
@@ -352,7 +358,7 @@ def _(spark, sf_dir):
     t = T(spark, sf_dir)
     w = spark.createDataFrame([(0, 1, 1, 3), (1, 4, 1, 2), (2, 8, 1, 4)], "pool_id int, id int, level int, k int")
     wanted = w.join(t.queries, F.col("pool_id") == F.col("qid"))
-    return ivf.group_search(ivf.group_entries(t.base, _GROUPS), wanted, 4).select("pool_id", "vec_id", _r())
+    return ivf.group_search(ivf.group_entries(t.base, _groups()), wanted, 4).select("pool_id", "vec_id", _r())
 
 
 # Inverted files ---------------------------------------------------------------------------
@@ -678,7 +684,7 @@ def _(spark, sf_dir):
 
 @query("group_counts", f"{WITH}{_WANTED_SQL} SELECT level, id, count(*) AS n FROM g GROUP BY level, id")
 def _(spark, sf_dir):
-    return ivf.group_entries(T(spark, sf_dir).base, _GROUPS).groupBy("level", "id").agg(F.count("*").alias("n"))
+    return ivf.group_entries(T(spark, sf_dir).base, _groups()).groupBy("level", "id").agg(F.count("*").alias("n"))
 
 
 @query("reservoir_sample")
