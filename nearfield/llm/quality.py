@@ -65,20 +65,22 @@ COLUMNS = ["doc_id", "text", "source", "lang", "n_chars"]
 class Logistic:
     """Logistic regression with an L2 penalty, by accelerated gradient steps on all rows."""
 
-    def __init__(self, size: int, penalty: float = 1e-3, steps: int = 200):
+    def __init__(self, size: int, penalty: float = 1e-3, steps: int = 80):
         self.w, self.penalty, self.steps = np.zeros(size), penalty, steps
         self.a, self.b = 1.0, 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+        x = x.astype(np.float32, copy=False)  # with vectors of the same type, no product copies it
         share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
         rate = 4 / max(1e-9, float(share @ np.einsum("ij,ij->i", x, x)) + self.penalty)
-        w, last, t = self.w * 0, self.w * 0, 1.0
+        share, y = share.astype(np.float32), y.astype(np.float32)
+        w, last, t = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1.0
         for _ in range(self.steps):
             g = x.T @ (share * (1 / (1 + np.exp(-x @ w)) - y)) + self.penalty * w
             new = w - rate * g
-            nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            nt = float((1 + np.sqrt(1 + 4 * t * t)) / 2)
             w, last, t = new + (t - 1) / nt * (new - last), new, nt
-        self.w = last
+        self.w = last.astype(float)
         return self
 
     def calibrate(self, z: np.ndarray, y: np.ndarray) -> None:
@@ -119,7 +121,7 @@ def co_train(views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, roun
         names = list(views)
         given = {}
         for v in names:
-            z = views[v] @ models[v].w
+            z = views[v] @ models[v].w.astype(np.float32)
             free = np.flatnonzero(y < 0)
             order = free[np.argsort(z[free], kind="stable")]
             low, high = round(each * (1 - share)), round(each * share)
@@ -134,7 +136,7 @@ def co_train(views: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, roun
     on = (y >= 0) & fold
     for v, x in views.items():
         if len(set(y[on])) == 2:
-            models[v].calibrate(x[on] @ models[v].w, y[on].astype(float))
+            models[v].calibrate((x[on] @ models[v].w.astype(np.float32)).astype(float), y[on].astype(float))
     return models
 
 
