@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,3 +45,10 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
         if not 0 < int(conf.get(key).removesuffix("b") or 0) <= most:
             conf.set(key, str(most))
     return df.mapInArrow(function, schema)
+
+
+def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
+    if urlparse(uri).scheme in ("", "file"):
+        return pafs.LocalFileSystem(), urlparse(uri).path
+    return pafs.FileSystem.from_uri(uri)

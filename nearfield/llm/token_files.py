@@ -21,7 +21,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from pathlib import PurePosixPath
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
-from nearfield.llm.storage import map_arrow, scratch, written
+from nearfield.llm.storage import map_arrow, open_fs, scratch, written
 from nearfield.llm.word_bpe import _texts, vocabulary
 from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led, single_spaced, word_table
 
@@ -41,12 +40,6 @@ KEPT = 900_000  # words that a worker process keeps
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
 
 
-def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if urlparse(uri).scheme in ("", "file"):
-        return pafs.LocalFileSystem(), urlparse(uri).path
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _table_ids(table: WordTable, spaced: WordTable, text: bytes) -> bytes:
     """White space outside ASCII can join a run of spaces that the words are cut at; such texts are encoded whole."""
     if not text.isascii() and WIDE_SPACE.search(text.decode("utf-8", "replace")):
@@ -101,7 +94,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
         table = None
         context = TaskContext.get()
         shard, name = context.partitionId(), uuid.uuid4().hex
-        fs, base = _open_fs(path)
+        fs, base = open_fs(path)
         total, n_docs = 0, 0
         files = [str(PurePosixPath(base) / f"{kind}-{shard:06d}-{name}.arrow") for kind in ("ids", "docs")]
         for batch in batches:
@@ -133,7 +126,7 @@ class TokenFile:
     """Random access to the sequences of one file, in place where the file is local."""
 
     def __init__(self, uri: str, base: str = ""):
-        fs, path = _open_fs(uri if not base else base)
+        fs, path = open_fs(uri if not base else base)
         if base:
             path = uri
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)

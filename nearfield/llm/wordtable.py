@@ -59,6 +59,10 @@ class WordTable:
 
     def join(self, words: list[bytes]) -> bytes:
         """The ids of the words, in their order, packed."""
+        return b"".join(self.each(words))
+
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word."""
         got = self.ids
         if missing := set(words).difference(got):
             if len(got) > self.most:
@@ -66,7 +70,7 @@ class WordTable:
                     del got[w]
                 missing = set(words).difference(got)
             self.add(list(missing))
-        return b"".join(map(got.__getitem__, words))
+        return list(map(got.__getitem__, words))
 
     def decode(self, packed: bytes) -> str:
         """Pieces joined by spaces, as a tokenizer without decoder does: a join of ids with the id-to-piece table."""
