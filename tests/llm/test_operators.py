@@ -151,7 +151,7 @@ def test_word_tables(spark, docs):
     two = docs.repartition(2, "doc_id")
     tables = spark.read.parquet(word_bpe.word_tables(two, path, 3))
     words = [(r.part, r.at, w) for r in tables.collect() for w in bytes(r.words).split(b" ")]
-    assert len(words) == len(set(words)) and {w for *_, w in words} == {w for t in TEXTS for w in (t or "").encode().split()}
+    assert len(words) == len(set(words)) and {w for *_, w in words} == {w for r in docs.collect() for w in (r.text or "").encode().split()}
     assert {r.doc_id: r.ids for r in word_bpe.encode(two, path, 3).collect()} == {r.doc_id: r.ids for r in word_bpe.encode(docs, path).collect()}
 
 
