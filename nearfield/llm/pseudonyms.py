@@ -13,6 +13,10 @@ Card numbers permute all digits but the last, which is computed anew. IPv4 addre
 their four numbers modulo 256. Dates permute year (of 200, from 1900) and day of a common
 year; 29 February maps among leap years.
 
+Cards are looked for between the other values, in every run of digit groups: each part of a run
+that begins and ends at a separator or the run's ends is tested, so a number beside a card (an
+expiry date, a security code) doesn't hide it. Of parts that overlap the longest counts.
+
 Only rows with a match do more than the search; there is no shuffle and no Python.
 
 Defined cases: null text stays null with no matches; long texts are searched whole; numbers
@@ -33,9 +37,11 @@ SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ -]?(?:\([0-9]{2,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{3}-[0-9]{2,3}-[0-9]{4}(?![0-9A-Za-z])"
-CARD = r"(?<![0-9A-Za-z])(?:[0-9][ -]?){12,18}[0-9](?![0-9A-Za-z])"
-KINDS = [("email", EMAIL), ("secret", SECRET), ("ipv4", IPV4), ("date", DATE), ("phone", PHONE), ("card", CARD)]
+KINDS = [("email", EMAIL), ("secret", SECRET), ("ipv4", IPV4), ("date", DATE), ("phone", PHONE)]
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: a whole run of digit groups, in which cards are looked for; possessive, so that long runs need no stack
+RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -][0-9]++(?![A-Za-z]))*+(?![A-Za-z])"
+CARD_DIGITS = range(19, 12, -1)
 
 HEX = "0123456789abcdef"
 
@@ -117,12 +123,68 @@ def _let(value: Column, f) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """A validated card number, with any separators, under its pseudonym."""
+
     def new(digits):
         n = F.char_length(digits)
         body = feistel(F.substring(digits, F.lit(1), n - 1), key, "card")
         return _let(body, lambda b: F.concat(b, F.pmod(10 - _luhn(b, 1) % 10, F.lit(10)).cast("string")))
 
-    return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(_luhn(d, 0) % 10 == 0, _with_digits(m, new(d))).otherwise(m))
+    return _let(F.regexp_replace(m, "[^0-9]", ""), lambda d: _with_digits(m, new(d)))
+
+
+def _cards_at(tokens: Column) -> Column:
+    """(less: minus the number of digits, at) of the cards among a run's digits, each with the separator
+    before it: parts between separators with a right Luhn digit, the longest first, then the first."""
+
+    def bound(i):
+        return (i == 0) | (i == F.size(tokens)) | (F.char_length(F.get(tokens, i)) == 2)
+
+    def valid(c):
+        digits = F.regexp_replace(F.array_join(F.slice(tokens, c["at"] + 1, -c["less"]), ""), "[ -]", "")
+        return bound(c["at"] - c["less"]) & (_luhn(digits, 0) % 10 == 0)
+
+    def from_here(i):
+        sizes = F.array(*(F.struct(F.lit(-n).alias("less"), i.alias("at")) for n in CARD_DIGITS))
+        return F.filter(sizes, lambda c: F.when(c["at"] - c["less"] <= F.size(tokens), valid(c)).otherwise(F.lit(False)))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), bound)
+    none = F.array().cast("array<struct<less:int,at:int>>")
+
+    def add(chosen, c):
+        met = F.exists(chosen, lambda o: (o["at"] < c["at"] - c["less"]) & (c["at"] < o["at"] - o["less"]))
+        return F.when(met, chosen).otherwise(F.concat(chosen, F.array(c)))
+
+    return F.aggregate(F.array_sort(F.flatten(F.transform(starts, from_here))), none, add)
+
+
+def _run(m: Column, key: str) -> Column:
+    """(text, n): a run of digits with its n cards under pseudonyms."""
+
+    def put(tokens):
+        by_place = F.array_sort(F.transform(_cards_at(tokens), lambda c: F.struct(c["at"].alias("at"), (-c["less"]).alias("n"))))
+
+        def rebuilt(cards):
+            joined = lambda a, n: F.array_join(F.slice(tokens, a + 1, n), "")
+            start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+            done = F.aggregate(cards, start, lambda s, c: F.struct(F.concat(s["out"], joined(s["at"], c["at"] - s["at"]), _card(joined(c["at"], c["n"]), key)).alias("out"), (c["at"] + c["n"]).alias("at")))
+            return _let(done, lambda s: F.struct(F.concat(s["out"], joined(s["at"], F.size(tokens))).alias("text"), F.size(cards).alias("n")))
+
+        return _let(by_place, rebuilt)
+
+    return _let(F.regexp_extract_all(m, F.lit("[ -]?[0-9]"), F.lit(0)), put)
+
+
+def _with_cards(text: Column, key: str) -> Column:
+    """(text, n): a text with its n cards under pseudonyms."""
+
+    def put(runs):
+        between = F.split(text, RUN, -1)
+        joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(runs)), runs, lambda a, b: F.concat(a, b["text"])), ""), F.element_at(between, -1))
+        return F.struct(joined.alias("text"), F.aggregate(runs, F.lit(0), lambda a, b: a + b["n"]).alias("n"))
+
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda m: _run(m, key))
+    return F.when(text.rlike(RUN), _let(runs, put)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -193,7 +255,7 @@ def _phone(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str = KEY) -> Column:
     whole = {k: m.rlike(f"^(?:{p})$") for k, p in KINDS}
     out = F.when(whole["email"], _email(m, key)).when(whole["secret"], feistel(m, key, "secret", hexa=True)).when(whole["ipv4"], _ipv4(m, key)).when(whole["date"], _date(m, key)).when(whole["phone"], _phone(m, key))
-    return out.otherwise(_card(m, key))
+    return out.otherwise(m)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -201,10 +263,13 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.col("text")
     marked = docs.withColumn("found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     marked = marked.withColumn("put", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))).otherwise(F.col("found")))
+    # cards are looked for between the other values
+    numbers = text.rlike(RUN)
     between = F.split(text, ANY, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("put")), F.col("put"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
-    n = F.size(F.filter(F.zip_with("found", "put", lambda a, b: a != b), lambda x: x))
-    return marked.select(*[c for c in docs.columns if c != "text"], F.when(F.size("found") > 0, joined).otherwise(text).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_found"))
+    marked = marked.withColumn("between", F.when(numbers, F.transform(between, lambda t: _with_cards(t, key))).otherwise(F.transform(between, lambda t: F.struct(t.alias("text"), F.lit(0).alias("n")))))
+    joined = F.concat(F.array_join(F.zip_with(F.slice("between", 1, F.size("put")), F.col("put"), lambda a, b: F.concat(a["text"], b)), ""), F.element_at("between", -1)["text"])
+    n = F.size(F.filter(F.zip_with("found", "put", lambda a, b: a != b), lambda x: x)) + F.aggregate("between", F.lit(0), lambda a, b: a + b["n"])
+    return marked.select(*[c for c in docs.columns if c != "text"], F.when((F.size("found") > 0) | numbers, joined).otherwise(text).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_found"))
 
 
 def op3(spark, sf_dir):

@@ -102,6 +102,20 @@ def test_pseudonyms(spark, docs, none):
     assert pseudonyms.pseudonymised(none).count() == 0
 
 
+def test_cards_beside_numbers(spark):
+    lines = ["card 4111 1111 1111 1111 12/25", "4111111111111111 123", "12 4111111111111111", "4111 1111 1111 1111 2024-01-15 x", "1234 4111-1111-1111-1111 99 4012888888881881 7", "4111111111111111 12x", "4111111111111112 123", "7 " * 4000 + "x", "1" * 5000]
+    got = [r for r in pseudonyms.pseudonymised(table(spark, lines)).orderBy("doc_id").collect()]
+    one = re.match(r"\d{16}", got[1].text)[0]
+    spaced = " ".join(one[i : i + 4] for i in (0, 4, 8, 12))
+    assert one != "4111111111111111"
+    assert [got[i].text for i in (0, 1, 2, 5)] == [f"card {spaced} 12/25", f"{one} 123", f"12 {one}", f"{one} 12x"]
+    assert got[3].text.startswith(spaced) and "2024-01-15" not in got[3].text
+    assert got[4].text.startswith(f"1234 {spaced.replace(' ', '-')} 99 ") and "4012888888881881" not in got[4].text
+    assert [got[i].n_found for i in (0, 1, 2, 3, 4, 5, 6)] == [1, 1, 1, 2, 2, 1, 0] and got[6].text == lines[6] and got[8].text == lines[8]
+    # longest first: a part of a longer valid number is not a card of its own
+    assert len(got[7].text) == len(lines[7])
+
+
 def test_feistel_permutes(spark):
     from pyspark.sql import functions as F
 
