@@ -6,12 +6,14 @@ text's is the product over its words (runs of letters, lower-cased). The probabi
 fitted by expectation maximisation (forward-backward counts) on training texts.
 
 Training texts are a bounded sample: the ``per_language`` documents of each language with the
-smallest hash of doc_id, whole texts. Languages with a training document count, the
-``MOST_LANGUAGES`` most frequent at most. Prediction reads the text alone, and all of it.
+smallest hash of doc_id, whole texts. All languages with a training document count; they are
+fitted and scored ``AT_ONCE`` at a time. Prediction reads the text alone, and all of it.
 
-Words are scored once a task and looked up again (at most ``WORDS`` words are held, then the
-table starts anew). Runs of more than ``LONGEST`` letters are scored in pieces of that length,
-so that no product underflows.
+Words are scored once a task and looked up again (at most ``WORDS`` words are held, fewer with
+many languages, then the table starts anew). Runs of more than ``LONGEST`` letters are scored in
+pieces of that length, and every letter's probability is multiplied by ``SCALE``, which is taken
+out of the logarithm again: a run of letters that no training text has (1e-12 each) doesn't
+underflow, and one of probability 1 doesn't overflow.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; without any
 training document every text is ``und``; ties go to the first language by name; rows may
@@ -33,8 +35,9 @@ from nearfield.llm.storage import map_arrow
 from nearfield.llm.word_bpe import vocabulary
 
 PIECES = "piece_bpe_32k.model"
-PER_LANGUAGE, MOST_LANGUAGES, ROUNDS = 300, 200, 2
+PER_LANGUAGE, AT_ONCE, ROUNDS = 300, 50, 2
 LONGEST, WORDS = 48, 200_000
+SCALE = 2.0**20  # a power of two, so that products stay exact; of LONGEST + 1 letters below 2**1024
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"  # begins a word in the vocabulary
 #: words of evidence that a score of a long text stands for
@@ -56,6 +59,7 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.id = {p: i + 2 for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        self.scale = SCALE ** np.minimum([0, 1, *map(len, pieces)], LONGEST + 1)[:, None].astype(float)
 
     def grid(self, words: list[str]) -> np.ndarray:
         """Piece ids [end, length, word] of marked words of one length."""
@@ -113,10 +117,13 @@ class Model:
         """log likelihood [word, language], in the order given."""
         out = np.zeros((len(words), len(self.languages)))
         at = {w: i for i, w in enumerate(words)}
+        scaled = [(k, self.p[:, k : k + AT_ONCE] * self.pieces.scale) for k in range(0, len(self.languages), AT_ONCE)]
         for group in _by_length(words).values():
             for a in range(0, len(group), 4096):
                 part = group[a : a + 4096]
-                out[[at[w] for w in part]] = np.log(_forward(self.pieces.grid([MARK + w for w in part]), self.p)[-1])
+                grid, to = self.pieces.grid([MARK + w for w in part]), np.array([at[w] for w in part])
+                for k, p in scaled:
+                    out[to, k : k + AT_ONCE] = np.log(_forward(grid, p)[-1]) - (grid.shape[0] - 1) * np.log(SCALE)
         return out
 
 
@@ -135,28 +142,28 @@ def fit(samples: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) ->
     for _ in range(rounds):
         p[0] = 0
         p /= p.sum(axis=0)
+        q = p * pieces.scale
         expected = np.full((size, len(languages)), 0.01)
         for grid, c in groups:
-            alpha, beta = _forward(grid, p), _backward(grid, p)
+            alpha, beta = _forward(grid, q), _backward(grid, q)
             share = c / np.maximum(alpha[-1], 1e-300)
             for i in range(1, grid.shape[0]):
                 for k in range(1, min(i, grid.shape[1] - 1) + 1):
                     ids = grid[i, k]
                     on = np.flatnonzero(ids)
                     if len(on):
-                        np.add.at(expected, ids[on], alpha[i - k][on] * p[ids[on]] * beta[i][on] * share[on])
+                        np.add.at(expected, ids[on], alpha[i - k][on] * q[ids[on]] * beta[i][on] * share[on])
         p = expected
     p[0] = 0
     return Model(pieces, languages, p / p.sum(axis=0))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of the ``per_language`` documents of each language with the smallest hashes."""
-    named = docs.where("lang is not null and text is not null")
+def training_sample(docs: DataFrame, languages: list[str], per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
+    """(lang, text) of the ``per_language`` documents of each of ``languages`` with the smallest hashes."""
+    named = docs.where(F.col("lang").isin(languages) & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     ids = named.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-    langs = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    chosen = ids.where(F.col("lang").isin(langs)).select("doc_id", "lang")
+    chosen = ids.select("doc_id", "lang")
     return sorted((r.lang, r.text) for r in named.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").collect())
 
 
@@ -168,7 +175,7 @@ class Scorer:
 
     def _learn(self, words: set[str]) -> None:
         new = sorted(w for w in words if w not in self.index)
-        if len(self.index) + len(new) > WORDS:
+        if len(self.index) + len(new) > WORDS // -(-len(self.model.languages) // AT_ONCE):
             self.index, self.scores, new = {}, np.zeros((0, 0)), sorted(words)
         if new:
             got = self.model.word_scores(new)
@@ -213,8 +220,13 @@ def held_out():
 
 
 def learned(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> Model | None:
-    samples = training_sample(docs.where(train), per_language)
-    return fit(samples, Pieces(vocabulary_pieces(vocabulary(PIECES)))) if samples else None
+    docs = docs.where(train)
+    languages = sorted(r.lang for r in docs.where("lang is not null and text is not null").select("lang").distinct().collect())
+    pieces, parts = Pieces(vocabulary_pieces(vocabulary(PIECES))) if languages else None, []
+    for k in range(0, len(languages), AT_ONCE):
+        if samples := training_sample(docs, languages[k : k + AT_ONCE], per_language):
+            parts.append(fit(samples, pieces))
+    return Model(pieces, [x for m in parts for x in m.languages], np.concatenate([m.p for m in parts], axis=1)) if parts else None
 
 
 def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -135,6 +135,25 @@ def test_language(spark, docs, none):
     assert language.predict(none, language.learned(none, language.F.lit(True))).count() == 0
 
 
+def test_letters_of_unseen_scripts():
+    texts = [("a", "the cat sat on the mat " * 40_000), ("b", "der hund lief in den wald " * 40_000)]
+    model = language.fit(texts, language.Pieces(["▁", "▁the", "▁der", "a", "t", "n"]))
+    model.p[1] = 1e-9
+    assert np.isfinite(model.word_scores(["語" * 48])).all()
+    pred, sure = language.Scorer(model)(["der hund " * 50 + "語" * 60, "語" * 60])
+    assert pred[0] == "b" and all(0 <= x <= 1 for x in sure)
+
+
+def test_many_languages(spark, monkeypatch):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + i % 7)}x" for i in range(205)]
+    rows = [(i, f"{w} {w} {w}", f"l{i:03}", "s", 1, 1) for i, w in enumerate(words)]
+    monkeypatch.setattr(language, "AT_ONCE", 60)
+    model = language.learned(spark.createDataFrame(rows, SCHEMA), language.F.lit(True))
+    assert model.languages == [f"l{i:03}" for i in range(205)]
+    pred, _ = language.Scorer(model)([words[204], words[0]])
+    assert pred == ["l204", "l000"]
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(["▁", "▁a", "a", "ab", "b"])
     p = np.zeros((7, 1))
