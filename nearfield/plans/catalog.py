@@ -676,6 +676,13 @@ def _(spark, sf_dir):
     return found.select("frag", "code", F.posexplode("cv").alias("pos", "x")).select("frag", "code", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
+@query("codebook_whole")
+def _(spark, sf_dir):
+    """All fragments of whole vectors; tested against numpy."""
+    t = T(spark, sf_dir)
+    return train.codebook(t.base, t.codebook, FRAGMENTS, WIDTH, 2, digits=6).select("frag", "code", F.posexplode("cv").alias("pos", "x"))
+
+
 @query("cluster_stats", f"{WITH}, a AS (SELECT vec_id, slot, dist FROM (SELECT vec_id, c.label AS slot, {_l2('cv', 'v')} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('cv', 'v')}, c.label) AS r FROM e, c) WHERE r = 1) SELECT slot::BIGINT AS slot, count(*) AS n, round(sum(dist), 6) AS cost FROM a GROUP BY slot")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
@@ -742,7 +749,7 @@ def _(spark, sf_dir):
 
 
 def _text(t: T) -> DataFrame:
-    return t.base.select(F.concat_ws(";", F.col("label").cast("string"), F.col("vec_id").cast("string"), F.array_join(F.transform(F.slice("v", 1, 8), lambda x: F.round(x, 3).cast("decimal(10,3)").cast("string")), ",")).alias("value"))
+    return t.base.select(F.concat_ws(";", F.col("label").cast("string"), F.col("vec_id").cast("string"), F.array_join(F.transform("v", lambda x: F.round(x, 3).cast("decimal(10,3)").cast("string")), ",")).alias("value"))
 
 
 @query("text_vectors", f"{WITH} SELECT vec_id AS key, label::BIGINT AS cat, round(list_sum(list_transform(v[1:6], lambda x: round(x, 3))), 3) + 0.0 AS total FROM e WHERE vec_id % 11 <> 0")
@@ -750,8 +757,8 @@ def _(spark, sf_dir):
     """Lines of vectors, some too short, parsed back."""
     t = T(spark, sf_dir)
     lines = _text(t).withColumn("value", F.when(F.regexp_extract("value", r"^\d+;(\d+);", 1).cast("long") % 11 == 0, F.substring_index("value", ",", 3)).otherwise(F.col("value")))
-    rows = readers.parsed_vectors(lines, 6, category=True)
-    return rows.select("key", "cat", (F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + 0.0).alias("total"))
+    rows = readers.parsed_vectors(lines, FRAGMENTS * WIDTH, category=True)
+    return rows.select("key", "cat", (F.round(F.aggregate(F.slice("vec", 1, 6), F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @query("centroid_file", f"{WITH} SELECT label % 3 AS parent, label, round(cv[1], 3) + 0.0 AS x FROM c")

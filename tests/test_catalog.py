@@ -101,3 +101,23 @@ def test_binary_sources(spark, tmp_path):
     assert [(r.key, r.vec) for r in readers.read_vecs(spark, str(tmp_path / "v"), 3).collect()] == [(7, [0, 1, 2]), (8, [3, 4, 5])]
     (tmp_path / "b").write_bytes(np.array([2, 3], "<u4").tobytes() + x.tobytes())
     assert [r.vec for r in readers.read_bin(spark, str(tmp_path / "b")).collect()][1] == [3, 4, 5]
+
+
+def test_codebook_of_whole_vectors(spark):
+    t = catalog.T(spark, DIR)
+    rows = sorted(t.base.collect(), key=lambda r: r.vec_id)
+    x = np.array([r.v for r in rows])
+    got = {(r.frag, r.code, r.pos): r.x for r in catalog.queries()["codebook_whole"](spark, DIR).collect()}
+    for f in range(16):
+        own = x[:, 4 * f : 4 * f + 4]
+        book = own[: catalog.CODES]
+        for _ in range(2):
+            near = ((own[:, None] - book[None]) ** 2).sum(axis=2).argmin(axis=1)
+            book = np.array([own[near == k].mean(axis=0).round(6) if (near == k).any() else c for k, c in enumerate(book)])
+        assert np.allclose([[got[f, k, j] for j in range(4)] for k in range(catalog.CODES)], book, atol=2e-6), f
+    assert len(got) == 64 * catalog.CODES
+
+
+def test_text_of_whole_vectors(spark):
+    lines = catalog._text(catalog.T(spark, DIR)).limit(5).collect()
+    assert all(len(r.value.split(";")[2].split(",")) == 64 for r in lines)
