@@ -2,8 +2,8 @@
 
 Vectors are dealt by hash to as many shards as ``shard_rows`` asks for; each shard's graph is
 built by one task and searched by one task, and shards' results meet in a top-k. ``copies``
-puts each vector into the shards of its nearest centroids instead, and the graphs of a vector's
-shards are merged.
+puts each vector into the shards of its nearest centroids instead; those shards are searched
+apart too. ``merged`` unites their graphs, but no search uses it.
 """
 
 from __future__ import annotations
