@@ -1,21 +1,24 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is split by documents: every segment (about ``SEGMENT`` bytes of whole texts) is
-one row that holds its own posting lists, so building needs no shuffle, a hot term or
-source is spread over all segments, and a lost task rebuilds only its own. A query looks
-for windows of consecutive test words: from the window's rarest term in the segment it
-takes the posting list, moved back by the term's offset, and intersects it with the moved
-lists of the other terms, the next rarest first. ``slop`` relaxes each place by some words.
+one row that holds the posting lists of all its words, so building needs no shuffle, a hot term
+or source is spread over all segments, a lost task rebuilds only its own, and one index serves
+any benchmark. A query looks for windows of consecutive test words: from the window's rarest term
+in the segment it takes the posting list, moved back by the term's offset, and intersects it with
+the moved lists of the other terms, the next rarest first.
 
-Terms are 64-bit hashes of lower-cased words. Only postings of ``terms`` are stored, where
-given (the words of the tests are the only ones a search can ask for).
+A phrase match has all words of a window at their places. A proximity match has a place s in the
+document such that the window's word number i is within ``slop`` words of s + i, for every i.
 
-The tests are searched in blocks of at most ``BLOCK`` bytes of text, each broadcast to the
-tasks; a larger test set takes several passes over the index.
+Terms are 64-bit hashes of lower-cased words; posting lists are differences of 32 bits in byte
+planes, which compress well. The tests are searched in blocks of ``block_bytes`` of text, each a
+broadcast of its windows; every further block is another pass over the same index.
 
 Defined cases: null text and empty text have no words; a null item_id or an item without
-words is ignored; items that share an id count once; rows that share a doc_id stay separate
-rows; empty tables give no hits. Further columns of either table are ignored.
+words is ignored; an item of fewer words than a window is one window; items that share an id
+count once; rows that share a doc_id stay separate rows; a null doc_id is kept; a text longer
+than a segment is one segment; empty tables give no hits. Further columns of either table,
+whatever their names, are ignored (``decontaminated`` keeps those of the documents).
 """
 
 from __future__ import annotations
@@ -27,22 +30,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
-from nearfield.llm.storage import map_arrow, written
+from nearfield.llm.storage import map_arrow, scratch, spare
 
 SEGMENT = 4 << 20
-BLOCK = 32 << 20
+BLOCK = 4 << 20
 GAP = 1024  # positions between two documents: no window reaches across
+SLOP = 2
+AT_ONCE = 2_000_000  # places that are intersected at once
+
+INDEX = "segment long, doc_ids binary, firsts binary, counts binary, terms binary, sizes binary, places binary"
+FOUND = "segment long, doc_no int, doc_id long, n_words long, spans array<int>, items array<string>, near_items array<string>"
+NO_ID = np.iinfo(np.int64).min
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.cast(pa.int64()).fill_null(NO_ID))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers under 2**32, plane by plane of their bytes."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-INDEX = "segment long, doc_ids binary, firsts binary, counts binary, terms binary, starts binary, places binary"
 
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew for each size."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
-def positional_index(docs: DataFrame, terms: np.ndarray | None = None, segment_bytes: int = SEGMENT) -> DataFrame:
+
+def positional_index(docs: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
     """One row per segment: its documents (id, first position, words) and, for each term, a sorted list of positions."""
-    wanted = None if terms is None else np.unique(terms)
-    sieve = None
-    if wanted is not None:
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(wanted & tg.U(0xFFFFF)).astype(np.int64)] = True
 
     def build(batches):
         part, k = TaskContext.get().partitionId(), 0
@@ -51,126 +72,143 @@ def positional_index(docs: DataFrame, terms: np.ndarray | None = None, segment_b
                 h, first = tg.words(*tg.buffers(rows.column("text")), tg.ALNUM)
                 counts = np.diff(first)
                 at = np.arange(len(h), dtype=np.int64) + np.repeat(np.arange(len(counts), dtype=np.int64) * GAP, counts)
-                if wanted is not None:
-                    near = np.flatnonzero(sieve[(h & tg.U(0xFFFFF)).astype(np.int64)])
-                    slot = np.minimum(np.searchsorted(wanted, h[near]), max(len(wanted) - 1, 0))
-                    keep = near[wanted[slot] == h[near]] if len(wanted) else near[:0]
-                    h, at = h[keep], at[keep]
                 order = np.argsort(h, kind="stable")
-                own, starts = np.unique(h[order], return_index=True)
-                ids = rows.column("doc_id")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part << 32 | k], pa.int64()),
-                        *(pa.array([x.tobytes()], pa.binary()) for x in (_ids(ids), (first[:-1] + np.arange(len(counts)) * GAP).astype(np.int64), counts.astype(np.int64), own, np.append(starts, len(h)).astype(np.int64), at[order])),
-                    ],
-                    names=["segment", "doc_ids", "firsts", "counts", "terms", "starts", "places"],
-                )
+                h, at = h[order], at[order]
+                new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                steps = np.diff(at, prepend=0)
+                steps[new] = at[new]
+                values = (_ids(rows.column("doc_id")).tobytes(), _packed(first[:-1] + np.arange(len(counts)) * GAP), _packed(counts), h[new].tobytes(), _packed(np.diff(np.append(new, len(h)))), _packed(steps))
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], names=[f.split()[0] for f in INDEX.split(", ")])
                 k += 1
 
     return map_arrow(docs.select("doc_id", "text"), build, INDEX)
 
 
-NO_ID = np.iinfo(np.int64).min
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.cast(pa.int64()).fill_null(NO_ID))
+def saved_index(docs: DataFrame) -> DataFrame:
+    """The index as a table in the shared folder."""
+    path = scratch(docs.sparkSession, "postings")
+    positional_index(docs).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(INDEX).parquet(path)
 
 
 class Windows:
-    """The windows of a block of test items, as flat arrays."""
+    """The distinct windows of test items, as flat arrays, and the items that have each."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str, str]], size: int, short: bool = True):
         self.names = [i for i, _ in items]
         h, first = tg.word_hashes([t or "" for _, t in items], tg.ALNUM)
-        found: dict[bytes, list] = {}
-        for i in range(len(items)):
-            w = h[first[i] : first[i + 1]]
-            for k in range(max(1, len(w) - size + 1) if len(w) else 0):
-                found.setdefault(w[k : k + size].tobytes(), []).append(i)
-        self.length = np.array([len(w) // 8 for w in found], np.int64)
-        self.terms = np.frombuffer(b"".join(found), np.uint64)
+        words = np.diff(first)
+        many = np.where(words >= size, words - size + 1, (words > 0) & short).astype(np.int64)
+        owner = np.repeat(np.arange(len(items)), many)
+        start = first[owner] + _ramp(many)
+        length = np.minimum(words[owner], size)
+        full = tg.windows(h, size)
+        same = np.array([full[a] if n == size else tg.U(tg.runs(h[a : a + n])) for a, n in zip(start.tolist(), length.tolist(), strict=True)], np.uint64)
+        _, one, of = np.unique(same, return_index=True, return_inverse=True)
+        self.length = length[one]
         self.first = np.append(0, np.cumsum(self.length))
-        self.owner = np.array([i for own in found.values() for i in sorted(set(own))], np.int64)
-        self.owners = np.append(0, np.cumsum([len(set(own)) for own in found.values()])).astype(np.int64)
+        self.terms = h[np.repeat(start[one], self.length) + _ramp(self.length)]
+        own = np.unique(np.stack([of.reshape(-1), owner]), axis=1) if len(of) else np.zeros((2, 0), np.int64)
+        self.owner, self.owners = own[1], np.searchsorted(own[0], np.arange(len(one) + 1))
         self.vocabulary, self.term_of = np.unique(self.terms, return_inverse=True)
 
 
-def _match(q: Windows, terms: np.ndarray, starts: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position of its first word) of every match in one segment."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(q.length) or not len(terms):
-        return none
-    slot = np.minimum(np.searchsorted(terms, q.vocabulary), len(terms) - 1)
-    there = terms[slot] == q.vocabulary
-    many = np.where(there, starts[slot + 1] - starts[slot], 0)
-    df = many[q.term_of]
+class Segment:
+    """A row of the index, with the posting lists of some terms."""
+
+    def __init__(self, row: dict, vocabulary: np.ndarray):
+        self.ids = np.frombuffer(row["doc_ids"], np.int64)
+        self.firsts, self.counts = _unpacked(row["firsts"]), _unpacked(row["counts"])
+        terms, sizes = np.frombuffer(row["terms"], np.uint64), _unpacked(row["sizes"])
+        starts = np.append(0, np.cumsum(sizes))
+        slot = np.minimum(np.searchsorted(terms, vocabulary), max(len(terms) - 1, 0))
+        there = terms[slot] == vocabulary if len(terms) else np.zeros(len(vocabulary), bool)
+        self.many = np.where(there, sizes[slot] if len(terms) else 0, 0)
+        self.starts = np.append(0, np.cumsum(self.many))
+        take = np.repeat(starts[slot], self.many) + _ramp(self.many)
+        total = np.cumsum(_unpacked(row["places"]))
+        before = np.append(0, total)[starts[slot]]  # differences begin anew with each term
+        self.places = total[take] - np.repeat(before, self.many)
+        self.key = np.repeat(np.arange(len(vocabulary), dtype=np.int64) << 40, self.many) | self.places
+
+
+def _match(q: Windows, seg: Segment, slop: int):
+    """(window, place of the start, place of its rarest term) of every match in one segment, in parts."""
+    if not len(q.length):
+        return
+    df = seg.many[q.term_of]
     live = np.flatnonzero(np.minimum.reduceat(df, q.first[:-1]) > 0)
-    if not len(live):
-        return none
     # for every live window, its terms from the rarest on
     n = q.length[live]
-    flat = np.repeat(q.first[live] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-    window = np.repeat(np.arange(len(live)), n)
-    order = flat[np.lexsort((flat, df[flat], window))]
+    flat = np.repeat(q.first[live], n) + _ramp(n)
+    order = flat[np.lexsort((flat, df[flat], np.repeat(np.arange(len(live)), n)))]
     lead = np.append(0, np.cumsum(n))
-    key = (np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(starts)) << 40) | places
-    rare = order[lead[:-1]]
-    size = df[rare]
-    base = starts[slot[q.term_of[rare]]]
-    w = np.repeat(np.arange(len(live)), size)
-    hit = np.repeat(base - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-    at = places[hit] - np.repeat(rare - q.first[live], size)
-    for r in range(1, int(n.max())):
-        more = n[w] > r
-        term = order[np.minimum(lead[w] + r, lead[w + 1] - 1)]
-        want = (slot[q.term_of[term]].astype(np.int64) << 40) + np.maximum(at + (term - q.first[live[w]]) - slop, 0)
-        k = np.minimum(np.searchsorted(key, want), len(key) - 1)
-        ok = ~more | ((key[k] >= want) & (key[k] <= want + 2 * slop))
-        w, at = w[ok], at[ok]
-        if not len(w):
-            break
-    return live[w], at
-
-
-def search(index: DataFrame, items: list[tuple[str, str]], size: int = 10, slop: int = 0, all_docs: bool = True) -> DataFrame:
-    """Per document: its words, spans of word numbers that lie in exact matches, the items with
-    exact matches, and the items with matches within ``slop`` words of each place."""
-    q = Windows(items, size)
+    work = np.cumsum(df[order[lead[:-1]]]) * (2 * slop + 1)
+    cuts = np.unique(np.searchsorted(work, np.arange(0, work[-1] if len(work) else 0, AT_ONCE), "left"))
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(live)], strict=True):
+        own = np.arange(lo, hi)
+        rare = order[lead[own]]
+        size = df[rare]
+        term = q.term_of[rare]
+        w = np.repeat(own, size)
+        seen = seg.places[np.repeat(seg.starts[term], size) + _ramp(size)]
+        at = seen - np.repeat(rare - q.first[live[own]], size)
+        if slop:
+            at = (at[:, None] + np.arange(-slop, slop + 1)).ravel()
+            w, seen = np.repeat(w, 2 * slop + 1), np.repeat(seen, 2 * slop + 1)
+        for r in range(1, int(n[own].max(initial=0))):
+            more = n[w] > r
+            term = order[np.minimum(lead[w] + r, lead[w + 1] - 1)]
+            place = at + (term - q.first[live[w]])
+            base = q.term_of[term].astype(np.int64) << 40
+            k = np.minimum(np.searchsorted(seg.key, base + np.maximum(place - slop, 0)), len(seg.key) - 1)
+            ok = ~more | ((seg.key[k] >= base) & (seg.key[k] <= base + place + slop) & (place + slop >= 0))
+            w, at, seen = w[ok], at[ok], seen[ok]
+            if not len(w):
+                break
+        yield live[w], at, seen
+
+
+def search(index: DataFrame, items: list[tuple[str, str]], size: int = 10, slop: int = SLOP, all_docs: bool = True, short: bool = True) -> DataFrame:
+    """Per document: its words, spans of word numbers that lie in phrase matches, the items with phrase
+    matches, and the items with proximity matches (phrase matches too)."""
+    sent = index.sparkSession.sparkContext.broadcast(Windows(items, size, short))
 
     def run(batches):
+        q = sent.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids, firsts, counts, starts, places = (np.frombuffer(row[c], np.int64) for c in ("doc_ids", "firsts", "counts", "starts", "places"))
-                terms = np.frombuffer(row["terms"], np.uint64)
-                found = {}
+                seg = Segment(row, q.vocabulary)
+                found: dict[int, tuple] = {}
                 for near in (False, True) if slop else (False,):
-                    w, at = _match(q, terms, starts, places, slop if near else 0)
-                    doc = np.searchsorted(firsts, np.maximum(at, 0), "right") - 1
-                    for d, s, x in zip(doc.tolist(), (at - firsts[doc]).tolist(), w.tolist(), strict=True):
-                        spans, exact, loose = found.setdefault(d, ([], set(), set()))
-                        own = q.owner[q.owners[x] : q.owners[x + 1]].tolist()
-                        loose.update(own)
+                    for w, at, seen in _match(q, seg, slop if near else 0):
+                        doc = np.searchsorted(seg.firsts, seen, "right") - 1
+                        # a document of no words begins where the next one does, less the gap; the last start counts
+                        both = np.unique(np.stack([doc, w]), axis=1)
+                        for d, x in both.T.tolist():
+                            spans, exact, loose = found.setdefault(d, ([], set(), set()))
+                            own = q.owner[q.owners[x] : q.owners[x + 1]].tolist()
+                            loose.update(own)
+                            if not near:
+                                exact.update(own)
                         if not near:
-                            exact.update(own)
-                            spans.append((s, s + int(q.length[x])))
-                docs = range(len(ids)) if all_docs else sorted(found)
-                none = ([], (), ())
-                got = [found.get(d, none) for d in docs]
+                            for d, s, x in zip(doc.tolist(), (at - seg.firsts[doc]).tolist(), w.tolist(), strict=True):
+                                found[d][0].append((s, s + int(q.length[x])))
+                docs = range(len(seg.ids)) if all_docs else sorted(found)
+                got = [found.get(d, ([], (), ())) for d in docs]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["segment"]] * len(got), pa.int64()),
                         pa.array(list(docs), pa.int32()),
-                        pa.array([None if ids[d] == NO_ID else int(ids[d]) for d in docs], pa.int64()),
-                        pa.array([int(counts[d]) for d in docs], pa.int64()),
+                        pa.array([None if seg.ids[d] == NO_ID else int(seg.ids[d]) for d in docs], pa.int64()),
+                        pa.array([int(seg.counts[d]) for d in docs], pa.int64()),
                         pa.array([_merged(g[0]) for g in got], pa.list_(pa.int32())),
                         *(pa.array([sorted({q.names[i] for i in g[k]}) for g in got], pa.list_(pa.string())) for k in (1, 2)),
                     ],
                     names=["segment", "doc_no", "doc_id", "n_words", "spans", "items", "near_items"],
                 )
 
-    return map_arrow(index, run, "segment long, doc_no int, doc_id long, n_words long, spans array<int>, items array<string>, near_items array<string>")
+    return map_arrow(index, run, FOUND)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -191,36 +229,38 @@ def _hit(spans):
     return F.when(F.size(spans) == 0, 0).otherwise(fold).cast("long")
 
 
-def contamination(docs: DataFrame, tests: DataFrame, size: int = 10, slop: int = 2, block_bytes: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside exact matches of ``size``-word windows), items and near_items (sorted ids)."""
+def contamination(docs: DataFrame, tests: DataFrame, size: int = 10, slop: int = SLOP, block_bytes: int = BLOCK, short: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside phrase matches of ``size``-word windows), items and near_items (sorted ids).
+    Without ``short``, items of fewer than ``size`` words don't count."""
     tests = tests.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    blocks = [tests if n == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
-    read = [[(r.item_id, r.text) for r in b.toLocalIterator()] for b in blocks] if n == 1 else None
-    terms = Windows(read[0], size).vocabulary if read else None
-    index = written(positional_index(docs, terms), "postings")
-    found = [search(index, read[0] if read else [(r.item_id, r.text) for r in b.toLocalIterator()], size, slop, i == 0) for i, b in enumerate(blocks)]
+    n = max(1, -(-total // block_bytes))
+    index = saved_index(docs)
+    rows = None
+    for i in range(n):
+        block = [(r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).toLocalIterator()]
+        found = search(index, block, size, slop, i == 0, short)
+        rows = found if rows is None else rows.union(found)
     if n > 1:
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.union(more)
         lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")]
-        found = [rows.groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)]
+        rows = rows.groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), *lists)
     sorted_ids = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")]
-    return found[0].select("doc_id", "n_words", _hit(F.col("spans")).alias("n_hit"), *sorted_ids)
+    return rows.select("doc_id", "n_words", _hit(F.col("spans")).alias("n_hit"), *sorted_ids)
 
 
 def decontaminated(docs: DataFrame, tests: DataFrame, size: int = 10) -> DataFrame:
-    """``docs`` without those that hold a window of a test item. A null doc_id can't be named and stays."""
-    bad = contamination(docs, tests, size, slop=0).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those that hold a whole window of ``size`` words of a test item. Shorter items are no
+    evidence (a one-word item would take every document with that word). A null doc_id can't be named and stays."""
+    mark = spare(docs.columns, "doc_id_")
+    bad = contamination(docs, tests, size, slop=0, short=False).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(mark), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10(spark, sf_dir):
     docs, tests = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = contamination(docs, tests, slop=0)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = contamination(docs, tests)
+    listed = [c for name, ids in (("items", "items"), ("near_items", "near_items")) for c in (F.size(ids).cast("long").alias(f"n_{name}"), F.sha2(F.array_join(ids, ","), 256).alias(f"{name}_sha256"))]
+    return found.select("doc_id", "n_words", "n_hit", *listed, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 ORACLE_SQL = r"""
@@ -235,7 +275,17 @@ starts AS (SELECT d.doc_id, z.size, unnest(range(1, len(d.w) - z.size + 2)) AS i
 spans AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS t FROM starts),
 hits AS (SELECT s.doc_id, s.size, s.i, w.item_id FROM spans s JOIN windows w ON w.t = s.t AND w.size = s.size),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
-hit_items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id)
+hit_items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kinds AS (SELECT t, size, string_split(t, ' ') AS ws FROM (SELECT DISTINCT t, size FROM windows)),
+rare AS (
+  SELECT t, size, ws, word, o FROM (SELECT t, size, ws, unnest(ws) AS word, unnest(range(0, size)) AS o FROM kinds)
+  LEFT JOIN (SELECT t AS word, count(*) AS n FROM places GROUP BY t) USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), o) = 1),
+tries AS (SELECT DISTINCT r.t, r.size, r.ws, p.doc_id, p.p - r.o + s.s AS a FROM rare r JOIN places p ON p.t = r.word, (SELECT unnest(range(-2, 3)) AS s) s),
+near AS (
+  SELECT DISTINCT t.doc_id, t.t FROM tries t JOIN docs d USING (doc_id)
+  WHERE list_bool_and(list_transform(range(0, t.size), lambda k: list_contains(d.w[greatest(1, t.a + k - 2) : greatest(0, t.a + k + 2)], t.ws[k + 1])))),
+near_items AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT n.doc_id, w.item_id::VARCHAR AS id FROM near n JOIN windows w ON w.t = n.t) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(m.n, 0)::BIGINT AS n_near_items, sha256(coalesce(m.ids, '')) AS near_items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items i USING (doc_id) LEFT JOIN near_items m USING (doc_id)
 """

@@ -6,8 +6,9 @@ text's is the product over its words (runs of letters, lower-cased). The probabi
 fitted by expectation maximisation (forward-backward counts) on training texts.
 
 Training texts are a bounded sample: the ``per_language`` documents of each language with the
-smallest hash of doc_id, whole texts. All languages with a training document count; they are
-fitted and scored ``AT_ONCE`` at a time. Prediction reads the text alone, and all of it.
+smallest hash of doc_id, whole texts. Tasks count their words; only the counts of the sample's
+distinct words come to the driver, never texts. All languages with a training document count;
+they are fitted and scored ``AT_ONCE`` at a time. Prediction reads the text alone, and all of it.
 
 Words are scored once a task and looked up again (at most ``WORDS`` words are held, fewer with
 many languages, then the table starts anew). Runs of more than ``LONGEST`` letters are scored in
@@ -15,9 +16,12 @@ pieces of that length, and every letter's probability is multiplied by ``SCALE``
 out of the logarithm again: a run of letters that no training text has (1e-12 each) doesn't
 underflow, and one of probability 1 doesn't overflow.
 
-Defined cases: null text, or text without a letter, is ``und`` with score 0; without any
-training document every text is ``und``; ties go to the first language by name; rows may
-repeat; further columns are ignored.
+Defined cases: null text, or text without a letter (Unicode category L; digits, fractions and
+Roman numeral signs are none), is ``und`` with score 0; without any training document every text
+is ``und``; ties go to the first language by name; rows may repeat, and each row of a doc_id in
+the sample counts; a null doc_id is not held out; very long texts are counted word by word; an
+empty table gives an empty table; ``confident`` keeps further columns of any name, ``predict``
+ignores them.
 """
 
 from __future__ import annotations
@@ -96,7 +100,10 @@ def _backward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def split_words(text: str) -> list[str]:
+    """Runs of letters, lower-cased. ``LETTERS`` also takes characters with a numeric value that are no digits."""
     found = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
     if any(len(w) > LONGEST for w in found):
         return [w[a : a + LONGEST] for w in found for a in range(0, len(w), LONGEST)]
     return found
@@ -129,12 +136,18 @@ class Model:
 
 def fit(samples: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) -> Model:
     """A model of (language, text) samples."""
-    languages = sorted({lang for lang, _ in samples})
+    return fit_counts(((lang, w, c) for lang, text in samples for w, c in [(None, 0), *Counter(split_words(text)).items()]), pieces, rounds)
+
+
+def fit_counts(words, pieces: Pieces, rounds: int = ROUNDS) -> Model:
+    """A model of (language, word, count); a null word only names its language."""
+    words = list(words)
+    languages = sorted({lang for lang, *_ in words})
+    place = {lang: k for k, lang in enumerate(languages)}
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for lang, text in samples:
-        k = languages.index(lang)
-        for w, c in Counter(split_words(text)).items():
-            counts[w][k] += c
+    for lang, w, c in words:
+        if w is not None:
+            counts[w][place[lang]] += c
     size = len(pieces.id) + 2
     length = np.array([0, 1, *map(len, pieces.id)])
     p = np.repeat(0.02 ** np.minimum(length, 4)[:, None].astype(float) ** 0.5, len(languages), axis=1)
@@ -158,13 +171,26 @@ def fit(samples: list[tuple[str, str]], pieces: Pieces, rounds: int = ROUNDS) ->
     return Model(pieces, languages, p / p.sum(axis=0))
 
 
-def training_sample(docs: DataFrame, languages: list[str], per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(lang, text) of the ``per_language`` documents of each of ``languages`` with the smallest hashes."""
+def training_counts(docs: DataFrame, languages: list[str], per_language: int = PER_LANGUAGE) -> list[tuple]:
+    """(lang, word, count) over the ``per_language`` documents of each of ``languages`` with the smallest hashes,
+    and a null word for each language."""
     named = docs.where(F.col("lang").isin(languages) & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy("order", "doc_id")
     ids = named.select("lang", "doc_id", F.xxhash64("doc_id").alias("order")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
     chosen = ids.select("doc_id", "lang")
-    return sorted((r.lang, r.text) for r in named.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").collect())
+    same = (named["doc_id"].eqNullSafe(chosen["doc_id"])) & (named["lang"] == chosen["lang"])
+    texts = named.join(F.broadcast(chosen), same, "left_semi").select("lang", "text")
+
+    def count(batches):
+        for batch in batches:
+            total: dict[str, Counter] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                total.setdefault(lang, Counter({None: 1})).update(split_words(text))
+            rows = [(lang, w, c) for lang, own in total.items() for w, c in own.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    words = map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return sorted(((r.lang, r.word, r.n) for r in words.toLocalIterator()), key=lambda r: (r[0], r[1] is not None, r[1]))
 
 
 class Scorer:
@@ -216,7 +242,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def learned(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -224,8 +250,8 @@ def learned(docs: DataFrame, train, per_language: int = PER_LANGUAGE) -> Model |
     languages = sorted(r.lang for r in docs.where("lang is not null and text is not null").select("lang").distinct().collect())
     pieces, parts = Pieces(vocabulary_pieces(vocabulary(PIECES))) if languages else None, []
     for k in range(0, len(languages), AT_ONCE):
-        if samples := training_sample(docs, languages[k : k + AT_ONCE], per_language):
-            parts.append(fit(samples, pieces))
+        if counts := training_counts(docs, languages[k : k + AT_ONCE], per_language):
+            parts.append(fit_counts(counts, pieces))
     return Model(pieces, [x for m in parts for x in m.languages], np.concatenate([m.p for m in parts], axis=1)) if parts else None
 
 

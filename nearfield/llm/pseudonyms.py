@@ -9,7 +9,9 @@ get equal pseudonyms in all documents; different values of a format get differen
 The network splits a value's characters into two halves and adds to each character, modulo
 the size of its class (10 digits, 26 letters, 6 hexadecimal letters), a number from the
 SHA-256 of the key, the round and the other half: a permutation of all values of one format.
-Card numbers permute all digits but the last, which is computed anew. IPv4 addresses permute
+A value of one character has no other half; its class is put into the order of keyed digests.
+Latin, Greek and Cyrillic letters outside ASCII, in the local part of an e-mail address, move
+among the letters of their script and case (``ALPHABETS``). Card numbers permute all digits but the last, which is computed anew. IPv4 addresses permute
 their four numbers modulo 256. Dates permute year (of 200, from 1900) and day of a common
 year; 29 February maps among leap years.
 
@@ -19,20 +21,34 @@ expiry date, a security code) doesn't hide it. Of parts that overlap the longest
 
 Only rows with a match do more than the search; there is no shuffle and no Python.
 
-Defined cases: null text stays null with no matches; long texts are searched whole; numbers
-that fail validation stay; rows may repeat; further columns are kept by ``pseudonymised``.
+n_found counts the validated values, those that their permutation happens to leave alone too.
+
+The key comes from the session's ``spark.nearfield.pseudonym.key``, or as an argument;
+``pseudonymised`` has none of its own. The registered query falls back on ``DEMO_KEY``.
+
+Defined cases: null text stays null with n_found 0; an empty table gives an empty table; long
+texts are searched whole, with patterns that repeat without a stack, whatever the length of a
+host, a number or a run of digits; only the local part of an address is changed, so that any
+host will do; of a local part of more than 64 characters the last 64 count; letters of other
+scripts end a local part; numbers that fail validation stay; rows may repeat and equal texts
+get equal results; further columns are kept as they are, whatever their names, except that a
+column n_found is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "nearfield-demo-key"
+from nearfield.llm.storage import spare
+
+KEY_SETTING, DEMO_KEY = "spark.nearfield.pseudonym.key", "nearfield-demo-key"
 ROUNDS = 8
 
 #: fixed patterns by kind
-EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"[\p{IsLatin}\p{IsGreek}\p{IsCyrillic}0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9])"
@@ -43,11 +59,12 @@ ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -][0-9]++(?![A-Za-z]))*+(?![A-Za-z])"
 CARD_DIGITS = range(19, 12, -1)
 
-HEX = "0123456789abcdef"
+#: letters of a script's blocks outside ASCII, by case
+ALPHABETS = ["".join(c for c in map(chr, range(a, b)) if c.isalpha() and c.islower() == low) for a, b in ((0xC0, 0x250), (0x370, 0x400), (0x400, 0x530)) for low in (True, False)]
 
 
 def _stream(key: str, label: str, r: int, other: Column) -> Column:
-    """64 numbers of 0 to 65535 from a round's digest of the other half (two digests)."""
+    """64 numbers of 32 bits from a round's digests of the other half (eight digests of 64 digits)."""
     text = F.concat_ws("|", F.lit(key), F.lit(label), F.lit(str(r)), other)
     return F.concat(*(F.sha2(F.concat(F.lit(str(i)), text), 256) for i in range(8)))
 
@@ -65,39 +82,55 @@ def _class(c: Column, hexa: bool = False) -> tuple[Column, Column]:
     return size, F.when(code.between(48, 57), 48).when(code.between(97, 122), 97).otherwise(65)
 
 
-def _shifted(half: Column, stream: Column, hexa: bool) -> Column:
+def _shifted(half: Column, stream: Column, hexa: bool, wide: bool) -> Column:
     """Every character moved within its class by its number of the stream."""
 
     def move(c, i):
         size, base = _class(c, hexa)
-        return F.when(size == 0, c).otherwise(F.chr((base + F.pmod(F.ascii(c) - base + _number(stream, i), F.greatest(size, F.lit(1)))).cast("int")))
+        out = F.when(size == 0, c).otherwise(F.chr((base + F.pmod(F.ascii(c) - base + _number(stream, i), F.greatest(size, F.lit(1)))).cast("int")))
+        if not wide:
+            return out
+        far = c
+        for letters in ALPHABETS:
+            at = F.instr(F.lit(letters), c)
+            far = F.when(at > 0, F.substring(F.lit(letters), F.pmod(at - 1 + _number(stream, i), F.lit(len(letters))).cast("int") + 1, F.lit(1))).otherwise(far)
+        return F.when(F.ascii(c) < 128, out).otherwise(far)
 
     return F.array_join(F.transform(F.split(half, ""), move), "")
 
 
-def feistel(value: Column, key: str, label: str, hexa: bool = False, rounds: int = ROUNDS) -> Column:
-    """A permutation of the strings with the classes of ``value``'s characters. Strings of one
-    character have an empty half and move by a fixed number."""
+def _single(c: Column, key: str, label: str, hexa: bool, wide: bool) -> Column:
+    """One character under the keyed order of its class: the n-th letter becomes the n-th by digest."""
+    out = c
+    for letters in ["0123456789", *(x[: 6 if hexa else 26] for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")), *(ALPHABETS if wide else [])]:
+        shuffled = "".join(sorted(letters, key=lambda x: hashlib.sha256(f"{key}|{label}|single|{x}".encode()).digest()))
+        out = F.when(F.instr(F.lit(letters), c) > 0, F.translate(c, letters, shuffled)).otherwise(out)
+    return out
+
+
+def feistel(value: Column, key: str, label: str, hexa: bool = False, wide: bool = False, rounds: int = ROUNDS) -> Column:
+    """A permutation of the strings with the classes of ``value``'s characters."""
     # let-bindings by transform over one-element arrays, so that no expression is repeated inside itself
     n = F.char_length(value)
     state = F.array(F.struct(F.substring(value, F.lit(1), F.floor(n / 2).cast("int")).alias("l"), F.substring(value, F.floor(n / 2).cast("int") + 1, n).alias("r")))
     for k in range(rounds):
-        state = F.transform(state, _round(key, label, k, hexa))
-    return F.get(F.transform(state, lambda s: F.concat(s["l"], s["r"])), F.lit(0))
+        state = F.transform(state, _round(key, label, k, hexa, wide))
+    whole = F.get(F.transform(state, lambda s: F.concat(s["l"], s["r"])), F.lit(0))
+    return F.when(n == 1, _single(value, key, label, hexa, wide)).otherwise(whole)
 
 
-def _round(key: str, label: str, k: int, hexa: bool):
+def _round(key: str, label: str, k: int, hexa: bool, wide: bool):
     def step(s):
         if k % 2 == 0:
-            return F.struct(_move(s["l"], s["r"], key, label, k, hexa).alias("l"), s["r"].alias("r"))
-        return F.struct(s["l"].alias("l"), _move(s["r"], s["l"], key, label, k, hexa).alias("r"))
+            return F.struct(_move(s["l"], s["r"], key, label, k, hexa, wide).alias("l"), s["r"].alias("r"))
+        return F.struct(s["l"].alias("l"), _move(s["r"], s["l"], key, label, k, hexa, wide).alias("r"))
 
     return step
 
 
-def _move(half: Column, other: Column, key: str, label: str, k: int, hexa: bool) -> Column:
+def _move(half: Column, other: Column, key: str, label: str, k: int, hexa: bool, wide: bool) -> Column:
     streams = F.array(_stream(key, label, k, other))
-    return F.when(half == "", half).otherwise(F.get(F.transform(streams, lambda t: _shifted(half, t, hexa)), F.lit(0)))
+    return F.when(half == "", half).otherwise(F.get(F.transform(streams, lambda t: _shifted(half, t, hexa, wide)), F.lit(0)))
 
 
 def _luhn(digits: Column, odd: int) -> Column:
@@ -242,7 +275,7 @@ def _date(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(feistel(local, key, "email"), F.substring(m, F.char_length(local) + 1, F.char_length(m)))
+    return F.concat(feistel(local, key, "email", wide=True), F.substring(m, F.char_length(local) + 1, F.char_length(m)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -252,28 +285,38 @@ def _phone(m: Column, key: str) -> Column:
     return F.concat(code, _with_digits(rest, feistel(F.regexp_replace(rest, "[^0-9]", ""), key, "phone")))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def _real_day(m: Column) -> Column:
+    return F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy")).isNotNull()
+
+
+def pseudonym(m: Column, key: str) -> Column:
     whole = {k: m.rlike(f"^(?:{p})$") for k, p in KINDS}
     out = F.when(whole["email"], _email(m, key)).when(whole["secret"], feistel(m, key, "secret", hexa=True)).when(whole["ipv4"], _ipv4(m, key)).when(whole["date"], _date(m, key)).when(whole["phone"], _phone(m, key))
     return out.otherwise(m)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with validated values in ``text`` replaced, and n_found, how many there were."""
+    if not key:
+        raise ValueError(f"a key is needed; set {KEY_SETTING}")
     text = F.col("text")
-    marked = docs.withColumn("found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    marked = marked.withColumn("put", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))).otherwise(F.col("found")))
+    found, put, between = (spare(docs.columns, c) for c in ("found", "put", "between"))
+    marked = docs.withColumn(found, F.when(text.rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    marked = marked.withColumn(put, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))).otherwise(F.col(found)))
     # cards are looked for between the other values
     numbers = text.rlike(RUN)
-    between = F.split(text, ANY, -1)
-    marked = marked.withColumn("between", F.when(numbers, F.transform(between, lambda t: _with_cards(t, key))).otherwise(F.transform(between, lambda t: F.struct(t.alias("text"), F.lit(0).alias("n")))))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("between", 1, F.size("put")), F.col("put"), lambda a, b: F.concat(a["text"], b)), ""), F.element_at("between", -1)["text"])
-    n = F.size(F.filter(F.zip_with("found", "put", lambda a, b: a != b), lambda x: x)) + F.aggregate("between", F.lit(0), lambda a, b: a + b["n"])
-    return marked.select(*[c for c in docs.columns if c != "text"], F.when((F.size("found") > 0) | numbers, joined).otherwise(text).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_found"))
+    pieces = F.split(text, ANY, -1)
+    marked = marked.withColumn(between, F.when(numbers, F.transform(pieces, lambda t: _with_cards(t, key))).otherwise(F.transform(pieces, lambda t: F.struct(t.alias("text"), F.lit(0).alias("n")))))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(put)), F.col(put), lambda a, b: F.concat(a["text"], b)), ""), F.element_at(between, -1)["text"])
+    valid = F.filter(found, lambda m: ~m.rlike(f"^(?:{DATE})$") | _real_day(m))
+    n = F.size(valid) + F.aggregate(between, F.lit(0), lambda a, b: a + b["n"])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "n_found")]
+    return marked.select(*kept, F.when((F.size(found) > 0) | numbers, joined).otherwise(text).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_found"))
 
 
 def op3(spark, sf_dir):
-    return pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_found", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pseudonymised(docs, spark.conf.get(KEY_SETTING, DEMO_KEY)).select("doc_id", "n_found", "text")
 
 
 ORACLE_SQL = None
