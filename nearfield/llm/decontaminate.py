@@ -183,7 +183,6 @@ def search(index: DataFrame, items: list[tuple[str, str]], size: int = 10, slop:
                 for near in (False, True) if slop else (False,):
                     for w, at, seen in _match(q, seg, slop if near else 0):
                         doc = np.searchsorted(seg.firsts, seen, "right") - 1
-                        # a document of no words begins where the next one does, less the gap; the last start counts
                         both = np.unique(np.stack([doc, w]), axis=1)
                         for d, x in both.T.tolist():
                             spans, exact, loose = found.setdefault(d, ([], set(), set()))

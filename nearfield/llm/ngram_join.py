@@ -10,31 +10,43 @@ whole sets, once per pair.
 What is linked forms components, and pairs inside a known component need no look: in each
 n-gram's list all members are first compared with one pivot (rows stay linear in the list),
 components are formed, and only lists that still hold several components go on, with a new
-pivot each time, until so few pairs of different components are left that all are compared.
-No link between components is lost, and a large group of near copies never becomes all pairs.
+pivot each time, until there are no more than ``FEW`` pairs of different components a list entry.
+Where rounds don't halve what is left (many unlike documents with one n-gram), the lists are
+divided by a second n-gram, then a third: sets that are similar share l of their first
+``n - ceil(t n) + l``, so no pair is lost. What is still open then gets more pivots a round, one
+of each component, twice as many each time. No link between components is lost, and a large
+group of near copies never becomes all pairs.
 
-Bounds: the table of counts has 2**RANK_BITS entries whatever the corpus (n-grams share an
-entry by hash; it orders n-grams and never decides a link). It alone is sent to every task.
+Hot n-grams: a list's pivot and its components are found by aggregations that combine before the
+shuffle, and members meet written pivots, so adaptive execution may split a list over tasks.
+
+Bounds: the table of counts has an entry for every 16 words of the corpus, 2**18 to 2**22 of them
+(n-grams share an entry by hash; it orders n-grams and never decides a link). Its 4 bytes an entry
+are what is sent to every task.
 
 Defined cases: null or empty text, or text without words, is an empty set linked with
 nothing; fewer words than n give one n-gram; a null doc_id gets a null component and no
-links; rows that share a doc_id are one node of the graph, linked by any of their texts;
-further columns are ignored; an empty table gives an empty result.
+links; rows that share a doc_id are one node of the graph, linked by any of their texts; equal
+rows stay separate rows of one component; very long texts are worked on whole, one at a time;
+further columns, whatever their names, are ignored (``one_of_each`` keeps them); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
 from nearfield.llm.graph import components
 from nearfield.llm.storage import map_arrow, written
 
-RANK_BITS = 18
+RANK_BITS = 18, 22
+RANK_WORDS, WORD_BYTES = 16, 6
 CHUNK_BITS = 12
+DEEPER = 2  # n-grams beyond a prefix, by which lists may be divided
 SUFFIX_BITS = 6  # a set is divided into 2**SUFFIX_BITS parts by its hashes
 SMALL_IDS = 500_000  # ids, 8 bytes each, that may be sent to every task
 FEW = 20  # open pairs per open list entry that may be compared at once
@@ -53,7 +65,14 @@ def _sets(rows: pa.RecordBatch, n: int):
             yield grams[:0]
 
 
-def gram_counts(docs: DataFrame, n: int, bits: int = RANK_BITS) -> np.ndarray:
+def rank_bits(docs: DataFrame) -> int:
+    """The size of the table of counts, as a power of 2."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least, most = RANK_BITS
+    return min(most, max(least, (size // (WORD_BYTES * RANK_WORDS)).bit_length()))
+
+
+def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """How often n-grams fall into each of 2**bits entries, over all documents."""
     chunk = 1 << min(CHUNK_BITS, bits)
 
@@ -64,21 +83,23 @@ def gram_counts(docs: DataFrame, n: int, bits: int = RANK_BITS) -> np.ndarray:
                 g = np.concatenate([np.zeros(0, np.uint64), *_sets(rows, n)])
                 total += np.bincount((g & tg.U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
         parts = total.reshape(-1, chunk)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+        narrow = [p.astype(np.min_scalar_type(int(p.max()))) for p in parts]
+        for a in range(0, len(parts), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, min(a + 256, len(parts))), pa.int32()), pa.array([p.itemsize for p in narrow[a : a + 256]], pa.int32()), pa.array([p.tobytes() for p in narrow[a : a + 256]], pa.binary())], names=["part", "width", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for p, c in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(c, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
-
-    kind = "part int, counts binary"
-    parts = map_arrow(docs.select("text"), count, kind).repartition((1 << bits) // chunk, "part")
-    rows = map_arrow(parts, add, kind).collect()
-    out = np.zeros(((1 << bits) // chunk, chunk), np.int64)
-    for r in rows:
-        out[r.part] = np.frombuffer(r.counts, np.int64)
+            for p, w, c in zip(*(batch.column(k).to_pylist() for k in ("part", "width", "counts")), strict=True):
+                sums[p] = sums.get(p, 0) + np.frombuffer(c, f"<u{w}").astype(np.int64)
+        most = np.iinfo(np.uint32).max
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, most).astype("<u4").tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+
+    tasks = min((1 << bits) // chunk, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = map_arrow(docs.select("text"), count, "part int, width int, counts binary").repartition(tasks, "part")
+    out = np.zeros(((1 << bits) // chunk, chunk), np.uint32)
+    for r in map_arrow(parts, add, "part int, counts binary").toLocalIterator():
+        out[r.part] = np.frombuffer(r.counts, "<u4")
     return out.reshape(-1)
 
 
@@ -87,9 +108,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per row: doc_id, the set's size, its 128-bit signature, its rarest n-grams in order, and the
-    sizes of the parts into which its hashes divide it."""
-    table = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
+    """Per row: doc_id, the set's size, its 128-bit signature, its rarest n-grams in order (those of its
+    prefix and ``DEEPER`` more), and the sizes of the parts into which its hashes divide it."""
+    table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         rank = table.value
@@ -103,7 +124,7 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
                     one.append(int(tg.mix(g).sum(dtype=np.uint64)))
                     two.append(int(tg.mix(g ^ tg.U(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)))
                     parts.append(np.bincount((g >> tg.U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS))
-                    k = prefix_length(len(g), percent) if len(g) else 0
+                    k = min(len(g), prefix_length(len(g), percent) + DEEPER) if len(g) else 0
                     c = rank[(g & low).astype(np.int64)]
                     if k < len(g):  # nothing above the k-th smallest count can be in the prefix
                         keep = c <= np.partition(c, k - 1)[k - 1]
@@ -189,10 +210,31 @@ def _compare(met: DataFrame, done: DataFrame | None, links: list[DataFrame], doc
     return new.drop("linked") if done is None else done.union(new.drop("linked")), [*links, new.where("linked").select("a", "b").distinct()]
 
 
+def _pivots(lists: DataFrame, many: int) -> DataFrame:
+    """(gram, a, na, pa, ca): of each list the member nearest to the last pivot, or one each of ``many`` components."""
+    member = F.struct("away", "rep", "n", "pos", "c")
+    if many == 1:
+        chosen = lists.groupBy("gram").agg(F.min(member).alias("p"))
+    else:
+        of_each = lists.groupBy("gram", "c").agg(F.min(member).alias("p"))
+        chosen = of_each.withColumn("k", F.row_number().over(Window.partitionBy("gram").orderBy("p"))).where(F.col("k") <= many)
+    return written(chosen.select("gram", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"), F.col("p.c").alias("ca")), "pivots")
+
+
+def _divided(lists: DataFrame, reps: DataFrame, depth: int, percent: int) -> DataFrame:
+    """The lists by one more n-gram that members share, among the first ``depth`` beyond their prefixes."""
+    more = lists.join(reps.select("rep", F.expr(f"slice(prefix, 1, {_PREFIX.format(percent=percent)} + {depth})").alias("others")), "rep")
+    more = more.select("gram", "rep", "n", "pos", "c", "away", "used", F.explode("others").alias("other")).where(~F.array_contains("used", F.col("other")))
+    return more.select(F.xxhash64("gram", "other").alias("gram"), "rep", "n", "pos", "c", "away", F.array_append("used", F.col("other")).alias("used"))
+
+
+_PREFIX = "(n - cast((n * {percent} + 99) div 100 as int) + 1)"
+
+
 def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: similarity of ``percent`` per cent or more links."""
     docs = docs.select("doc_id", "text")
-    sigs = written(signatures(docs, n, percent, gram_counts(docs, n)), "signatures")
+    sigs = written(signatures(docs, n, percent, gram_counts(docs, n, rank_bits(docs))), "signatures")
     named = sigs.where("n > 0 and doc_id is not null")
     classes = named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
     member = written(named.select("doc_id", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc_id", "rep"), "members")
@@ -201,41 +243,56 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     links = [member.join(several, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()]
 
     first = classes.select(F.col("rep").alias("doc_id"), "one", "two", "n")
-    entries = sigs.join(first, ["doc_id", "one", "two", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    shared = entries.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("far")).where("low <> far").select("gram")
-    open_ = written(entries.join(shared, "gram").select("gram", "rep", "n", "pos", F.col("rep").alias("c"), F.lit(0.0).alias("away")), "lists")
-    done, before = None, None
+    reps = sigs.join(first, ["doc_id", "one", "two", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix")
+    entries = reps.select("rep", "n", F.posexplode(F.expr(f"slice(prefix, 1, {_PREFIX.format(percent=percent)})")).alias("pos", "gram"))
+    shared = written(entries.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("far")).where("low <> far").select("gram"), "shared")
+    columns = ["gram", "rep", "n", "pos", "c", "away", "used"]
+    lists = written(entries.join(shared, "gram").select("gram", "rep", "n", "pos", F.col("rep").alias("c"), F.lit(0.0).alias("away"), F.array("gram").alias("used")), "lists")
+    done, before, many, depth = None, None, 1, 0
     while True:
-        pivot = open_.groupBy("gram").agg(F.min(F.struct("away", "rep", "n", "pos", "c")).alias("p")).select("gram", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"), F.col("p.c").alias("ca"))
-        met = open_.withColumnRenamed("rep", "b").join(pivot, "gram").where("a <> b and ca <> c").where(_can_link(percent, "na", "n", "pa", "pos"))
+        pivot = _pivots(lists, many)
+        met = lists.withColumnRenamed("rep", "b").join(pivot, "gram").where("a <> b and ca <> c").where(_can_link(percent, "na", "n", "pa", "pos"))
         done, links = _compare(met, done, links, docs, sigs, n, percent)
         comp = written(components(_union(links)), "components")
         # what is left: the lists without the pivots, which have met all others
-        left = open_.select("gram", "rep", "n", "pos").join(pivot.select("gram", "a"), "gram").where("rep <> a")
-        left = left.join(comp, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", "a", F.coalesce("component", "rep").alias("c"))
-        far = done.where("shared >= 0").groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min(1 - F.col("shared") / (F.col("total") - F.col("shared"))).alias("d"))
-        left = left.withColumn("x", F.least("a", "rep")).withColumn("y", F.greatest("a", "rep")).join(far, ["x", "y"], "left").select("gram", "rep", "n", "pos", "c", F.coalesce("d", F.lit(1.0)).alias("away"))
-        mixed = left.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("m")).where("pairs > 0")
-        open_ = written(left.join(mixed, "gram"), "lists")
-        rows, pairs = open_.agg(F.count("*"), F.coalesce(F.sum(F.col("pairs") / F.col("m")), F.lit(0))).first()
-        open_ = open_.drop("pairs", "m")
+        if many == 1:
+            left = lists.join(pivot.select("gram", "a"), "gram").where("rep <> a").withColumns({"x": F.least("a", "rep"), "y": F.greatest("a", "rep")})
+            far = done.groupBy(F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min(1 - F.col("shared") / (F.col("total") - F.col("shared"))).alias("d"))
+            left = left.join(far, ["x", "y"], "left").withColumn("away", F.coalesce("d", F.lit(1.0)))
+        else:
+            left = lists.join(pivot.select("gram", F.col("a").alias("rep")), ["gram", "rep"], "left_anti")
+        left = left.select("gram", "rep", "n", "pos", "away", "used").join(comp, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"), "away", "used")
+        left = written(left, "left")
+        counted = left.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
+        mixed = counted.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("m")).where("pairs > 0")
+        mixed = written(mixed, "mixed")
+        rows, pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not rows:
             break
-        if pairs <= FEW * rows or before is not None and pairs > before / 2:
-            x, y = (open_.select("gram", F.col("rep").alias(i), F.col("n").alias("n" + i), F.col("pos").alias("p" + i), F.col("c").alias("c" + i)) for i in "ab")
+        lists = written(left.join(mixed.select("gram"), "gram").select(columns), "lists")
+        if pairs <= FEW * rows:
+            x, y = (lists.select("gram", F.col("rep").alias(i), F.col("n").alias("n" + i), F.col("pos").alias("p" + i), F.col("c").alias("c" + i)) for i in "ab")
             met = x.join(y, "gram").where("a < b and ca <> cb").where(_can_link(percent, "na", "nb", "pa", "pb"))
             done, links = _compare(met, done, links, docs, sigs, n, percent)
             comp = written(components(_union(links)), "components")
             break
+        if before is not None and pairs > before / 2:
+            if depth < DEEPER:
+                depth += 1
+                finer = written(_divided(lists, reps, depth, percent), "finer")
+                ends = written(finer.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram"), "ends")
+                lists, pairs = written(finer.join(ends, "gram").select(columns), "lists"), None
+            else:
+                many *= 2
         before = pairs
     node = member.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
     return sigs.select("doc_id", "n").join(node, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """``docs`` with the smallest doc_id of every component only."""
-    gone = linked_components(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with the smallest doc_id of every component only. Rows with a null doc_id stay."""
+    gone = linked_components(docs, n, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9(spark, sf_dir):
