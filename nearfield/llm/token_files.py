@@ -2,18 +2,22 @@
 
 ``write`` sorts documents by doc_id (range partitioning: shard i holds the ids below those of
 shard i+1), and each task writes its shard as one file in the Arrow stream format. Columns
-are fixed-size lists of ``length`` entries: ``ids`` (the narrowest unsigned type that holds
-the vocabulary), ``mask`` (true for a token, false for the padding at a shard's end) and
-``ends`` (true at the last token of a document). All record batches but the last have
+are fixed-size lists: ``ids`` (``length`` of the narrowest unsigned type that holds the vocabulary)
+and ``mask`` (``length / 8`` bytes whose bits, the highest first, are 1 for a token and 0 for the
+padding at a shard's end); both are read in place. A second stream file of a shard holds its
+documents' ids and numbers of tokens. All record batches but the last have
 ``batch_rows`` rows, so sequence i is row ``i % batch_rows`` of batch ``i // batch_rows``; with
-the file memory-mapped, it is read in place. A second stream file holds each shard's doc_ids.
+the file memory-mapped, it is read in place.
 
 A task writes under a name of its own attempt, and the manifest names the files of attempts
 that ended well; a lost executor or a repeated task leaves at most files nobody reads.
 
+The folder of the files has to be in a store that pyarrow opens (file, hdfs, s3a, gs, abfss).
+
 Defined cases: null text counts as empty (its ids are the end id alone); a null doc_id comes
-first; rows that share a doc_id follow one another by text; an empty table gives an empty
-manifest; further columns are ignored.
+first; rows that share a doc_id follow one another by text, equal rows one after the other; a very
+long text goes over as many batches as it needs; an empty table gives an empty manifest; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from nearfield.llm.wordtable import WIDE_SPACE, WordTable, led, single_spaced, w
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH, BATCH_ROWS = 1024, 256
 KEPT = 900_000  # words that a worker process keeps
+DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
 
 
@@ -54,31 +59,30 @@ class _Sequences:
     """Cuts a stream of ids into batches of equal-length sequences and writes them."""
 
     def __init__(self, sink, kind: np.dtype, length: int, rows: int):
+        if length % 8:
+            raise ValueError("the length of a sequence is a multiple of 8, for its mask")
         self.kind, self.length, self.rows = kind, length, rows
-        fixed = lambda t: pa.list_(t, length)
-        self.schema = pa.schema([("ids", fixed(pa.from_numpy_dtype(kind))), ("mask", fixed(pa.bool_())), ("ends", fixed(pa.bool_()))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.out = pa.ipc.new_stream(sink, self.schema)
-        self.ids, self.ends, self.held = [], [], 0
+        self.ids, self.held = [], 0
 
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        ends = np.zeros(len(ids), bool)
-        ends[np.cumsum(counts) - 1] = True
+    def add(self, ids: np.ndarray) -> None:
         self.ids.append(ids)
-        self.ends.append(ends)
         self.held += len(ids)
         if self.held >= self.length * self.rows:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids, ends = np.concatenate([np.zeros(0, self.kind), *self.ids]), np.concatenate([np.zeros(0, bool), *self.ends])
+        ids = np.concatenate([np.zeros(0, self.kind), *self.ids])
         step = self.length * self.rows
         for a in range(0, len(ids) if last else len(ids) - len(ids) % step, step):
-            i, e = ids[a : a + step], ends[a : a + step]
-            pad = -len(i) % self.length
-            mask = np.ones(len(i), bool)
-            self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(np.append(x, np.zeros(pad, x.dtype))), self.length) for x in (i, mask, e)], schema=self.schema))
+            own = ids[a : a + step]
+            pad = -len(own) % self.length
+            mask = np.packbits(np.append(np.ones(len(own), np.uint8), np.zeros(pad, np.uint8)))
+            columns = (np.append(own, np.zeros(pad, self.kind)), self.length), (mask, self.length // 8)
+            self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in columns], schema=self.schema))
         kept = len(ids) - len(ids) % step
-        self.ids, self.ends, self.held = [ids[kept:]], [ends[kept:]], len(ids) - kept
+        self.ids, self.held = [ids[kept:]], len(ids) - kept
 
     def close(self) -> None:
         self._flush(True)
@@ -104,12 +108,12 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
                     fs.create_dir(base, recursive=True)
                     sinks = [fs.open_output_stream(f) for f in files]
                     sequences = _Sequences(sinks[0], table.type, length, batch_rows)
-                    index = pa.ipc.new_stream(sinks[1], pa.schema([("doc_id", pa.int64())]))
+                    index = pa.ipc.new_stream(sinks[1], DOCS)
                     end = np.array([end_id], table.type).tobytes()
                 packed = [_table_ids(table, spaced, t) + end for t in _texts(rows)]
                 counts = np.array([len(p) // table.type.itemsize for p in packed])
-                sequences.add(np.frombuffer(b"".join(packed), table.type), counts)
-                index.write_batch(pa.record_batch([rows.column("doc_id").cast(pa.int64())], names=["doc_id"]))
+                sequences.add(np.frombuffer(b"".join(packed), table.type))
+                index.write_batch(pa.record_batch([rows.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
                 total, n_docs = total + int(counts.sum()), n_docs + len(counts)
         if table is not None:
             sequences.close()
@@ -123,23 +127,57 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
 
 
 class TokenFile:
-    """Random access to the sequences of one file, in place where the file is local."""
+    """Random access to the sequences of one file, in place where the file is local. A batch is opened when it is
+    asked for: full batches of one schema have one size, so the place of each is known from the first."""
 
     def __init__(self, uri: str, base: str = ""):
-        fs, path = open_fs(uri if not base else base)
-        if base:
-            path = uri
+        fs, path = open_fs(base or uri)
+        path = uri if base else path
         self.source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
-        self.batches = list(pa.ipc.open_stream(self.source))
-        self.rows = self.batches[0].num_rows if self.batches else 0
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.start = self.source.tell()
+        first = self._message(self.start)
+        self.rows = first.num_rows if first else 0
+        self.step = self.source.tell() - self.start
+        self.size, at = 0, self.start
+        if first:
+            whole = max(0, (self.source.size() - self.start) // self.step - 1)
+            at += whole * self.step
+            self.size = whole * self.rows
+            while batch := self._message(at):
+                at = self.source.tell()
+                self.size += batch.num_rows
+
+    def _message(self, at: int) -> pa.RecordBatch | None:
+        self.source.seek(at)
+        try:
+            message = pa.ipc.read_message(self.source)
+        except EOFError:  # the end of the stream
+            return None
+        return pa.ipc.read_record_batch(message, self.schema)
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.size
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        return self._message(self.start + k * self.step)
+
+    def batches(self):
+        return (self.batch(k) for k in range(-(-self.size // max(1, self.rows))))
 
     def sequence(self, i: int, column: str = "ids") -> np.ndarray:
-        """Entry ``i`` of a column; ids share the file's memory."""
-        values = self.batches[i // self.rows].column(column)[i % self.rows].values
-        return values.to_numpy(zero_copy_only=column == "ids")
+        """Entry ``i`` of a column; it shares the file's memory."""
+        return self.batch(i // self.rows).column(column)[i % self.rows].values.to_numpy(zero_copy_only=True)
+
+    def mask(self, i: int) -> np.ndarray:
+        """The mask of sequence ``i``, a boolean a token."""
+        return np.unpackbits(self.sequence(i, "mask")).astype(bool)
+
+
+def _documents(uri: str, base: str) -> pa.Table:
+    fs, _ = open_fs(base)
+    with fs.open_input_file(uri) as source:
+        return pa.ipc.open_stream(source).read_all()
 
 
 def read(manifest: DataFrame, path: str) -> DataFrame:
@@ -150,27 +188,28 @@ def read(manifest: DataFrame, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                f = TokenFile(row["ids_path"], path)
-                ids = TokenFile(row["docs_path"], path)
-                names = pa.concat_arrays([b.column(0) for b in ids.batches])
-                start, crc, n, k = row["base"], 0, 0, 0
-                out: list[tuple[int, int, int]] = []
-                for b in f.batches:
+                f, docs = TokenFile(row["ids_path"], path), _documents(row["docs_path"], path)
+                many = docs.column("n_tokens").to_numpy()
+                ends = np.cumsum(many)
+                sums, crc, k, at = [], 0, 0, 0
+                for b in f.batches():
                     flat = b.column("ids").flatten().to_numpy()
-                    mask = b.column("mask").flatten().to_numpy(zero_copy_only=False)
-                    ends = np.flatnonzero(b.column("ends").flatten().to_numpy(zero_copy_only=False)) + 1
-                    flat = flat[: int(mask.sum())].astype("<u4")
+                    flat = flat[: int(np.unpackbits(b.column("mask").flatten().to_numpy()).sum())].astype("<u4")
                     a = 0
-                    for e in [*ends.tolist(), len(flat)]:
-                        crc, n = zlib.crc32(flat[a:e], crc), n + e - a
-                        if k < len(ends) and e == ends[k]:
-                            out.append((start, n, crc))
-                            start, crc, n, k = start + n, 0, 0, k + 1
+                    while a < len(flat):
+                        e = min(int(ends[k]) - at, len(flat))
+                        crc = zlib.crc32(flat[a:e], crc)
+                        if at + e == ends[k]:
+                            sums.append(crc)
+                            crc, k = 0, k + 1
                         a = e
-                    k = 0
-                for at in range(0, len(out), 10_000):
-                    part = out[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([names.slice(at, len(part)), *(pa.array(x, pa.int64()) for x in zip(*part, strict=True))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    at += len(flat)
+                if k != len(many):
+                    raise ValueError("a file has fewer tokens than its documents")
+                starts = row["base"] + ends - many
+                for a in range(0, len(many), 10_000):
+                    part = slice(a, a + 10_000)
+                    yield pa.RecordBatch.from_arrays([docs.column("doc_id").slice(a, 10_000).combine_chunks(), *(pa.array(x[part], pa.int64()) for x in (starts, many, sums))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
     return map_arrow(based.repartition(n, "shard"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -9,9 +9,15 @@ longest rule wins. Where none fits, the method's default is to allow.
 Rules are a table of any size; Spark sends it to all tasks only where its measured size is
 under the session's threshold. A repeated url is judged once.
 
+Urls without a path fit no rule and are set aside before the join: those without host too would
+all have one key.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no
-rule; an empty path fits no rule either, as it doesn't start with ``/``; rows that share a
-page_id stay apart; empty tables give empty results; further columns are ignored.
+rule; an empty path fits no rule either, as it doesn't start with ``/``; very long urls are
+expanded no further than the deepest rule; of rules with the same host and path the verdict that
+is last by spelling counts (block before allow); rows that share a page_id stay apart, and equal
+rows are equal rows of the result; empty tables give empty results; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -64,13 +70,16 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     labels, slashes = rules.agg(F.max("labels"), F.max("slashes")).first()
-    urls = parts.where("host <> '' or path <> ''").select("host", "path").distinct()
+    none = parts.where("path = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    parts = parts.where("path <> ''")
+    urls = parts.select("host", "path").distinct()
     terms = urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), labels or 1, slashes or 1)).alias("expression"))
     terms = terms.withColumn("digest", _digest(F.col("expression"))).select("host", "path", "digest", F.substring("digest", 1, 8).alias("short"))
     r = rules.select("short", F.col("digest").alias("full"), "rule", "verdict")
     fits = terms.join(r, "short").where("digest = full")
     best = fits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("n"), "rule", "verdict")).alias("best"))
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    ruled = parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return ruled.union(none)
 
 
 def op6(spark, sf_dir):

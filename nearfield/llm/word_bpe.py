@@ -11,8 +11,15 @@ Texts and occurrences are never shuffled, only words distinct in their chunk; a
 comes once from each chunk. A word that a chunk's table lacks (the second pass found other
 rows in the partition) is encoded on the spot: a different layout costs time, never a result.
 
-Defined cases: null text counts as empty and has no ids; special tokens written in a text get
-their ids, as the library does; further columns are ignored; rows may repeat.
+There is a bucket for every ``BUCKET`` bytes of text (one a shuffle partition at least), so that a
+bucket's distinct words stay fewer than the ``wordtable.WORDS`` that its task holds, and each is
+encoded once whatever the corpus. The folder has to be in a store that pyarrow opens (file, hdfs,
+s3a, gs, abfss), as tasks read their tables in place.
+
+Defined cases: null text counts as empty and has no ids; a null doc_id is kept; special tokens
+written in a text get their ids, as the library does; very long texts and words are encoded
+whole; rows may repeat; an empty table gives an empty table; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nearfield.llm import textgrid as tg
 from nearfield.llm.storage import map_arrow, open_fs, scratch
@@ -34,6 +42,7 @@ from nearfield.llm.wordtable import WordTable
 VOCABULARY = "word_bpe_49k.json"
 CHUNK = 400_000  # distinct words at which a chunk ends
 BLOCK = 1 << 20
+BUCKET = 64 << 20  # bytes of text for which there is a bucket of words
 
 
 def vocabulary(name: str) -> str:
@@ -77,7 +86,8 @@ def _chunk_words(batches, buckets: int, chunk: int):
 def word_tables(docs: DataFrame, path: str, chunk: int = CHUNK) -> str:
     """Write the ids of each chunk's distinct words; the folder, with a table for every partition of ``docs``."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-size // BUCKET))
 
     def split(batches):
         part = TaskContext.get().partitionId()

@@ -203,7 +203,7 @@ def test_token_files(spark, docs, none, tmp_path):
             assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             start += len(ids)
         f = token_files.TokenFile(manifest.orderBy("shard").first().ids_path, where)
-        assert all(len(f.sequence(k)) == length for k in range(len(f))) and f.sequence(len(f) - 1, "mask").dtype == bool
+        assert all(len(f.sequence(k)) == length for k in range(len(f))) and f.mask(len(f) - 1).dtype == bool and len(f.mask(0)) == length
     assert token_files.read(token_files.write(none, f"file://{tmp_path}/none", path, 2), f"file://{tmp_path}/none").count() == 0
 
 
