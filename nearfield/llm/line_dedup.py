@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from nearfield.llm.storage import spare, written
 
 NEAR_CHARS, WORDS = 20, 5
-SMALL_KEYS = 500_000  # hashes of halves that may be sent to every task: 8 bytes each
+SMALL_KEYS = 500_000  # hashes that may be sent to every task: 8 or 16 bytes each
 LINE = ["doc_id", "row", "no"]
 
 
@@ -59,23 +59,35 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line, F.lit(17)).alias("h"), F.xxhash64(F.lit(29), line).alias("g")]
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the line's first and last half: in words, and in characters where it has few words. The halves'
-    lengths allow for a neighbour that is an item longer or shorter."""
-    n, words = F.char_length(line), F.split(line, " ")
-    w = F.size(words)
+def _halves(line: str) -> Column:
+    """Hashes of the first and last half of the column ``line``: in words, and in characters where it has few words.
+    The halves' lengths allow for a neighbour that is an item longer or shorter."""
+    n, w = F.char_length(line), F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "), F.lit(""))) + 1
     of_8 = F.floor(n / 8).cast("int") * 4
 
     def chars(c):
         return F.array(F.xxhash64(c, F.substring(line, F.lit(1), c)), F.xxhash64(F.substring(line, -c, c), c))
 
-    def by_word(h):
-        return F.array(F.xxhash64(F.lit("first"), h, F.slice(words, 1, h)), F.xxhash64(F.lit("last"), h, F.slice(words, w - h + 1, h)))
+    def by_word(w, h):
+        return F.array(F.xxhash64(F.lit(1), h, F.call_function("substring_index", F.col(line), F.lit(" "), h)), F.xxhash64(F.lit(2), h, F.call_function("substring_index", F.col(line), F.lit(" "), -h)))
 
-    low = F.floor((w - 1) / 2).cast("int")
-    in_words = F.when(w % 2 == 0, F.concat(by_word(low), by_word(low + 1))).otherwise(by_word(low))
-    in_chars = F.when(n % 8 == 7, F.concat(chars(of_8), chars(of_8 + 4))).otherwise(chars(of_8))
-    return F.when(w >= WORDS, in_words).otherwise(in_chars)
+    def keys(w):
+        low = F.floor((w - 1) / 2).cast("int")
+        in_words = F.when(w % 2 == 0, F.concat(by_word(w, low), by_word(w, low + 1))).otherwise(by_word(w, low))
+        in_chars = F.when(n % 8 == 7, F.concat(chars(of_8), chars(of_8 + 4))).otherwise(chars(of_8))
+        return F.when(w >= WORDS, in_words).otherwise(in_chars)
+
+    return F.get(F.transform(F.array(w), keys), F.lit(0))
+
+
+def _met(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with a key of ``keys``, a written table that every task gets where its count is small."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys, by, "left_semi")
+
+
+def _several(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The keys that several lines have."""
+    return written(rows.groupBy(*by).agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select(*by), name)
 
 
 def _blocks(items: Column, cut) -> Column:
@@ -118,8 +130,9 @@ def one_word_apart(a: Column, b: Column) -> Column:
 def _neighbours(near: DataFrame, cut, name: str) -> DataFrame:
     """(at, by): lines and earlier ones one edit away. near: (at, items)."""
     blocks = written(near.select("at", F.explode(_blocks(F.col("items"), cut)).alias("b")).select("at", "b.rest", "b.block"), f"{name}-blocks")
-    alike = written(blocks.groupBy("rest").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("rest"), f"{name}-alike")
-    keyed = blocks.join(alike, "rest").select("at", "rest", F.explode(_variants(F.col("block"), cut)).alias("v")).select("at", "rest", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
+    alike = _met(blocks, _several(blocks, ["rest"], f"{name}-alike"), ["rest"])
+    keyed = alike.select("at", "rest", F.explode(_variants(F.col("block"), cut)).alias("v")).select("at", "rest", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
+    keyed = written(_met(keyed, _several(keyed, ["rest", "key"], f"{name}-keys"), ["rest", "key"]), f"{name}-keyed")
     cut_, whole = keyed.where("place > 0"), keyed.where("place = 0").drop("place")
     earliest = F.min("at").alias("by")
     # another item: both without the one at the same place
@@ -141,11 +154,9 @@ def kept_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 
     # lines that share a half with another
     long = lines.where(F.char_length("line") >= near_chars)
-    halves = long.select(F.explode(_halves(F.col("line"))).alias("half"), F.xxhash64("line", F.lit(17)).alias("h"))
-    shared = written(halves.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half"), "halves")
-    few = shared.count() <= SMALL_KEYS
-    with_halves = long.select(*LINE, "line", F.explode(_halves(F.col("line"))).alias("half"))
-    near = with_halves.join(F.broadcast(shared) if few else shared, "half", "left_semi")
+    halves = long.select(F.explode(_halves("line")).alias("half"), F.xxhash64("line", F.lit(17)).alias("at"))
+    with_halves = long.select(*LINE, "line", F.explode(_halves("line")).alias("half"))
+    near = _met(with_halves, _several(halves, ["half"], "halves"), ["half"])
     near = written(near.groupBy(*_hashes(F.col("line"))).agg(F.min(at).alias("at"), F.first("line").alias("line")).select("at", "line", F.split("line", " ").alias("words")), "near")
 
     by_word = _neighbours(near.where(F.size("words") >= WORDS).select("at", F.col("words").alias("items")), F.slice, "words")
