@@ -1,8 +1,8 @@
 """Distances, smaller is closer: as Column expressions and as numpy kernels.
 
 An expression takes two array columns; a kernel takes a query (d,) and vectors (m, d) and
-returns (m,). Both sum in double from left to right, so they agree to the bit. Where a
-denominator is zero the distance is 0.
+returns (m,). Both sum in double and agree to rounding. Where a denominator is zero the distance
+is 0. Kernels take int8 and int16 vectors too, widened to double.
 """
 
 from __future__ import annotations
@@ -106,8 +106,8 @@ FLOAT = {
 
 
 def _seq(x: np.ndarray) -> np.ndarray:
-    """Sums over the last axis, from left to right."""
-    return np.cumsum(x, axis=-1)[..., -1]
+    """Sums over the last axis."""
+    return x.sum(axis=-1)
 
 
 def _div(a, b):
@@ -146,6 +146,24 @@ KERNELS = {
 }
 
 
+def weighted(w, root: bool = False):
+    """The squared Euclidean distance with a weight a dimension, or its root."""
+    w = np.asarray(w, float)
+
+    def kernel(q, v):
+        d = _seq(w * (q - v) * (q - v))
+        return np.sqrt(d) if root else d
+
+    return kernel
+
+
+def normaliser(metric: str):
+    """Distances back to similarities: the inner product itself, 1 less the cosine and correlation distances."""
+    if metric.endswith("inner_product"):
+        return lambda d: -d
+    return (lambda d: 1 - d) if metric in ("cosine", "correlation") else (lambda d: d)
+
+
 def half(metric: str):
     """A kernel on values rounded to half precision."""
     k = KERNELS[metric]
@@ -214,3 +232,82 @@ def mobius(q, v, n, p, metric=squared_euclidean):
 def relevance(q, v, p, metric=squared_euclidean):
     """(recall, rank): the permutation metric, and the first parts' distance."""
     return permutation(q, v, p, metric), metric(F.slice(q, 1, p), F.slice(v, 1, p))
+
+
+# The same as kernels, for scans.
+
+
+def _k_cells(q, v):
+    both = np.bitwise_count(q & v).sum(axis=-1).astype(float)
+    left, right = float(np.bitwise_count(q).sum()), np.bitwise_count(v).sum(axis=-1).astype(float)
+    return both, left - both, right - both
+
+
+def binary_kernel(metric: str, n: int):
+    """A kernel on packed words of ``n`` bits."""
+
+    def kernel(q, v):
+        n11, n10, n01 = _k_cells(q, v)
+        h = n10 + n01
+        if metric == "hamming":
+            return h
+        if metric in ("matching", "sokal_michener"):
+            return h / n
+        if metric == "jaccard":
+            return _div(h, n11 + h)
+        if metric == "dice":
+            return _div(h, 2 * n11 + h)
+        if metric == "rogers_tanimoto":
+            return 2 * h / (n + h)
+        if metric == "russell_rao":
+            return (n - n11) / n
+        if metric == "sokal_sneath":
+            return _div(2 * h, n11 + 2 * h)
+        n00 = n - n11 - h
+        return _div(2 * n10 * n01, n11 * n00 + n10 * n01)
+
+    if metric not in BINARY:
+        raise ValueError(f"unknown binary metric {metric}")
+    return kernel
+
+
+def _k_l2(q, v):
+    return _seq((q - v) * (q - v))
+
+
+def permutation_kernel(p: int, kernel=_k_l2):
+    def f(q, v):
+        parts = v.reshape(len(v), -1, p)
+        return sum(np.stack([kernel(x, parts[:, j]) for j in range(parts.shape[1])]).min(axis=0) for x in q.reshape(-1, p))
+
+    return f
+
+
+def product_kernel(p: int, kernel=_k_l2):
+    return lambda q, v: kernel(q[:p], v[:, :p]) * kernel(q[p : 2 * p], v[:, p : 2 * p])
+
+
+def prefix_kernel(p: int, kernel=_k_l2):
+    """The distance of the first p values."""
+    return lambda q, v: kernel(q[:p], v[:, :p])
+
+
+def mobius_kernel(n: int, p: int, kernel=_k_l2):
+    """(recall, rank) of vectors cut to n values."""
+
+    def f(q, v):
+        return kernel(q[:n], v[:, :n]), kernel(q[p : p + n], v[:, :n])
+
+    f.paired = True
+    return f
+
+
+def relevance_kernel(p: int, kernel=_k_l2):
+    """(recall, rank)"""
+    recall, rank = permutation_kernel(p, kernel), prefix_kernel(p, kernel)
+
+    def f(q, v):
+        return recall(q, v), rank(q, v)
+
+    f.paired = True
+    return f

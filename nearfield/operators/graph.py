@@ -1,20 +1,24 @@
 """Graph search: navigable graphs in shards of bounded size.
 
 Vectors are dealt by hash to as many shards as ``shard_rows`` asks for; each shard's graph is
-built by one task and searched by one task, and shards' results meet in a top-k. ``copies``
-puts each vector into the shards of its nearest centroids instead; those shards are searched
-apart too. ``merged`` unites their graphs, but no search uses it.
+built by one task and searched by one task, and shards' results meet in a top-k.
+``by_centroids`` puts each vector into the shards of its nearest centroids instead; a shard over
+its capacity is divided by hash, so that no task gets more. ``merged`` unites their graphs into one
+table of nodes, which ``beam_search`` walks: the driver holds each query's list, and every round
+fetches the neighbours and codes of the nodes to expand.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import metrics
-from nearfield.operators.knn import _blocks
+from nearfield.operators.knn import centroid_sets
+from nearfield.operators.scan import Entry, entries_of, matrix
 from nearfield.operators.topk import top_k
 
 SHARD_ROWS = 50_000
@@ -149,19 +153,33 @@ def _shard_search(ids: np.ndarray, q: np.ndarray, k: int, width: int, kernel):
 def search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width: int = 100, metric: str = "squared_euclidean") -> DataFrame:
     """(qid, vec_id, dist, rk): greedy searches in each shard, the k nearest of all. k is ``width`` at most."""
     kernel, k = metrics.KERNELS[metric], min(k, width)
-    out = None
-    for ids, q in _blocks(queries, "qid", "qv"):
-        one = _shard_search(ids, q, k, width, kernel)
-        part = base.select("shard", "vec_id", "v").groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(one, "qid long, vec_id long, dist double")
-        out = part if out is None else out.union(part)
+    asked = entries_of(queries, k)
+    one = _shard_search(np.array([e.pool for e in asked], np.int64), np.array([e.vector for e in asked]), k, width, kernel)
+    out = base.select("shard", "vec_id", "v").groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(one, "qid long, vec_id long, dist double")
     best = out.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist"))
     return top_k(best, k, ["qid"])
 
 
-def by_centroids(base: DataFrame, centroids: DataFrame, copies: int = 2) -> DataFrame:
-    """Each vector in the shards of its ``copies`` nearest centroids."""
-    pairs = base.select("vec_id", "v").crossJoin(centroids).withColumn("dist", metrics.squared_euclidean(F.col("cv"), F.col("v")))
-    return top_k(pairs, copies, ["vec_id"], key="label").select("vec_id", "v", F.col("label").alias("shard"))
+def by_centroids(base: DataFrame, centroids: DataFrame, copies: int = 2, capacity: int = SHARD_ROWS) -> DataFrame:
+    """(vec_id, v, shard): each vector in the shards of its ``copies`` nearest centroids, a stated table; shards of
+    more than ``capacity`` rows are divided by hash."""
+    labels, c = centroid_sets(centroids)[0]
+    copies = min(copies, len(labels))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                d = np.stack([((x - row) ** 2).sum(axis=1) for row in c], axis=1)
+                near = labels[np.argsort(d, axis=1, kind="stable")[:, :copies]]
+                at = pa.array(np.repeat(np.arange(len(x)), copies))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel())], names=["vec_id", "v", "label"])
+
+    rows = base.where(F.col("v").isNotNull()).select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, label long")
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().toLocalIterator()}
+    parts = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, -(-n // capacity)))) if sizes else F.lit(None)
+    part = F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("label"))) if sizes else F.lit(0)
+    return rows.select("vec_id", "v", (F.col("label") * (1 << 20) + part).alias("shard"))
 
 
 def merged(edges: DataFrame, degree: int) -> DataFrame:
@@ -169,3 +187,46 @@ def merged(edges: DataFrame, degree: int) -> DataFrame:
     every = edges.select("vec_id", F.explode("nbrs").alias("n")).distinct()
     picked = top_k(every.withColumn("dist", F.xxhash64("n")), degree, ["vec_id"], key="n")
     return picked.groupBy("vec_id").agg(F.sort_array(F.collect_list("n")).alias("nbrs"))
+
+
+def nodes(base: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
+    """(vec_id, nbrs, v): the merged graph with whole vectors, one row a node."""
+    return base.select("vec_id", "v").dropDuplicates(["vec_id"]).join(merged(edges, degree), "vec_id", "left").select("vec_id", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"), "v")
+
+
+def beam_search(graph: DataFrame, coded: DataFrame, entries: list[Entry], starts: list[int], centres: np.ndarray, k: int, width: int = 100, beam: int = 4, rounds: int = 200) -> DataFrame:
+    """(qid, vec_id, dist, rk): a walk over a merged graph by distances from product codes, several starts, ``beam``
+    nodes a query and round, and an exact re-rank of each query's list of ``width``. The lists (queries x width) are
+    the driver's; graph and codes stay tables, best written by vec_id, and are joined with the round's ids."""
+    from nearfield.operators import pq
+
+    spark, k = graph.sparkSession, min(k, width)
+    luts = {e.pool: pq.table(e.vector, centres) for e in entries}
+    pools: dict[int, dict[int, float]] = {e.pool: {} for e in entries}
+    done: dict[int, set] = {e.pool: set() for e in entries}
+
+    def offer(wanted: dict[int, list[int]]) -> None:
+        ids = sorted({i for w in wanted.values() for i in w})
+        if ids:
+            table = spark.createDataFrame([(i,) for i in ids], "vec_id long")
+            got = {r.vec_id: r.codes for r in coded.join(F.broadcast(table), "vec_id").select("vec_id", "codes").toLocalIterator()}
+            for q, own in wanted.items():
+                own = [i for i in own if i in got]
+                if own:
+                    pools[q].update(zip(own, pq.gathered(luts[q], np.array([got[i] for i in own])).tolist(), strict=True))
+                    pools[q] = dict(sorted(pools[q].items(), key=lambda p: (p[1], p[0]))[:width])
+
+    offer({q: starts for q in pools})
+    for _ in range(rounds):
+        front = {q: [i for i in pool if i not in done[q]][:beam] for q, pool in pools.items()}
+        ids = sorted({i for f in front.values() for i in f})
+        if not ids:
+            break
+        table = spark.createDataFrame([(i,) for i in ids], "vec_id long")
+        near = {r.vec_id: r.nbrs for r in graph.join(F.broadcast(table), "vec_id").select("vec_id", "nbrs").toLocalIterator()}
+        for q, f in front.items():
+            done[q].update(f)
+        offer({q: sorted({n for i in f for n in near.get(i, ())} - done[q] - set(pools[q])) for q, f in front.items()})
+    found = spark.createDataFrame([(q, i) for q, pool in pools.items() for i in pool], "pool long, vec_id long")
+    ranked = pq.refine(found, graph, entries, k, metrics.KERNELS["squared_euclidean"])
+    return ranked.withColumnRenamed("pool", "qid")

@@ -1,90 +1,122 @@
-"""Exact neighbours: every query against every vector, in numpy blocks.
-
-Queries are sent to all tasks in blocks of at most ``BLOCK`` vectors; each task keeps its own
-k best of every query, so only partitions x queries x k rows are shuffled, never vectors.
-"""
+"""Exact neighbours and nearest centroids, as scans in numpy blocks."""
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import metrics
+from nearfield.operators.scan import entries_of, matrix, scan
 from nearfield.operators.topk import top_k
 
-BLOCK = 4096
+CENTROIDS = 2048  # centroids that are compared with a batch at once
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column as (rows, dimension) doubles; every row has one dimension."""
-    flat = np.asarray(column.flatten()).astype(float)
-    d = len(flat) // max(1, len(column))
-    if d * len(column) != len(flat) or column.null_count or len(set(np.diff(column.offsets).tolist())) > 1:
-        raise ValueError("vectors of different dimensions")
-    return flat.reshape(len(column), d)
+def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", qkey: str = "qid", qvec: str = "qv", kernel=None, kind=float) -> DataFrame:
+    """(qid, key, dist, rk) of the k nearest vectors of every query, a stated set that comes to the driver in full.
+    ``kernel`` may be any function of the user's; ``metric`` may differ from query to query through a column ``metric``."""
+    if "metric" in queries.columns:
+        parts = [r.metric for r in queries.select("metric").distinct().orderBy("metric").collect()]
+        out = None
+        for name in parts:
+            part = exact(base, queries.where(F.col("metric") == name).drop("metric"), k, name, key, vec, qkey, qvec)
+            out = part if out is None else out.union(part)
+        if out is not None:
+            return out
+        queries = queries.drop("metric")
+    found = scan(base, entries_of(queries, k, qkey, qvec), kernel or metrics.KERNELS[metric], key=key, vec=vec, kind=kind)
+    return top_k(found.withColumnRenamed("pool", "qid"), k, ["qid"], key=key)
 
 
-def _blocks(queries: DataFrame, key: str, vec: str):
-    rows = ((r[0], [float(x) for x in r[1]]) for r in queries.select(key, vec).toLocalIterator())
-    while block := list(itertools.islice(rows, BLOCK)):
-        yield np.array([k for k, _ in block], np.int64), np.array([v for _, v in block])
+def in_group(base: DataFrame, queries: DataFrame, group, qgroup: str, k: int, metric: str = "squared_euclidean") -> DataFrame:
+    """(qid, vec_id, dist, rk): each query looks only at rows of its own group."""
+    found = scan(base, entries_of(queries, k, group=qgroup), metrics.KERNELS[metric], group=group)
+    return top_k(found.withColumnRenamed("pool", "qid"), k, ["qid"])
 
 
-def _search(base: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, kernel, key: str, vec: str) -> DataFrame:
+def group_minima(base: DataFrame, queries: DataFrame, group: str, metric: str = "squared_euclidean", vec: str = "v") -> DataFrame:
+    """(group, qid, dist): the distance of every query to the nearest row of each group; a row a group, query and task is shuffled."""
+    asked, kernel = entries_of(queries, 1), metrics.KERNELS[metric]
+
     def run(batches):
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        least: dict = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, own = matrix(batch.column(vec)), np.asarray(batch.column(key))
-            if x.shape[1] != q.shape[1]:
-                raise ValueError(f"queries have {q.shape[1]} dimensions, vectors {x.shape[1]}")
-            for i in range(len(ids)):
-                d, n = np.append(best[i][0], kernel(q[i], x)), np.append(best[i][1], own)
-                if len(d) > k:
-                    # all that tie with the k-th stay until ids have decided
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                    near = near[np.lexsort((n[near], d[near]))[:k]]
-                    d, n = d[near], n[near]
-                best[i] = (d, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[1] for b in best])), pa.array(np.concatenate([b[0] for b in best]))], names=["qid", key, "dist"])
-
-    return base.select(key, vec).mapInArrow(run, f"qid long, {key} long, dist double")
-
-
-def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", qkey: str = "qid", qvec: str = "qv", kernel=None) -> DataFrame:
-    """(qid, key, dist, rk) of the k nearest vectors of every query. ``kernel`` may be any function of the user's."""
-    f = kernel or metrics.KERNELS[metric]
-    out = None
-    for ids, q in _blocks(queries, qkey, qvec):
-        part = _search(base, ids, q, k, f, key, vec)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = base.sparkSession.createDataFrame([], f"qid long, {key} long, dist double")
-    return top_k(out, k, ["qid"], key=key)
-
-
-def scored(base: DataFrame, queries: DataFrame, metric, k: int | None = None) -> DataFrame:
-    """All columns of both sides and dist, by a Column metric; for conditions that kernels don't know.
-    ``queries`` is a stated set, sent to all tasks where Spark's own size check allows it."""
-    return base.crossJoin(queries).withColumn("dist", metric(F.col("qv"), F.col("v")))
-
-
-def nearest_label(docs: DataFrame, centroids: DataFrame, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v") -> DataFrame:
-    """(key, slot, dist): the centroid nearest to each vector, the lowest label on ties."""
-    rows = sorted((r[0], [float(x) for x in r[1]]) for r in centroids.select("label", "cv").collect())
-    labels, c = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows])
-    kernel = metrics.KERNELS[metric]
+            if batch.num_rows:
+                x, g = matrix(batch.column(vec)), batch.column("group_").to_numpy()
+                names, at = np.unique(g, return_inverse=True)
+                order = np.argsort(at, kind="stable")
+                starts = np.searchsorted(at[order], np.arange(len(names)))
+                for e in asked:
+                    low = np.minimum.reduceat(kernel(np.asarray(e.vector), x)[order], starts)
+                    for n, d in zip(names.tolist(), low.tolist(), strict=True):
+                        least[n, e.pool] = min(d, least.get((n, e.pool), np.inf))
+        rows = [(*k, d) for k, d in least.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["group", "qid", "dist"])
+
+    rows = base.where(F.col(vec).isNotNull()).select(F.col(group).cast("long").alias("group_"), vec)
+    return rows.mapInArrow(run, "group long, qid long, dist double").groupBy("group", "qid").agg(F.min("dist").alias("dist"))
+
+
+def centroid_sets(centroids: DataFrame, group: str | None = None) -> dict:
+    """{group: (labels, matrix)} of a table (label, cv[, group]) on the driver; labels ascend."""
+    rows = sorted((r[2] if group else 0, r[0], [float(x) for x in r[1]]) for r in centroids.select("label", "cv", *([group] if group else [])).toLocalIterator())
+    out: dict = {}
+    for g, label, v in rows:
+        out.setdefault(g, ([], []))
+        out[g][0].append(label)
+        out[g][1].append(v)
+    return {g: (np.array(labels, np.int64), np.array(vs)) for g, (labels, vs) in out.items()}
+
+
+def nearest(x: np.ndarray, c: np.ndarray, kernel=None) -> tuple[np.ndarray, np.ndarray]:
+    """(place, distance) of the centroid nearest to each row, the first on ties: blocks of centroids, a running minimum."""
+    at, low = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    step = max(1, min(CENTROIDS, (16 << 20) // max(1, x.size)))
+    for a in range(0, len(c), step):
+        part = c[a : a + step]
+        if kernel is None:
+            d = ((part[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        else:
+            d = np.stack([kernel(row, x) for row in part])
+        k = d.argmin(axis=0)
+        d = d[k, np.arange(len(x))]
+        closer = d < low
+        at[closer], low[closer] = a + k[closer], d[closer]
+    return at, low
+
+
+def nearest_label(docs: DataFrame, centroids: DataFrame, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", group: str | None = None) -> DataFrame:
+    """``docs`` with slot and dist: the centroid nearest to each vector, the lowest label on ties. All columns go
+    through, so nothing is joined back. With ``group``, a column of both tables, each row is compared with the
+    centroids of its own group; rows of a group without centroids drop. Centroids are a stated table; rows
+    with a null vector drop."""
+    sets = centroid_sets(centroids, group)
+    kernel = None if metric == "squared_euclidean" else metrics.KERNELS[metric]
+    docs = docs.where(F.col(vec).isNotNull())
+    docs = docs if group is None else docs.where(F.col(group).isNotNull())
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
-            x = matrix(batch.column(vec)) if batch.num_rows else np.zeros((0, c.shape[1]))
-            d = np.stack([kernel(row, x) for row in c]) if len(x) else np.zeros((len(c), 0))
-            at = d.argmin(axis=0) if len(x) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(labels[at]), pa.array(d[at, np.arange(len(at))])], names=[key, "slot", "dist"])
-
-    return docs.select(key, vec).mapInArrow(run, f"{key} long, slot long, dist double")
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column(names.index(vec)))
+            slot, dist, there = np.zeros(len(x), np.int64), np.zeros(len(x)), np.ones(len(x), bool)
+            g = np.zeros(len(x), np.int64) if group is None else batch.column(names.index(group)).to_numpy()
+            for one in np.unique(g).tolist():
+                own = np.flatnonzero(g == one)
+                if one not in sets:
+                    there[own] = False
+                    continue
+                labels, c = sets[one]
+                for a in range(0, len(own), 2048):
+                    part = own[a : a + 2048]
+                    at, low = nearest(x[part], c, kernel)
+                    slot[part], dist[part] = labels[at], low
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot), pa.array(dist)], names=[*names, "slot", "dist"])
+            yield out if there.all() else out.filter(pa.array(there))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, slot long, dist double")

@@ -35,12 +35,33 @@ def age_bucket(age: Column, ages: list[int]) -> Column:
     return out
 
 
-def age_quota(scored: DataFrame, now: Column, created: Column, quotas: list[tuple[int, int]], by: list[str]) -> DataFrame:
-    """Each age bucket's own number of nearest rows, with the bucket as pool_id."""
+def age_entries(queries: list[tuple], quotas: list[tuple[int, int]]) -> tuple[list, list[tuple]]:
+    """(entries, pools) of a scan grouped by age bucket: each bucket of each query (qid, vector) is a pool with its own k."""
+    from nearfield.operators.scan import Entry
+
     quotas = sorted((5400 if a == 3600 else a, k) for a, k in quotas)
-    held = scored.withColumn("pool_id", age_bucket(now - created, [a for a, _ in quotas])).where("pool_id is not null")
-    k = F.element_at(F.array(*(F.lit(k) for _, k in quotas)), F.col("pool_id") + 1)
-    return top_k(held, k, [*by, "pool_id"], most=max(k for _, k in quotas))
+    pools = [(qid, i, k) for qid, _ in queries for i, (_, k) in enumerate(quotas)]
+    vectors = dict(queries)
+    return [Entry(n, vectors[qid], k, i) for n, (qid, i, k) in enumerate(pools)], pools
+
+
+def full_sort_live(ranked: DataFrame, deleted: DataFrame, k: int, by: list[str], dist: str = "dist", key: str = "vec_id") -> DataFrame:
+    """Real-time buckets of up to 7200 s: the whole sorted list is walked until there are k live rows (deleted
+    rows don't count), however many deleted ones stand before them. Where ages go beyond, ``delete_after`` holds."""
+    return top_k(ranked.join(deleted, key, "left_anti"), k, by, dist, key)
+
+
+def quota_or_total(k: int, total: int) -> int:
+    """A group's quota; 0 stands for the query's total."""
+    return k or total
+
+
+def dedupe_scores(found: DataFrame, by: list[str], key: str = "vec_id", tolerance: float = 1e-6) -> DataFrame:
+    """Rows of one key are one where their scores differ by no more than ``tolerance`` from the one before (in order
+    of score); others stay, as in graph searches."""
+    w = Window.partitionBy(*by, key).orderBy("dist", "pool_id")
+    step = F.col("dist") - F.lag("dist").over(w)
+    return found.withColumn("step_", step).where(F.col("step_").isNull() | (F.col("step_") > tolerance)).drop("step_")
 
 
 def dedupe(found: DataFrame, by: list[str], key: str = "vec_id") -> DataFrame:

@@ -1,23 +1,24 @@
 """One query for each operator over whole tables, with its SQL where SQL can express it.
 
-``embeddings`` are the vectors. Queries are those with vec_id under 5, groups are (0, 0) and
+``embeddings`` are the vectors. Queries are those whose vec_id is divisible by 50, groups are (0, 0) and
 (1, label), deleted are multiples of 7, creation times are a minute apart, and centroids and
 codebooks are fixed rows, so that both engines compute the same.
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import encode, metrics
 from nearfield.operators import graph, ivf, knn, merge, pq, topk, train
+from nearfield.operators.scan import Entry, scan
 from nearfield.sources import readers
 from nearfield.streaming import segments
 
-L2 = metrics.squared_euclidean
+L2 = metrics.KERNELS["squared_euclidean"]
+ASKED = "vec_id % 50 = 0"
 NOW, BORN = 1704067200 + 500 * 60, 1704067200
 FRAGMENTS, WIDTH, CODES, K = 16, 4, 16, 10
 _QUERIES: dict = {}
@@ -48,17 +49,38 @@ class T:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        self.queries = self.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("v").alias("qv"))
+        self.queries = self.base.where(ASKED).select(F.col("vec_id").alias("qid"), F.col("label").alias("qlabel"), F.col("v").alias("qv"))
+        self.asked = [(r.qid, list(r.qv), r.qlabel) for r in self.queries.orderBy("qid").toLocalIterator()]
         self.deleted = self.base.where("vec_id % 7 = 0").select("vec_id")
         self.centroids = self.base.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("label"), F.col("v").alias("cv"))
         self.created = F.lit(BORN) + F.col("vec_id") * 60
 
+    def codebook(self, vectors: DataFrame | None = None) -> DataFrame:
+        """(frag, code, cv): the fragments of the first vectors."""
+        first = (self.base if vectors is None else vectors).where(F.col("vec_id") < CODES)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)), lambda f: F.struct(f.alias("frag"), encode.fragment(F.col("v"), f, WIDTH).alias("cv")))
+        return first.select(F.col("vec_id").cast("int").alias("code"), F.explode(parts).alias("p")).select("p.frag", "code", "p.cv")
+
+    @property
+    def book(self):
+        return pq.book(self.codebook(), FRAGMENTS)
+
     @property
-    def codebook(self) -> DataFrame:
-        return pq.fragments(self.base.where(F.col("vec_id") < CODES).select(F.col("vec_id").cast("int").alias("code"), "v"), ["code"], "v", FRAGMENTS, WIDTH).withColumnRenamed("part", "cv")
+    def bits(self) -> DataFrame:
+        return self.base.select("vec_id", metrics.pack_bits(encode.sign_bits(F.col("v"))).alias("b"))
 
-    def scored(self, metric=L2) -> DataFrame:
-        return knn.scored(self.base, self.queries, metric)
+    def bit_entries(self, k: int = K) -> list[Entry]:
+        return [Entry(r.vec_id, list(r.b), k) for r in self.bits.where(ASKED).toLocalIterator()]
+
+    def entries(self, k: int = K) -> list[Entry]:
+        return [Entry(qid, v, k) for qid, v, _ in self.asked]
+
+    def top(self, found: DataFrame, k: int = K) -> DataFrame:
+        return topk.top_k(found.withColumnRenamed("pool", "qid"), k, ["qid"])
+
+    def scored(self, k: int, rows: DataFrame | None = None) -> DataFrame:
+        """(qid, vec_id, dist, rk) of the k nearest."""
+        return knn.exact(self.base if rows is None else rows, self.queries, k)
 
     @property
     def postings(self) -> DataFrame:
@@ -81,7 +103,7 @@ def _l2(a: str = "qv", b: str = "v") -> str:
 
 
 WITH = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-q AS (SELECT vec_id AS qid, label AS qlabel, v AS qv FROM e WHERE vec_id < 5),
+q AS (SELECT vec_id AS qid, label AS qlabel, v AS qv FROM e WHERE vec_id % 50 = 0),
 c AS (SELECT vec_id // 50 AS label, v AS cv FROM e WHERE vec_id % 50 = 0)"""
 D = f", d AS (SELECT qid, qv, vec_id, label, v, {_l2()} AS dist FROM q, e)"
 ASSIGN = f""", a AS (SELECT vec_id, slot, cv FROM (SELECT e.vec_id, c.label AS slot, c.cv, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_l2("cv", "v")}, c.label) AS r FROM e, c) WHERE r = 1)"""
@@ -89,7 +111,7 @@ PROBE = f""", p AS (SELECT qid, qv, slot, pd, cv FROM (SELECT qid, qv, cv, c.lab
 CODE = f""", cb AS (SELECT f AS frag, vec_id AS code, v[4 * f + 1 : 4 * f + 4] AS cv FROM e, (SELECT unnest(range({FRAGMENTS})) AS f) WHERE vec_id < {CODES}),
 fr AS (SELECT vec_id, f AS frag, v[4 * f + 1 : 4 * f + 4] AS part FROM e, (SELECT unnest(range({FRAGMENTS})) AS f)),
 code AS (SELECT vec_id, frag, code FROM (SELECT vec_id, frag, code, row_number() OVER (PARTITION BY vec_id, frag ORDER BY {_l2("cv", "part")}, code) AS r FROM fr JOIN cb USING (frag)) WHERE r = 1),
-lut AS (SELECT vec_id AS qid, frag, code, {_l2("part", "cv")} AS d FROM fr JOIN cb USING (frag) WHERE vec_id < 5)"""
+lut AS (SELECT vec_id AS qid, frag, code, {_l2("part", "cv")} AS d FROM fr JOIN cb USING (frag) WHERE vec_id % 50 = 0)"""
 ADC = ", adc AS (SELECT qid, vec_id, sum(d) AS dist FROM code JOIN lut USING (frag, code) GROUP BY qid, vec_id)"
 
 
@@ -134,22 +156,31 @@ for _name, _metric in (("knn_half_l2", "half_squared_euclidean"), ("knn_half_ip"
         return knn.exact(t.base, t.queries, K, metric).select("qid", "vec_id", _r())
 
 
-for _name, _kind in (("knn_int8_l2", "tinyint"), ("knn_int16_l2", "smallint")):
-    _scale = 127 if _kind == "tinyint" else 32767
+_INT = ", i AS (SELECT vec_id, list_transform(v, lambda x: floor(x * {scale} + 0.5)) AS v FROM e), m AS (SELECT qid, qv, vec_id, v, " + _MEANS + " FROM (SELECT vec_id AS qid, v AS qv FROM i WHERE vec_id % 50 = 0), i), d AS (SELECT qid, vec_id, {expr} AS dist FROM m)"
+for _kind, _scale in (("int8", 127), ("int16", 32767)):
+    for _name, (_metric, _expr) in _METRICS.items():
+
+        @query(_name.replace("knn_", f"knn_{_kind}_"), WITH + _INT.replace("{scale}", str(_scale)).replace("{expr}", _expr) + _top("d", digits=4))
+        def _(spark, sf_dir, kind={"int8": "tinyint", "int16": "smallint"}[_kind], scale=_scale, metric=_metric):
+            t = T(spark, sf_dir)
+            base = t.base.select("vec_id", encode.quantized(F.col("v"), scale, kind).alias("v"))
+            return knn.exact(base, base.where(ASKED).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), K, metric).select("qid", "vec_id", _r(digits=4))
 
-    @query(_name, f"{WITH}, i AS (SELECT vec_id, list_transform(v, lambda x: floor(x * {_scale} + 0.5)) AS v FROM e), d AS (SELECT x.vec_id AS qid, y.vec_id, {_l2('x.v', 'y.v')} AS dist FROM i x, i y WHERE x.vec_id < 5){_top('d')}")
-    def _(spark, sf_dir, kind=_kind, scale=_scale):
+
+for _name, _root in (("knn_weighted_l2", False), ("knn_weighted_euclid", True)):
+
+    @query(_name, f"{WITH}, w AS (SELECT v AS w FROM e WHERE vec_id = 5), d AS (SELECT qid, vec_id, {'sqrt' if _root else ''}(list_sum(list_transform(list_zip(qv, v, w), lambda p: abs(p[3]) * (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM q, e, w){_top('d')}")
+    def _(spark, sf_dir, root=_root):
         t = T(spark, sf_dir)
-        base = t.base.select("vec_id", encode.quantized(F.col("v"), scale, kind).alias("v"))
-        return knn.exact(base, base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), K).select("qid", "vec_id", _r())
+        w = [abs(x) for x in t.base.where("vec_id = 5").first().v]
+        return knn.exact(t.base, t.queries, K, kernel=metrics.weighted(w, root)).select("qid", "vec_id", _r())
 
 
-@query("knn_weighted_l2", f"{WITH}, w AS (SELECT v AS w FROM e WHERE vec_id = 5), d AS (SELECT qid, vec_id, list_sum(list_transform(list_zip(qv, v, w), lambda p: abs(p[3]) * (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM q, e, w){_top('d')}")
+@query("knn_metric_by_query", f"{WITH}, d AS (SELECT qid, vec_id, CASE WHEN qid % 100 = 0 THEN {_l2()} ELSE {_s('abs(p[1] - p[2])')} END AS dist FROM q, e){_top('d')}")
 def _(spark, sf_dir):
+    """Each query's own metric in place of the index's."""
     t = T(spark, sf_dir)
-    w = t.base.where("vec_id = 5").select(F.transform("v", lambda x: F.abs(x)).alias("w"))
-    found = t.base.crossJoin(t.queries.crossJoin(w)).withColumn("dist", metrics.weighted_squared_euclidean(F.col("qv"), F.col("v"), F.col("w")))
-    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+    return knn.exact(t.base, t.queries.withColumn("metric", F.when(F.col("qid") % 100 == 0, "squared_euclidean").otherwise("manhattan")), K).select("qid", "vec_id", _r())
 
 
 @query("exact_topk_sweep", f"{WITH}{D}" + " UNION ALL ".join(f" SELECT {k} AS k, qid, vec_id, round(dist, 6) + 0.0 AS dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d) WHERE r <= {k}" for k in (1, 10, 50)))
@@ -172,23 +203,20 @@ _BIN = {
     "bin_sokalsneath": ("sokal_sneath", "CASE WHEN n11 + 2 * h = 0 THEN 0 ELSE 2 * h / (n11 + 2 * h) END"),
     "bin_yule": ("yule", "CASE WHEN n11 * n00 + n10 * n01 = 0 THEN 0 ELSE 2 * n10 * n01 / (n11 * n00 + n10 * n01) END"),
 }
-_CELLS = ", b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS b FROM e), m AS (SELECT x.vec_id AS qid, y.vec_id, " + ", ".join(f"{_s(f, 'x.b', 'y.b')} AS {n}" for n, f in (("n11", "p[1] * p[2]"), ("n10", "p[1] * (1 - p[2])"), ("n01", "(1 - p[1]) * p[2]"), ("n00", "(1 - p[1]) * (1 - p[2])"), ("h", "abs(p[1] - p[2])"))) + " FROM b x, b y WHERE x.vec_id < 5)"
+_CELLS = ", b AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS b FROM e), m AS (SELECT x.vec_id AS qid, y.vec_id, " + ", ".join(f"{_s(f, 'x.b', 'y.b')} AS {n}" for n, f in (("n11", "p[1] * p[2]"), ("n10", "p[1] * (1 - p[2])"), ("n01", "(1 - p[1]) * p[2]"), ("n00", "(1 - p[1]) * (1 - p[2])"), ("h", "abs(p[1] - p[2])"))) + " FROM b x, b y WHERE x.vec_id % 50 = 0)"
 for _name, (_metric, _expr) in _BIN.items():
 
     @query(_name, f"{WITH}{_CELLS}, d AS (SELECT qid, vec_id, ({_expr})::DOUBLE AS dist FROM m){_top('d')}")
     def _(spark, sf_dir, metric=_metric):
         t = T(spark, sf_dir)
-        bits = metrics.pack_bits(encode.sign_bits(F.col("v")))
-        found = t.base.select("vec_id", bits.alias("b")).crossJoin(t.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), bits.alias("qb")))
-        found = found.withColumn("dist", metrics.BINARY[metric](F.col("qb"), F.col("b"), 64))
-        return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+        return t.top(scan(t.bits, t.bit_entries(), metrics.binary_kernel(metric, 64), vec="b", kind=np.int64, check=False)).select("qid", "vec_id", _r())
 
 
 @query("bitmap_ops", f"{WITH}{_CELLS} SELECT qid, sum(n11)::BIGINT AS both_bits, sum(n11 + h)::BIGINT AS either_bits, sum(h)::BIGINT AS differing_bits, sum(n10)::BIGINT AS left_only_bits FROM m GROUP BY qid")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    bits = metrics.pack_bits(encode.sign_bits(F.col("v")))
-    met = t.base.select(bits.alias("b")).crossJoin(t.base.where("vec_id < 5").select(F.col("vec_id").alias("qid"), bits.alias("qb")))
+    asked = t.bits.where(ASKED).select(F.col("vec_id").alias("qid"), F.col("b").alias("qb"))
+    met = t.bits.select("b").join(F.broadcast(asked), F.size("b") == F.size("qb"))
     count = lambda f: F.sum(F.aggregate(F.zip_with("qb", "b", lambda x, y: F.bit_count(f(x, y))), F.lit(0), lambda s, x: s + x)).cast("long")
     return met.groupBy("qid").agg(count(lambda x, y: x.bitwiseAND(y)).alias("both_bits"), count(lambda x, y: x.bitwiseOR(y)).alias("either_bits"), count(lambda x, y: x.bitwiseXOR(y)).alias("differing_bits"), count(lambda x, y: x.bitwiseAND(F.bitwise_not(y))).alias("left_only_bits"))
 
@@ -202,22 +230,23 @@ _CT = _l2("qv[1:16]", "v[1:16]") + " * " + _l2("qv[17:32]", "v[17:32]")
 
 @query("m_permutation", f"{WITH}, d AS (SELECT qid, vec_id, {_PERM} AS dist FROM q, e){_top('d')}")
 def _(spark, sf_dir):
-    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: metrics.permutation(q, v, _PART)), K, ["qid"]).select("qid", "vec_id", _r())
+    return _composite(T(spark, sf_dir), metrics.permutation_kernel(_PART))
 
 
 @query("m_ctcvr", f"{WITH}, d AS (SELECT qid, vec_id, {_CT} AS dist FROM q, e){_top('d')}")
 def _(spark, sf_dir):
-    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: metrics.product_of_parts(q, v, _PART)), K, ["qid"]).select("qid", "vec_id", _r())
+    return _composite(T(spark, sf_dir), metrics.product_kernel(_PART))
 
 
 @query("m_simple", f"{WITH}, d AS (SELECT qid, vec_id, {_l2('qv[1:32]', 'v[1:32]')} AS dist FROM q, e){_top('d')}")
 def _(spark, sf_dir):
-    return topk.top_k(T(spark, sf_dir).scored(lambda q, v: L2(F.slice(q, 1, 32), F.slice(v, 1, 32))), K, ["qid"]).select("qid", "vec_id", _r())
+    return _composite(T(spark, sf_dir), metrics.prefix_kernel(32))
 
 
-def _recall_rank(found: DataFrame) -> DataFrame:
-    """The K best by the recall score, with their rank score."""
-    return topk.top_k(found.withColumn("dist", F.col("recall")), K, ["qid"]).select("qid", "vec_id", _r("dist"), _r("rank"))
+def _composite(t: T, kernel) -> DataFrame:
+    """The K best; of a kernel that gives a recall and a rank score the K best by recall, with the rank."""
+    found = t.top(scan(t.base, t.entries(), kernel, check=False))
+    return found.select("qid", "vec_id", _r("dist"), *([_r("rank")] if "rank" in found.columns else []))
 
 
 def _rank_sql(recall: str, rank: str) -> str:
@@ -226,29 +255,26 @@ def _rank_sql(recall: str, rank: str) -> str:
 
 @query("m_mobius", _rank_sql(_l2("qv[1:32]", "v[1:32]"), _l2("qv[33:64]", "v[1:32]")))
 def _(spark, sf_dir):
-    t = T(spark, sf_dir)
-    recall, rank = metrics.mobius(F.col("qv"), F.slice("v", 1, 32), 32, 32)
-    return _recall_rank(t.base.crossJoin(t.queries).withColumns({"recall": recall, "rank": rank}))
+    return _composite(T(spark, sf_dir), metrics.mobius_kernel(32, 32))
 
 
 @query("m_relcvr", _rank_sql(_PERM, _l2("qv[1:16]", "v[1:16]")))
 def _(spark, sf_dir):
-    t = T(spark, sf_dir)
-    recall, rank = metrics.relevance(F.col("qv"), F.col("v"), _PART)
-    return _recall_rank(t.base.crossJoin(t.queries).withColumns({"recall": recall, "rank": rank}))
+    return _composite(T(spark, sf_dir), metrics.relevance_kernel(_PART))
 
 
 @query("m_multi_min", f"{WITH}{D}, m AS (SELECT label, qid, min(dist) AS d FROM d GROUP BY label, qid) SELECT label, round(sum(d), 6) AS dist FROM m GROUP BY label")
 def _(spark, sf_dir):
-    m = T(spark, sf_dir).scored().groupBy("label", "qid").agg(F.min("dist").alias("d"))
-    return m.groupBy("label").agg(F.round(F.sum("d"), 6).alias("dist"))
+    t = T(spark, sf_dir)
+    m = knn.group_minima(t.base, t.queries, "label")
+    return m.groupBy(F.col("group").cast("int").alias("label")).agg(F.round(F.sum("dist"), 6).alias("dist"))
 
 
 @query("m_normalizer", f"{WITH}, d AS (SELECT qid, vec_id, 1 - {_s('p[1] * p[2]')} / {_NORM} AS dist FROM q, e) SELECT qid, vec_id, round(1 - dist, 6) + 0.0 AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 10")
 def _(spark, sf_dir):
     """Distances turned back into similarities."""
     t = T(spark, sf_dir)
-    return knn.exact(t.base, t.queries, K, "cosine").select("qid", "vec_id", (F.round(1 - F.col("dist"), 6) + 0.0).alias("score"))
+    return knn.exact(t.base, t.queries, K, "cosine").select("qid", "vec_id", (F.round(metrics.normaliser("cosine")(F.col("dist")), 6) + 0.0).alias("score"))
 
 
 # Filters ----------------------------------------------------------------------------------
@@ -285,7 +311,7 @@ def _(spark, sf_dir):
     t = T(spark, sf_dir)
     ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("vec_id")).distinct()
     fed = t.base.join(ids, "vec_id", "left_semi")
-    return knn.exact(fed, t.queries, K).crossJoin(fed.agg(F.count("*").alias("visited"))).select("qid", "vec_id", _r(), "visited")
+    return knn.exact(fed, t.queries, K).select("qid", "vec_id", _r(), F.lit(fed.count()).alias("visited"))
 
 
 @query("f_category", f"{WITH}{D}, l AS (SELECT * FROM d WHERE label = 3){_top('l')}")
@@ -316,8 +342,11 @@ _QUOTA = f", m AS (SELECT qid, pool_id, vec_id, k, {_l2()} AS dist FROM q, w JOI
 
 def _quota(spark, sf_dir) -> DataFrame:
     t = T(spark, sf_dir)
-    wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
-    return ivf.group_search(ivf.group_entries(t.base, _groups()), wanted, 5)
+    return ivf.group_search(ivf.group_entries(t.base, _groups()), _asked(t))
+
+
+def _asked(t: T) -> list[tuple]:
+    return [(qid, v, *w) for qid, v, _ in t.asked for w in _WANTED]
 
 
 @query("topk_group_quota", f"{WITH}{_WANTED_SQL}{_QUOTA} SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM h")
@@ -333,15 +362,14 @@ def _(spark, sf_dir):
 @query("topk_global_quota", f"{WITH}{_WANTED_SQL}, m AS (SELECT qid, pool_id, vec_id, {_l2()} AS dist FROM q, w JOIN g USING (level, id)) SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id, pool_id) <= 8")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    wanted = t.queries.crossJoin(spark.createDataFrame(_WANTED, "level int, id int, pool_id int, k int"))
-    return ivf.global_quota(ivf.group_entries(t.base, _groups()), wanted, 8).select("qid", "pool_id", "vec_id", _r())
+    return ivf.global_quota(ivf.group_entries(t.base, _groups()), _asked(t), 8).select("qid", "pool_id", "vec_id", _r())
 
 
 @query("topk_fill_left", f"{WITH}{D}, h AS ({_top('(SELECT * FROM d WHERE label = 3)', 3)}), r AS (SELECT qid, vec_id, round(dist, 6) + 0.0 AS dist FROM (SELECT d.*, row_number() OVER (PARTITION BY d.qid ORDER BY d.dist, d.vec_id) AS r FROM d ANTI JOIN h USING (qid, vec_id)) WHERE r <= 5) SELECT * FROM h UNION ALL SELECT * FROM r")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    found = topk.top_k(t.scored().where("label = 3"), 3, ["qid"])
-    return topk.fill_left(found, t.scored(), 8, ["qid"]).select("qid", "vec_id", _r())
+    found = t.scored(3, t.base.where("label = 3"))
+    return topk.fill_left(found, t.scored(8), 8, ["qid"]).select("qid", "vec_id", _r())
 
 
 _AGES = [(1800, 3), (3600, 4), (20000, 5)]
@@ -350,15 +378,18 @@ _AGES = [(1800, 3), (3600, 4), (20000, 5)]
 @query("topk_age_quota", f"{WITH}{D}, a AS (SELECT *, {NOW} - ({BORN} + vec_id * 60) AS age FROM d), b AS (SELECT *, CASE WHEN age BETWEEN 0 AND 1800 THEN 0 WHEN age BETWEEN 0 AND 5400 THEN 1 WHEN age BETWEEN 0 AND 20000 THEN 2 END AS pool_id FROM a) SELECT qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM b WHERE pool_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY qid, pool_id ORDER BY dist, vec_id) <= pool_id + 3")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return topk.age_quota(t.scored(), F.lit(NOW), t.created, _AGES, ["qid"]).select("qid", "pool_id", "vec_id", _r())
+    entries, pools = topk.age_entries([(qid, v) for qid, v, _ in t.asked], _AGES)
+    found = scan(t.base, entries, L2, group=topk.age_bucket(F.lit(NOW) - t.created, [a for a, _ in _AGES]))
+    return ivf.labelled(spark, found, pools).select("qid", "pool_id", "vec_id", _r())
 
 
-@query("multi_query", f"{WITH}, w(i, label, k) AS (VALUES (0, 1, 3), (1, 4, 2), (2, 8, 4)), d AS (SELECT i AS pool_id, k, e.vec_id, {_l2()} AS dist FROM w JOIN q ON q.qid = w.i JOIN e ON e.label = w.label) SELECT pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pool_id ORDER BY dist, vec_id) <= k")
+@query("multi_query", f"{WITH}, w(i, label, k) AS (VALUES (0, 1, 3), (1, 4, 2), (2, 8, 4)), d AS (SELECT i AS pool_id, k, e.vec_id, {_l2()} AS dist FROM w JOIN q ON q.qid = w.i * 50 JOIN e ON e.label = w.label) SELECT pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY row_number() OVER (PARTITION BY pool_id ORDER BY dist, vec_id) <= k")
 def _(spark, sf_dir):
+    """One request with several vectors, each for a group of its own."""
     t = T(spark, sf_dir)
-    w = spark.createDataFrame([(0, 1, 1, 3), (1, 4, 1, 2), (2, 8, 1, 4)], "pool_id int, id int, level int, k int")
-    wanted = w.join(t.queries, F.col("pool_id") == F.col("qid"))
-    return ivf.group_search(ivf.group_entries(t.base, _groups()), wanted, 4).select("pool_id", "vec_id", _r())
+    vectors = {qid: v for qid, v, _ in t.asked}
+    wanted = [(0, vectors[50 * i], 1, label, i, k) for i, label, k in ((0, 1, 3), (1, 4, 2), (2, 8, 4))]
+    return ivf.group_search(ivf.group_entries(t.base, _groups()), wanted).select("pool_id", "vec_id", _r())
 
 
 # Inverted files ---------------------------------------------------------------------------
@@ -413,8 +444,12 @@ def _(spark, sf_dir):
 @query("group_ivf", f"{_IVF}, l AS (SELECT * FROM d WHERE label IN (3, 7) AND vec_id % 7 <> 0) SELECT qid, label, vec_id, round(dist, 6) + 0.0 AS dist FROM l QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY dist, vec_id) <= 3")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    found = ivf.candidates(t.probes(), t.postings.where("label in (3, 7)").join(t.deleted, "vec_id", "left_anti")).withColumn("dist", L2(F.col("qv"), F.col("v")))
-    return topk.top_k(found, 3, ["qid", "label"]).select("qid", "label", "vec_id", _r())
+    probes = [(r.qid, list(r.qv), r.slot, label) for r in t.probes().toLocalIterator() for label in (3, 7)]
+    names = sorted({(qid, label, 3) for qid, _, _, label in probes})
+    asked = [Entry(names.index((qid, label, 3)), v, 3, ivf.group_key(label, slot)) for qid, v, slot, label in probes]
+    live = t.postings.where("label in (3, 7)").join(t.deleted, "vec_id", "left_anti")
+    found = scan(live, asked, L2, group=ivf.group_key(F.col("label"), F.col("slot")))
+    return ivf.labelled(spark, found, names).select("qid", F.col("pool_id").alias("label"), "vec_id", _r())
 
 
 @query("group_ivf_two_stage", f"{WITH}{_LEVELS}, rp AS (SELECT qid, qv, label AS parent FROM (SELECT qid, qv, ro.label, row_number() OVER (PARTITION BY qid ORDER BY {_l2('qv', 'ro.cv')}, ro.label) AS r FROM q, ro) WHERE r <= 2), fp AS (SELECT qid, qv, slot FROM (SELECT qid, qv, fi.label AS slot, row_number() OVER (PARTITION BY qid ORDER BY {_l2('qv', 'fi.cv')}, fi.label) AS r, count(*) OVER (PARTITION BY qid) AS n FROM rp JOIN fi USING (parent)) WHERE r <= greatest(floor(n * 0.4 + 1e-9), 1)), fa AS (SELECT vec_id, v, slot FROM (SELECT vec_id, v, fi.label AS slot, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('fi.cv', 'v')}, fi.label) AS r FROM e, fi) WHERE r = 1), d AS (SELECT qid, vec_id, {_l2()} AS dist FROM fp JOIN fa USING (slot)){_top('d')}")
@@ -427,22 +462,22 @@ def _(spark, sf_dir):
 @query("cat_flat", f"{WITH}{D}, l AS (SELECT d.* FROM d JOIN q USING (qid) WHERE d.label = q.qlabel){_top('l')}")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    found = t.base.join(t.queries, F.col("label") == F.col("qlabel")).withColumn("dist", L2(F.col("qv"), F.col("v")))
-    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+    return knn.in_group(t.base, t.queries, "label", "qlabel", K).select("qid", "vec_id", _r())
 
 
 @query("cat_ivf", f"{_IVF}, l AS (SELECT * FROM d WHERE label = 3){_top('l', extra=', label AS category')}")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return ivf.search(t.probes(), t.postings.where("label = 3"), K).select("qid", "vec_id", _r(), F.col("label").alias("category"))
+    return ivf.search(t.probes(), t.postings.where("label = 3"), K).select("qid", "vec_id", _r(), F.lit(3).alias("category"))
 
 
 @query("multi_category", f"{WITH}, g AS (SELECT vec_id, v, label AS cat FROM e UNION ALL SELECT vec_id, v, 100 + vec_id % 4 FROM e), d AS (SELECT qid, cat, vec_id, {_l2()} AS dist FROM q, g WHERE cat IN (2, 101)) SELECT qid, cat, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY row_number() OVER (PARTITION BY qid, cat ORDER BY dist, vec_id) <= 4")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
     cats = t.base.withColumn("cat", F.explode(F.array(F.col("label").cast("long"), F.lit(100) + F.col("vec_id") % 4))).where("cat in (2, 101)")
-    found = cats.crossJoin(t.queries).withColumn("dist", L2(F.col("qv"), F.col("v")))
-    return topk.top_k(found, 4, ["qid", "cat"]).select("qid", F.col("cat").cast("int").alias("cat"), "vec_id", _r())
+    names = [(qid, cat, 4) for qid, _, _ in t.asked for cat in (2, 101)]
+    asked = [Entry(2 * i + j, v, 4, cat) for i, (_, v, _) in enumerate(t.asked) for j, cat in enumerate((2, 101))]
+    return ivf.labelled(spark, scan(cats, asked, L2, group="cat"), names).select("qid", F.col("pool_id").alias("cat"), "vec_id", _r())
 
 
 # Product quantisation ---------------------------------------------------------------------
@@ -451,25 +486,25 @@ def _(spark, sf_dir):
 @query("pq_encode", f"{WITH}{CODE} SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY frag) AS codes FROM code GROUP BY vec_id")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH).select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+    return pq.codes(t.base.select("vec_id", "v"), t.book).select("vec_id", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
 
 
 @query("pq_lut", f"{WITH}{CODE} SELECT qid, frag::INT AS frag, code::INT AS code, round(d, 6) + 0.0 AS dist FROM lut")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH).select("qid", "frag", "code", _r(F.col("d")))
+    return pq.lookup(t.queries, t.book).select("qid", "frag", "code", _r(F.col("d")))
 
 
-def _adc(t: T) -> DataFrame:
-    codes = pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH)
-    return codes.crossJoin(F.broadcast(pq.tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"]))).withColumn("dist", pq.from_codes(F.col("codes"), F.col("lut")))
+def _coded(t: T, rows: DataFrame | None = None) -> DataFrame:
+    """(vec_id, label[, slot], codes)"""
+    return pq.codes(t.base if rows is None else rows, t.book)
 
 
 _ADC_ROUND = ", ar AS (SELECT qid, vec_id, round(dist, 9) AS dist FROM adc)"
 
 
 def _adc_top(t: T, k: int) -> DataFrame:
-    return topk.top_k(_adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")), k, ["qid"])
+    return t.top(pq.adc(_coded(t), t.entries(k), t.book), k)
 
 
 @query("pq_adc", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{_top('ar')}")
@@ -477,26 +512,67 @@ def _(spark, sf_dir):
     return _adc_top(T(spark, sf_dir), K).select("qid", "vec_id", _r())
 
 
+_PROBED = f"{WITH}{CODE}{ADC}{_ADC_ROUND}{ASSIGN}{PROBE}, l AS (SELECT ar.* FROM ar JOIN a USING (vec_id) JOIN p ON p.qid = ar.qid AND p.slot = a.slot)"
+
+
+def _probed_adc(t: T, k: int) -> DataFrame:
+    """Distances from codes within the probed slots only."""
+    return t.top(pq.adc(_coded(t, t.postings), ivf.entries(t.probes(), k), t.book, group="slot"), k)
+
+
+@query("ivfpq_probe_refine", f"{_PROBED}{D}, k AS ({_top('l', 40)}), r AS (SELECT d.* FROM d JOIN k USING (qid, vec_id)){_top('r')}")
+def _(spark, sf_dir):
+    """Probe, 40 candidates from codes, exact distances of those."""
+    t = T(spark, sf_dir)
+    return t.top(pq.refine(_probed_adc(t, 40).withColumnRenamed("qid", "pool"), t.base, t.entries(), K, L2)).select("qid", "vec_id", _r())
+
+
+@query("cat_ivfpq", f"{_PROBED}{D}, c3 AS (SELECT l.* FROM l JOIN e USING (vec_id) WHERE e.label = 3), k AS ({_top('c3', 40)}), r AS (SELECT d.* FROM d JOIN k USING (qid, vec_id)){_top('r', extra=', label AS category')}")
+def _(spark, sf_dir):
+    """The same in one category, which is attached."""
+    t = T(spark, sf_dir)
+    near = t.top(pq.adc(_coded(t, t.postings.where("label = 3")), ivf.entries(t.probes(), 40), t.book, group="slot"), 40)
+    found = t.top(pq.refine(near.withColumnRenamed("qid", "pool"), t.base, t.entries(), K, L2))
+    return found.join(t.base.select("vec_id", F.col("label").alias("category")), "vec_id").select("qid", "vec_id", _r(), "category")
+
+
 @query("ivfpq_candidates", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{ASSIGN}{PROBE}, l AS (SELECT ar.* FROM ar JOIN a USING (vec_id) JOIN p ON p.qid = ar.qid AND p.slot = a.slot), k AS ({_top('l', 20)}) SELECT qid, vec_id, 0.0::DOUBLE AS score FROM k")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    probed = ivf.candidates(t.probes().select("qid", "slot"), knn.nearest_label(t.base, t.centroids).select("vec_id", "slot"))
-    found = _adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")).join(probed, ["qid", "vec_id"], "left_semi")
-    return topk.top_k(found, 20, ["qid"]).select("qid", "vec_id", F.lit(0.0).alias("score"))
+    return _probed_adc(t, 20).select("qid", "vec_id", F.lit(0.0).alias("score"))
 
 
 @query("ivfpq_refine", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{D}, k AS ({_top('ar', 40)}), r AS (SELECT d.* FROM d JOIN k USING (qid, vec_id)){_top('r')}")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return pq.refine(_adc_top(t, 40), t.base, t.queries, K).select("qid", "vec_id", _r())
+    return t.top(pq.refine(_adc_top(t, 40).withColumnRenamed("qid", "pool"), t.base, t.entries(), K, L2)).select("qid", "vec_id", _r())
+
+
+_GROUPED = f"{_PROBED}{D}, g AS (SELECT l.qid, l.vec_id, l.dist, e.label FROM l JOIN e USING (vec_id) WHERE e.label IN (3, 7)), k AS (SELECT qid, vec_id, label FROM g QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY dist, vec_id) <= 4)"
 
 
-@query("group_ivfpq", f"{WITH}{CODE}{ADC}{_ADC_ROUND}{D}, l AS (SELECT ar.qid, ar.vec_id, ar.dist, e.label FROM ar JOIN e USING (vec_id) WHERE e.label IN (3, 7)), k AS (SELECT qid, vec_id, label FROM l QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY dist, vec_id) <= 4) SELECT k.qid, k.label, k.vec_id, round(d.dist, 6) + 0.0 AS dist FROM k JOIN d USING (qid, vec_id)")
+def _grouped_pq(t: T) -> DataFrame:
+    """(qid, label, vec_id, dist): in each of two groups the 4 nearest of the probed slots by codes, with exact distances."""
+    probes = [(r.qid, list(r.qv), r.slot, label) for r in t.probes().toLocalIterator() for label in (3, 7)]
+    names = sorted({(qid, label, 4) for qid, _, _, label in probes})
+    asked = [Entry(names.index((qid, label, 4)), v, 4, ivf.group_key(label, slot)) for qid, v, slot, label in probes]
+    near = topk.top_k(pq.adc(_coded(t, t.postings.where("label in (3, 7)")), asked, t.book, group=ivf.group_key(F.col("label"), F.col("slot"))), 4, ["pool"])
+    exact = pq.refine(near, t.base, [Entry(i, dict((q, v) for q, v, _ in t.asked)[n[0]], 4) for i, n in enumerate(names)], 4, L2)
+    return ivf.labelled(t.spark, exact.drop("rk"), names).select("qid", F.col("pool_id").alias("label"), "vec_id", "dist")
+
+
+for _name in ("group_ivfpq", "group_ivfpq_small"):
+
+    @query(_name, f"{_GROUPED} SELECT k.qid, k.label, k.vec_id, round(d.dist, 6) + 0.0 AS dist FROM k JOIN d USING (qid, vec_id)")
+    def _(spark, sf_dir):
+        return _grouped_pq(T(spark, sf_dir)).select("qid", "label", "vec_id", _r())
+
+
+@query("group_ivfpq_global", f"{_GROUPED}, r AS (SELECT k.qid, k.label, k.vec_id, d.dist FROM k JOIN d USING (qid, vec_id)) SELECT qid, label, vec_id, round(dist, 6) + 0.0 AS dist FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id, label) <= 5")
 def _(spark, sf_dir):
-    t = T(spark, sf_dir)
-    near = _adc(t).select("qid", "vec_id", F.round("dist", 9).alias("dist")).join(t.base.where("label in (3, 7)").select("vec_id", "label"), "vec_id")
-    near = topk.top_k(near, 4, ["qid", "label"]).select("qid", "label", "vec_id")
-    return near.join(t.base.select("vec_id", "v"), "vec_id").join(t.queries, "qid").select("qid", "label", "vec_id", _r(L2(F.col("qv"), F.col("v"))))
+    """One quota over the groups together."""
+    found = _grouped_pq(T(spark, sf_dir))
+    return topk.top_k(found, 5, ["qid"]).select("qid", "label", "vec_id", _r())
 
 
 _RES = f""", rb AS (SELECT vec_id, slot, list_transform(list_zip(v, cv), lambda p: p[1] - p[2]) AS rv FROM e JOIN a USING (vec_id)),
@@ -509,35 +585,27 @@ rd AS (SELECT qid, vec_id, round(sum(d), 9) AS dist FROM rk JOIN rl USING (slot,
 
 
 def _residual(t: T):
-    own = t.postings.join(t.centroids.withColumnRenamed("label", "slot"), "slot").select("vec_id", "slot", encode.residual(F.col("v"), F.col("cv")).alias("v"))
-    book = pq.fragments(own.where(F.col("vec_id") < CODES).select(F.col("vec_id").cast("int").alias("code"), "v"), ["code"], "v", FRAGMENTS, WIDTH).withColumnRenamed("part", "cv")
-    return own, book
+    """(postings with codes of residuals, the codebook, the centroids by slot)"""
+    posted = t.postings
+    book = pq.book(t.codebook(pq.residuals(posted.where(F.col("vec_id") < CODES), t.centroids)), FRAGMENTS)
+    centroids = {r.label: list(r.cv) for r in t.centroids.toLocalIterator()}
+    return pq.codes(posted.select("vec_id", "slot", "v"), book, centroids=centroids), book, centroids
 
 
 @query("residual_pq", f"{WITH}{ASSIGN}{PROBE}{_RES}{_top('rd')}")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    own, book = _residual(t)
-    codes = pq.codes(own, book, FRAGMENTS, WIDTH).join(own.select("vec_id", "slot"), "vec_id")
-    q = t.probes().select("qid", "slot", encode.residual(F.col("qv"), F.col("cv")).alias("qv"))
-    lut = pq.tables(pq.lookup(q, book, FRAGMENTS, WIDTH, ["qid", "slot"]), ["qid", "slot"])
-    found = codes.join(lut, "slot").select("qid", "vec_id", F.round(pq.from_codes(F.col("codes"), F.col("lut")), 9).alias("dist"))
-    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+    codes, book, centroids = _residual(t)
+    return t.top(pq.adc(codes, ivf.entries(t.probes(), K), book, "residual", centroids, "slot")).select("qid", "vec_id", _r())
 
 
 @query("rpq_terms", f"{WITH}{ASSIGN}{PROBE}{_RES}{_top('rd', digits=5)}")
 def _(spark, sf_dir):
-    """|q - C|^2 + (|y|^2 + 2 C.y) - 2 q.y: the middle term is made when the index is built."""
+    """|q - C|^2 + (|y|^2 + 2 C.y) - 2 q.y: the middle term depends on the slot alone."""
     t = T(spark, sf_dir)
-    own, book = _residual(t)
-    dot = lambda a, b: -metrics.inner_product(F.col(a), F.col(b))
-    codes = pq.codes(own, book, FRAGMENTS, WIDTH).join(own.select("vec_id", "slot"), "vec_id")
-    built = pq.fragments(t.centroids.withColumnRenamed("label", "slot"), ["slot"], "cv", FRAGMENTS, WIDTH).withColumnRenamed("part", "ccv").join(book, "frag").select("slot", "frag", "code", (dot("cv", "cv") + 2 * dot("ccv", "cv")).alias("d"))
-    asked = pq.lookup(t.queries, book, FRAGMENTS, WIDTH, metric=metrics.inner_product)
-    terms = pq.tables(built, ["slot"]).withColumnRenamed("lut", "terms")
-    found = codes.join(terms, "slot").join(t.probes().select("qid", "slot", "probe_dist"), "slot").join(pq.tables(asked, ["qid"]), "qid")
-    dist = F.col("probe_dist") + pq.from_codes(F.col("codes"), F.col("terms")) + 2 * pq.from_codes(F.col("codes"), F.col("lut"))
-    return topk.top_k(found.select("qid", "vec_id", F.round(dist, 9).alias("dist")), K, ["qid"]).select("qid", "vec_id", _r(digits=5))
+    codes, book, centroids = _residual(t)
+    found = pq.adc(codes, ivf.entries(t.probes(), 2 * K, offset=True), book, "terms", centroids, "slot", digits=12)
+    return t.top(found.withColumn("dist", F.round("dist", 9))).select("qid", "vec_id", _r(digits=5))
 
 
 _FAST = ", sp AS (SELECT qid, frag, min(d) AS lo, max(d) AS hi FROM lut GROUP BY qid, frag), sc AS (SELECT qid, least(255.0 / max(hi - lo), 65535.0 / sum(hi - lo)) AS a, sum(lo) AS b FROM sp GROUP BY qid), ql AS (SELECT qid, frag, code, floor((d - lo) * a)::INT AS d, a, b FROM lut JOIN sp USING (qid, frag) JOIN sc USING (qid))"
@@ -546,18 +614,20 @@ _FAST = ", sp AS (SELECT qid, frag, min(d) AS lo, max(d) AS hi FROM lut GROUP BY
 @query("fastscan_lut", f"{WITH}{CODE}{_FAST} SELECT qid, frag::INT AS frag, code::INT AS code, d AS q, round(a, 6) AS a, round(b, 6) AS b FROM ql")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    fast = pq.fast_scan_tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"])
-    return fast.select("qid", "frag", "code", F.col("d").alias("q"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    fast = pq.lookup(t.queries, t.book, fast=True)
+    return fast.select("qid", "frag", "code", F.col("d").cast("int").alias("q"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 @query("fastscan_scan", f"{WITH}{CODE}{_FAST}, fd AS (SELECT qid, vec_id, round(sum(d) / any_value(a) + any_value(b), 9) AS dist FROM code JOIN ql USING (frag, code) GROUP BY qid, vec_id){_top('fd')}")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    fast = pq.fast_scan_tables(pq.lookup(t.queries, t.codebook, FRAGMENTS, WIDTH), ["qid"]).persist()
-    codes = pq.codes(t.base, t.codebook, FRAGMENTS, WIDTH)
-    lut = pq.tables(fast, ["qid"]).join(fast.groupBy("qid").agg(F.first("a").alias("a"), F.first("b").alias("b")), "qid")
-    found = codes.crossJoin(F.broadcast(lut)).select("qid", "vec_id", F.round(pq.from_codes(F.col("codes"), F.col("lut")) / F.col("a") + F.col("b"), 9).alias("dist"))
-    return topk.top_k(found, K, ["qid"]).select("qid", "vec_id", _r())
+    return t.top(pq.adc(_coded(t), t.entries(), t.book, "fast")).select("qid", "vec_id", _r())
+
+
+@query("fastscan_probe", f"{WITH}{CODE}{_FAST}{ASSIGN}{PROBE}, fd AS (SELECT qid, vec_id, round(sum(d) / any_value(a) + any_value(b), 9) AS dist FROM code JOIN ql USING (frag, code) GROUP BY qid, vec_id), l AS (SELECT fd.* FROM fd JOIN a USING (vec_id) JOIN p ON p.qid = fd.qid AND p.slot = a.slot){_top('l')}")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return t.top(pq.adc(_coded(t, t.postings), ivf.entries(t.probes(), K), t.book, "fast", group="slot")).select("qid", "vec_id", _r())
 
 
 _RANGE = ", r AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM e)"
@@ -626,7 +696,7 @@ for _name, _f, _sql, _shift in (("vec_mean", train.mean, "avg(x)", False), ("vec
     def _(spark, sf_dir, f=_f, shift=_shift):
         base = T(spark, sf_dir).base
         base = base.withColumn("v", F.transform("v", lambda x: F.abs(x) + 0.1)) if shift else base
-        return f(base, ["label"]).select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
+        return f(base, "label").select(F.col("label").cast("int").alias("label"), "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 for _name, _f, _sql in (("bin_majority", train.majority, "CASE WHEN sum(x) > count(*) // 2 THEN 1 ELSE 0 END::DOUBLE"), ("bin_variance", train.variance, "round(avg(x * x) - avg(x) * avg(x), 6)")):
@@ -634,12 +704,12 @@ for _name, _f, _sql in (("bin_majority", train.majority, "CASE WHEN sum(x) > cou
     @query(_name, f"{WITH}{_POS.replace('unnest(v)', 'unnest(list_transform(v, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END::DOUBLE))')} SELECT label, pos::INT AS pos, {_sql} + 0.0 AS x FROM l GROUP BY label, pos")
     def _(spark, sf_dir, f=_f):
         bits = T(spark, sf_dir).base.select("label", encode.sign_bits(F.col("v")).alias("bits"))
-        return f(bits, ["label"], "bits").select("label", "pos", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+        return f(bits, "label", "bits").select(F.col("label").cast("int").alias("label"), "pos", (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
 
 
 @query("medoid", f"{WITH}{_POS}, m AS (SELECT label, list(x ORDER BY pos) AS cv FROM (SELECT label, pos, avg(x) AS x FROM l GROUP BY label, pos) GROUP BY label), d AS (SELECT label, vec_id, {_l2('cv', 'v')} AS dist FROM e JOIN m USING (label)) SELECT label, vec_id, round(dist, 6) AS dist FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY dist, vec_id) = 1")
 def _(spark, sf_dir):
-    return train.medoids(T(spark, sf_dir).base, ["label"]).select("label", "vec_id", _r())
+    return train.medoids(T(spark, sf_dir).base, "label").select(F.col("label").cast("int").alias("label"), "vec_id", _r())
 
 
 def _lloyd_sql(k: int, source: str, vec: str) -> str:
@@ -656,33 +726,22 @@ def _(spark, sf_dir):
     return found.select("label", F.posexplode("cv").alias("pos", "x")).select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
-def _book_sql() -> str:
-    parts = []
-    for f in range(2):
-        sql = f", t{f} AS (SELECT vec_id AS id, v[{4 * f + 1}:{4 * f + 4}] AS v FROM e), f{f}s0 AS (SELECT vec_id AS label, v AS cv FROM (SELECT vec_id, v[{4 * f + 1}:{4 * f + 4}] AS v FROM e WHERE vec_id < 16))"
-        for k in range(2):
-            step = _lloyd_sql(k, f"t{f}", "v")
-            for name in (f"a{k}", f"m{k}", f"s{k + 1}", f"s{k}"):
-                step = re.sub(rf"\b{name}\b", f"f{f}{name}", step)
-            sql += step
-        parts.append(sql)
-    return f"{WITH}{parts[0]}{parts[1]} " + " UNION ALL ".join(f"SELECT {f} AS frag, label::INT AS code, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM (SELECT label, unnest(range(4)) AS pos, unnest(cv) AS x FROM f{f}s2)" for f in range(2))
+_BOOK = ", b0 AS (SELECT f AS frag, vec_id AS label, v[4 * f + 1 : 4 * f + 4] AS cv FROM e, (SELECT unnest(range(16)) AS f) WHERE vec_id < 16), fr AS (SELECT vec_id, f AS frag, v[4 * f + 1 : 4 * f + 4] AS v FROM e, (SELECT unnest(range(16)) AS f))" + "".join(
+    f""", n{k} AS (SELECT fr.frag, fr.vec_id, fr.v, b.label, row_number() OVER (PARTITION BY fr.frag, fr.vec_id ORDER BY {_l2("b.cv", "fr.v")}, b.label) AS r FROM fr JOIN b{k} b USING (frag)),
+m{k} AS (SELECT frag, label, list(x ORDER BY pos) AS nv FROM (SELECT frag, label, pos, round(avg(x), 6) AS x FROM (SELECT frag, label, unnest(range(4)) AS pos, unnest(v) AS x FROM n{k} WHERE r = 1) GROUP BY frag, label, pos) GROUP BY frag, label),
+b{k + 1} AS (SELECT frag, label, coalesce(nv, cv) AS cv FROM b{k} LEFT JOIN m{k} USING (frag, label))"""
+    for k in range(2)
+)
 
 
-@query("codebook_2iter", _book_sql())
+@query("codebook_2iter", f"{WITH}{_BOOK} SELECT frag::INT AS frag, label::INT AS code, pos::INT AS pos, round(x, 6) + 0.0 AS x FROM (SELECT frag, label, unnest(range(4)) AS pos, unnest(cv) AS x FROM b2)")
 def _(spark, sf_dir):
+    """All fragments of whole vectors."""
     t = T(spark, sf_dir)
-    found = train.codebook(t.base.withColumn("v", F.slice("v", 1, 8)), t.codebook, 2, WIDTH, 2, digits=6)
+    found = train.codebook(t.base, t.codebook(), FRAGMENTS, WIDTH, 2, digits=6)
     return found.select("frag", "code", F.posexplode("cv").alias("pos", "x")).select("frag", "code", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
-@query("codebook_whole")
-def _(spark, sf_dir):
-    """All fragments of whole vectors; tested against numpy."""
-    t = T(spark, sf_dir)
-    return train.codebook(t.base, t.codebook, FRAGMENTS, WIDTH, 2, digits=6).select("frag", "code", F.posexplode("cv").alias("pos", "x"))
-
-
 @query("cluster_stats", f"{WITH}, a AS (SELECT vec_id, slot, dist FROM (SELECT vec_id, c.label AS slot, {_l2('cv', 'v')} AS dist, row_number() OVER (PARTITION BY vec_id ORDER BY {_l2('cv', 'v')}, c.label) AS r FROM e, c) WHERE r = 1) SELECT slot::BIGINT AS slot, count(*) AS n, round(sum(dist), 6) AS cost FROM a GROUP BY slot")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
@@ -699,6 +758,29 @@ def _(spark, sf_dir):
     return train.first_centroids(T(spark, sf_dir).base, 20)
 
 
+@query("spread_centroids")
+def _(spark, sf_dir):
+    """Starting centroids drawn far from each other."""
+    return train.spread_centroids(T(spark, sf_dir).base, 20)
+
+
+@query("medoid_update")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    return train.medoid_update(t.base, t.centroids.where("label < 10"))
+
+
+@query("two_stage_clusters")
+def _(spark, sf_dir):
+    """(parent, label, cv): 4 clusters, each divided in proportion into 16 in all."""
+    return train.staged(T(spark, sf_dir).base, [4, 4], rounds=3)[1]
+
+
+@query("three_stage_clusters")
+def _(spark, sf_dir):
+    return train.staged(T(spark, sf_dir).base, [2, 2, 2], rounds=3)[2]
+
+
 @query("latency_percentiles", "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (25, 50, 75, 90, 95, 99)) + " FROM events GROUP BY event_type")
 def _(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -792,31 +874,46 @@ def _(spark, sf_dir):
 # Graphs -------------------------------------------------------------------------------------
 
 
-def _graph_recall(t: T, base: DataFrame, kind: str, **options) -> DataFrame:
-    edges = graph.build(base, kind, **options)
-    found = graph.search(base, edges, t.queries, K)
-    return merge.recall(found, knn.exact(t.base, t.queries, K)).select("qid", (F.col("recall") >= 0.9).alias("good"))
+def _recall(t: T, found: DataFrame) -> DataFrame:
+    return merge.recall(found, knn.exact(t.base, t.queries, K)).select("qid", "recall")
 
 
-_GOOD = "SELECT vec_id AS qid, true AS good FROM embeddings WHERE vec_id < 5"
+@query("hnsw_recall")
+def _(spark, sf_dir):
+    """Each query's recall over several shards."""
+    t = T(spark, sf_dir)
+    base = graph.sharded(t.base, 250)
+    return _recall(t, graph.search(base, graph.build(base, "hnsw"), t.queries, K))
 
 
-@query("hnsw_recall", _GOOD)
+@query("vamana_recall")
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
-    return _graph_recall(t, graph.sharded(t.base), "hnsw")
+    base = graph.sharded(t.base, 250)
+    return _recall(t, graph.search(base, graph.build(base), t.queries, K))
 
 
-@query("vamana_recall", _GOOD)
+@query("sharded_vamana_recall")
 def _(spark, sf_dir):
+    """Shards by centroids, each vector in two."""
     t = T(spark, sf_dir)
-    return _graph_recall(t, graph.sharded(t.base, 1000), "vamana")
+    base = graph.by_centroids(t.base, t.centroids.where("label < 4"), capacity=1000)
+    return _recall(t, graph.search(base, graph.build(base), t.queries, K))
 
 
-@query("sharded_vamana_recall", _GOOD)
+@query("merged_vamana_recall")
 def _(spark, sf_dir):
+    """One merged graph of overlapping shards, walked by product codes, re-ranked by exact distances."""
     t = T(spark, sf_dir)
-    return _graph_recall(t, graph.by_centroids(t.base, t.centroids.where("label < 4")), "vamana")
+    base = graph.by_centroids(t.base, t.centroids.where("label < 4"), capacity=1000)
+    edges = graph.build(base).persist()
+    starts = [r.start for r in edges.select("start").distinct().orderBy("start").toLocalIterator()]
+    nodes, coded = graph.nodes(t.base, edges, 64).persist(), _coded(t).persist()
+    found = graph.beam_search(nodes, coded, t.entries(), starts, t.book, K)
+    rows = [tuple(r) for r in _recall(t, found).collect()]  # a row a stated query
+    for df in (edges, nodes, coded):
+        df.unpersist()
+    return spark.createDataFrame(rows, "qid long, recall double")
 
 
 # Streams ------------------------------------------------------------------------------------
