@@ -45,6 +45,25 @@ def mips_query(v: Column, m: int) -> Column:
     return F.concat(_doubles(v), F.array_repeat(F.lit(0.0), m))
 
 
+def mips_score(squares: Column, dist: Column, longest, m: int, u: float) -> Column:
+    """The inner product that a distance stands for; ``squares`` is the query's squared norm. The number of terms is
+    divided by 4 as a whole number."""
+    return (squares + m // 4 - dist) / 2 * (longest / u)
+
+
+def mips_centroid_terms(v: Column, centroid: Column, longest) -> tuple[Column, Column]:
+    """Of the one-dimension form: (offline: the squared difference of the vector's further dimension and the centroid's,
+    online: the centroid's squared). ``centroid`` has the further dimension at its end."""
+    last = F.element_at(centroid, -1)
+    apart = mips_extra(v, longest) - last
+    return apart * apart, last * last
+
+
+def rank_score_label(label: Column) -> Column:
+    """As product-quantised indexes store it: the label and one, without a logarithm."""
+    return label.cast("double") + 1
+
+
 def mips_extra(v: Column, longest) -> Column:
     """The one further dimension that gives all vectors the same norm."""
     return F.sqrt(F.greatest(longest * longest - norm2(v), F.lit(0.0)))

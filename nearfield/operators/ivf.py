@@ -36,9 +36,9 @@ def postings(docs: DataFrame, centroids: DataFrame, group: str | None = None) ->
     return nearest_label(docs, centroids, group=group).drop("dist")
 
 
-def save(posting: DataFrame, path: str) -> None:
-    """Partitioned by slot; large slots are several files (rows are dealt by slot and hash)."""
-    posting.repartition("slot", F.pmod(F.xxhash64("vec_id"), F.lit(8))).write.partitionBy("slot").parquet(path)
+def save(posting: DataFrame, path: str, spread: int = 1) -> None:
+    """Partitioned by slot; each slot is ``spread`` files (rows are dealt by slot and hash)."""
+    posting.repartition("slot", F.pmod(F.xxhash64("vec_id"), F.lit(spread))).write.partitionBy("slot").parquet(path)
 
 
 def probed(q: np.ndarray, labels: np.ndarray, c: np.ndarray, n: int, kernel=L2) -> list[tuple[int, float]]:

@@ -7,6 +7,9 @@ codebooks are fixed rows, so that both engines compute the same.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import encode, metrics
 from nearfield.operators import graph, ivf, knn, merge, pq, topk, train
 from nearfield.operators.scan import Entry, scan
+from nearfield.plans import engine
 from nearfield.sources import readers
 from nearfield.streaming import segments
 
@@ -827,6 +831,141 @@ def _(spark, sf_dir):
     return merge.by_category_size(T(spark, sf_dir).base, "label", 50).select("vec_id", "label", "kind")
 
 
+# From strings -------------------------------------------------------------------------------
+
+
+def _schema(kind: str, **more) -> engine.Schema:
+    return engine.Schema(kind, ratio=0.5, pq_scan_num=40, **more)
+
+
+def _built(t: T, kind: str, **more) -> tuple[str, engine.Schema]:
+    """(path, schema) of an index of all vectors, from build strings, with centroids by group."""
+    schema = _schema(kind, **more)
+    every = t.centroids.select(F.lit(0).alias("level"), F.lit(0).alias("id"), "label", "cv")
+    own = t.base.where("vec_id % 5 = 0").select(F.lit(1).alias("level"), F.col("label").alias("id"), F.col("vec_id").alias("label"), F.col("v").alias("cv"))
+    text = F.concat(F.lit("0:0;1:"), F.col("label").cast("string"), F.lit("||"), F.array_join(F.transform("v", lambda x: x.cast("string")), " "))
+    records = t.base.select("vec_id", (F.col("vec_id") + 1000).alias("pk"), t.created.alias("created"), text.alias("value"))
+    path = engine_path(t.spark)
+    engine.Builder(schema, every.union(own), t.codebook() if schema.coded else None).build(records, path)
+    return path, schema
+
+
+def engine_path(spark: SparkSession) -> str:
+    """A new folder for an index, below the folder that driver and executors share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder; a cluster needs one that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="nearfield-")
+    return f"{where.rstrip('/')}/nearfield/index-{uuid.uuid4().hex}"
+
+
+def _strings(t: T, groups: str, tail: str = "") -> list[str]:
+    return [f"{groups}||{' '.join(repr(x) for x in v)}{tail}" for _, v, _ in t.asked]
+
+
+_STR = f""", g AS (SELECT vec_id, v, 0 AS level, 0 AS id FROM e UNION ALL SELECT vec_id, v, 1, label FROM e),
+gc AS (SELECT 0 AS level, 0 AS id, label, cv FROM c UNION ALL SELECT 1, label, vec_id, v FROM e WHERE vec_id % 5 = 0),
+gall AS (SELECT * FROM gc UNION ALL SELECT level, id, 0, v FROM (SELECT g.*, row_number() OVER (PARTITION BY level, id ORDER BY vec_id) AS r FROM g ANTI JOIN gc USING (level, id)) WHERE r = 1),
+ga AS (SELECT level, id, vec_id, v, slot FROM (SELECT g.level, g.id, vec_id, v, label AS slot, row_number() OVER (PARTITION BY g.level, g.id, vec_id ORDER BY {_l2('cv', 'v')}, label) AS r FROM g JOIN gall USING (level, id)) WHERE r = 1),
+w(level, id, pool_id, k) AS (VALUES (0, 0, 0, 4), (1, 3, 1, 3), (1, 7, 2, 5), (9, 9, 3, 2)),
+gp AS (SELECT qid, qv, level, id, pool_id, k, slot FROM (SELECT qid, qv, w.level, w.id, pool_id, k, label AS slot, row_number() OVER (PARTITION BY qid, pool_id ORDER BY {_l2('qv', 'cv')}, label) AS r, count(*) OVER (PARTITION BY qid, pool_id) AS n FROM q, w JOIN gall USING (level, id)) WHERE r <= greatest(floor(n * 0.5 + 1e-9), 1))"""
+_NUMBERED = ", qn AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS n FROM q)"
+_STRING_SQL = f"{WITH}{_STR}{_NUMBERED}, d AS (SELECT gp.qid, pool_id, k, vec_id, {_l2()} AS dist FROM gp JOIN ga USING (level, id, slot)), h AS (SELECT qn.n AS qid, pool_id, vec_id, dist FROM d JOIN qn USING (qid) QUALIFY row_number() OVER (PARTITION BY qn.n, pool_id ORDER BY dist, vec_id) <= k)"
+
+
+@query("group_ivf_string", f"{_STRING_SQL} SELECT qid::BIGINT AS qid, pool_id, vec_id, vec_id + 1000 AS pk, round(dist, 6) + 0.0 AS dist FROM h")
+def _(spark, sf_dir):
+    """Build strings to an index of centroids by group, query strings to its results."""
+    t = T(spark, sf_dir)
+    path, schema = _built(t, "GroupIvf")
+    found = engine.Searcher(spark, path, schema).search(_strings(t, "0:0#4;1:3#3,7#5;9:9#2"))
+    return found.select("qid", "pool_id", "vec_id", "pk", _r())
+
+
+@query("group_ivf_string_distinct", f"{_STRING_SQL} SELECT qid::BIGINT AS qid, vec_id, round(min(dist), 6) + 0.0 AS dist FROM h WHERE vec_id % 7 <> 0 GROUP BY qid, vec_id".replace("FROM gp JOIN ga USING (level, id, slot)", "FROM gp JOIN ga USING (level, id, slot) WHERE vec_id % 7 <> 0"))
+def _(spark, sf_dir):
+    """Without deleted keys, a row of several groups once."""
+    t = T(spark, sf_dir)
+    path, schema = _built(t, "GroupIvf")
+    gone = t.deleted.select((F.col("vec_id") + 1000).alias("pk"))
+    found = engine.Searcher(spark, path, schema, deleted=gone).search(_strings(t, "0:0#4;1:3#3,7#5;9:9#2"), distinct=True)
+    return found.select("qid", "vec_id", _r())
+
+
+@query("recall_test_string", f"{WITH}{_NUMBERED}, d AS (SELECT qn.n::BIGINT AS qid, vec_id, {_l2()} AS dist FROM q JOIN qn USING (qid), e){_top('d', 6)}")
+def _(spark, sf_dir):
+    """A recall test over all slots is exact; a total stands for the only group's quota."""
+    t = T(spark, sf_dir)
+    path, schema = _built(t, "GroupIvf")
+    found = engine.Searcher(spark, path, schema).search(_strings(t, "6&0:0#2", "||coarse_scan_ratio=1"), recall_test=True)
+    return found.select("qid", "vec_id", _r())
+
+
+@query("group_ivfpq_string", f"{WITH}{_STR}{_NUMBERED}{CODE[CODE.index(', cb'):]}{ADC}{_ADC_ROUND}, l AS (SELECT gp.qid, pool_id, k, vec_id, ar.dist FROM gp JOIN ga USING (level, id, slot) JOIN ar USING (qid, vec_id)), n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY qid, pool_id ORDER BY dist, vec_id) <= 40), x AS (SELECT n.qid, pool_id, k, n.vec_id, {_l2()} AS dist FROM n JOIN q USING (qid) JOIN e USING (vec_id)) SELECT qn.n::BIGINT AS qid, pool_id, vec_id, round(dist, 6) + 0.0 AS dist FROM x JOIN qn USING (qid) QUALIFY row_number() OVER (PARTITION BY qn.n, pool_id ORDER BY dist, vec_id) <= k")
+def _(spark, sf_dir):
+    """Probes by group, 40 candidates of each pool from codes, exact distances of those."""
+    t = T(spark, sf_dir)
+    path, schema = _built(t, "GroupIvfPq")
+    return engine.Searcher(spark, path, schema).search(_strings(t, "0:0#4;1:3#3,7#5;9:9#2")).select("qid", "pool_id", "vec_id", _r())
+
+
+@query("merged_index_string", f"{WITH}{_NUMBERED}, d AS (SELECT qn.n::BIGINT AS qid, vec_id * 2 AS vec_id, {_l2()} AS dist FROM q JOIN qn USING (qid), e WHERE vec_id % 7 <> 0){_top('d', 5)}")
+def _(spark, sf_dir):
+    """Two indexes merged under new ids, some deleted; then an exact search by string."""
+    t = T(spark, sf_dir)
+    schema, parts = _schema("GroupIvf"), []
+    text = F.concat(F.lit("0:0||"), F.array_join(F.transform("v", lambda x: x.cast("string")), " "))
+    for half in (0, 1):
+        parts.append(engine_path(spark))
+        rows = t.base.where(F.col("vec_id") % 2 == half).select("vec_id", F.col("vec_id").alias("pk"), text.alias("value"))
+        engine.Builder(schema, t.centroids.select(F.lit(0).alias("level"), F.lit(0).alias("id"), "label", "cv")).build(rows, parts[-1])
+    ids = t.base.where("vec_id % 7 <> 0").select((F.col("vec_id") % 2).cast("int").alias("part"), F.col("vec_id").alias("doc_id"), (F.col("vec_id") * 2).alias("new_id"))
+    path = engine_path(spark)
+    engine.Merger(schema).merge(spark, parts, ids, path)
+    return engine.Searcher(spark, path, schema).search(_strings(t, "0:0#5", "||coarse_scan_ratio=1"), recall_test=True).select("qid", "vec_id", _r())
+
+
+@query("mips_scores", f"{WITH}{_LONGEST}, s AS (SELECT vec_id, list_transform(v, lambda x: x * (0.38 / longest)) AS v, longest FROM e, n), m AS (SELECT vec_id, longest, list_concat(v, [0.5 - n2, 0.5 - n2 * n2, 0.5 - (n2 * n2) * (n2 * n2)]) AS v FROM (SELECT *, {_N2} AS n2 FROM s)), d AS (SELECT qid, vec_id, longest, {_s('p[1] * p[1]', 'qv', 'qv')} AS n2, {_l2('list_concat(qv, [0.0, 0.0, 0.0])', 'm.v')} AS dist FROM q, m) SELECT qid, vec_id, round((n2 + 0 - dist) / 2 * (longest / 0.38), 5) + 0.0 AS score FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) <= 10")
+def _(spark, sf_dir):
+    """Queries padded, distances turned back into inner products."""
+    t = T(spark, sf_dir)
+    longest = t.base.agg(F.max(F.sqrt(encode.norm2(F.col("v"))))).first()[0]
+    mips = engine.NAMES["mips"](longest)
+    asked = t.spark.createDataFrame([(qid, mips.query(v), sum(x * x for x in v)) for qid, v, _ in t.asked], "qid long, qv array<double>, squares double")
+    found = knn.exact(t.base.select("vec_id", mips.document(F.col("v")).alias("v")), asked, K)
+    score = encode.mips_score(F.col("squares"), F.col("dist"), longest, mips.m, mips.u)
+    return found.join(F.broadcast(asked.select("qid", "squares")), "qid").select("qid", "vec_id", (F.round(score, 5) + 0.0).alias("score"))
+
+
+@query("merge_requantised", f"{WITH}{_RANGE} SELECT vec_id, list_sum(list_transform(v, lambda x: floor(least(greatest((x - lo) / (hi - lo), 0), 1) * 255)))::BIGINT AS code_sum FROM e, r")
+def _(spark, sf_dir):
+    """Two indexes of 8-bit codes, coded anew by the range of both."""
+    t = T(spark, sf_dir)
+    rows, _, _ = merge.requantised([t.base.where("vec_id % 2 = 0"), t.base.where("vec_id % 2 = 1")])
+    return rows.select("vec_id", F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+@query("first_wins", f"{WITH} SELECT label::INT AS label, min(vec_id) AS vec_id FROM e GROUP BY label")
+def _(spark, sf_dir):
+    return merge.first_wins(T(spark, sf_dir).base.select("label", "vec_id"), "label", "vec_id")
+
+
+@query("recall_ties", f"{_IVF}, t AS ({_top('(SELECT qid, vec_id, ' + _l2() + ' AS dist FROM q, e)')}), f AS ({_top('d')}) SELECT f.qid, round(count(t.vec_id) / 10, 6) AS recall FROM f LEFT JOIN t USING (qid, vec_id) GROUP BY f.qid")
+def _(spark, sf_dir):
+    t = T(spark, sf_dir)
+    found = merge.recall_with_ties(ivf.search(t.probes(), t.postings, K), knn.exact(t.base, t.queries, 2 * K), K)
+    return found.select("qid", F.round("recall", 6).alias("recall"))
+
+
+@query("delete_full_sort", f"{WITH}{D}, l AS (SELECT *, {NOW} - ({BORN} + vec_id * 60) AS age FROM d WHERE vec_id % 7 <> 0){_top('(SELECT * FROM l WHERE age BETWEEN 0 AND 7200)', 5)}")
+def _(spark, sf_dir):
+    """A real-time bucket of up to 7200 s: deleted rows don't use up the quota."""
+    t = T(spark, sf_dir)
+    young = t.base.where((F.lit(NOW) - t.created).between(0, 7200))
+    return topk.full_sort_live(knn.exact(young, t.queries, young.count()).drop("rk"), t.deleted, 5, ["qid"]).select("qid", "vec_id", _r())
+
+
 # Sources ------------------------------------------------------------------------------------
 
 
@@ -909,7 +1048,7 @@ def _(spark, sf_dir):
     edges = graph.build(base).persist()
     starts = [r.start for r in edges.select("start").distinct().orderBy("start").toLocalIterator()]
     nodes, coded = graph.nodes(t.base, edges, 64).persist(), _coded(t).persist()
-    found = graph.beam_search(nodes, coded, t.entries(), starts, t.book, K)
+    found = graph.beam_search(nodes, coded, t.entries(), starts, t.book, K, width=200)
     rows = [tuple(r) for r in _recall(t, found).collect()]  # a row a stated query
     for df in (edges, nodes, coded):
         df.unpersist()

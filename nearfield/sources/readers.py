@@ -27,7 +27,7 @@ def parsed_bits(values: Column) -> Column:
     """An array of '0' and '1' as packed words."""
     from nearfield.functions.metrics import pack_bits
 
-    return pack_bits(F.transform(values, lambda x: x.cast("int")))
+    return pack_bits(F.transform(values, lambda x: x.try_cast("int")))
 
 
 def _binary(spark: SparkSession, path: str, decode, kind: str) -> DataFrame:
@@ -74,12 +74,15 @@ def to_text(vectors: DataFrame, sep1: str = ";", sep2: str = ",") -> DataFrame:
     return vectors.select(F.concat_ws(sep1, F.col("key").cast("string"), F.array_join(F.transform("vec", lambda x: x.cast("string")), sep2)).alias("value"))
 
 
-def parsed_centroids(lines: DataFrame, fine: bool = False, line: str = "value") -> DataFrame:
-    """(parent, label, cv) of ``[parent ]label v,v,...`` lines."""
+def parsed_centroids(lines: DataFrame, fine: bool = False, line: str = "value", dim: int | None = None, mips: bool = False, binary: bool = False) -> DataFrame:
+    """(parent, label, cv) of ``[parent ]label v,v,...`` lines. With ``dim`` other lengths are left out; centroids of
+    ``mips`` indexes have a value more. ``binary``: 1 from 0.5 on, else 0."""
     parts = F.split(line, " ")
     n = 2 + fine
     vec = F.transform(F.split(F.get(parts, F.lit(n - 1)), ","), lambda x: x.cast("double"))
-    return lines.where(F.size(parts) == n).select((F.get(parts, F.lit(0)).cast("long") if fine else F.lit(None).cast("long")).alias("parent"), F.get(parts, F.lit(n - 2)).cast("long").alias("label"), vec.alias("cv"))
+    vec = F.transform(vec, lambda x: F.when(x >= 0.5, 1.0).otherwise(0.0)) if binary else vec
+    whole = (F.size(parts) == n) if dim is None else (F.size(parts) == n) & (F.size(vec) == dim + mips)
+    return lines.where(whole).select((F.get(parts, F.lit(0)).cast("long") if fine else F.lit(None).cast("long")).alias("parent"), F.get(parts, F.lit(n - 2)).cast("long").alias("label"), vec.alias("cv"))
 
 
 def parsed_group_meta(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -92,6 +95,35 @@ def parsed_group_meta(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.withColumn("first_slot", F.coalesce(F.sum("centroid_count").over(w), F.lit(0)))
 
 
+def build_columns(line: str) -> list[Column]:
+    """(groups, v) of build strings ``level:id;level:id||v v ...``; without groups the one of level 0."""
+    parts = F.split(line, r"\|\|")
+    has = F.size(parts) > 1
+    pairs = F.transform(F.filter(F.split(F.get(parts, F.lit(0)), ";"), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, ":", 1).try_cast("int").alias("level"), F.substring_index(p, ":", -1).try_cast("int").alias("id")))
+    every = F.array(F.struct(F.lit(0).alias("level"), F.lit(0).alias("id")))
+    v = F.transform(F.filter(F.split(F.element_at(parts, -1), " "), lambda x: x != ""), lambda x: x.try_cast("double"))
+    return [F.when(has, F.array_sort(F.array_distinct(pairs))).otherwise(every).alias("groups"), v.alias("v")]
+
+
+def read_norm(spark: SparkSession, path: str) -> float:
+    """The one number of a norm file."""
+    values = [r.value.strip() for r in spark.read.text(path).limit(2).collect()]
+    if len(values) != 1:
+        raise ValueError("a norm file has one line")
+    return float(values[0])
+
+
+def read_queries(spark: SparkSession, path: str, binary: bool = False) -> DataFrame:
+    """(qid, qv) of text lines ``qid;v,v,...``; ``binary``: values of 0 and 1 (a multiple of 32) as packed words."""
+    parts = F.split("value", ";")
+    values = F.split(F.get(parts, F.lit(1)), ",")
+    rows = spark.read.text(path).where(F.size(parts) == 2).select(F.get(parts, F.lit(0)).try_cast("long").alias("qid"), values.alias("x"))
+    if binary:
+        rows = rows.where((F.size("x") % 32 == 0) & F.forall("x", lambda x: F.trim(x).isin("0", "1")))
+        return rows.select("qid", parsed_bits(F.transform("x", F.trim)).alias("qv"))
+    return rows.select("qid", F.transform("x", lambda x: F.trim(x).try_cast("double")).alias("qv"))
+
+
 def read_codebook(spark: SparkSession, path: str) -> DataFrame:
     """(frag, code, cv) of files integrate_<frag>.dat with ``code v,v,...`` lines."""
     lines = spark.read.text(path).withColumn("frag", F.regexp_extract(F.input_file_name(), r"integrate_(\d+)", 1).cast("int"))
@@ -118,12 +150,12 @@ def parsed_requests(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(F.from_json(line, "request_id string, request_url string").alias("r")).select("r.*")
 
 
-def save_index(tables: dict[str, DataFrame], path: str, by: dict[str, str] | None = None) -> None:
-    """Write an index's tables as Parquet below ``path``, partitioned where ``by`` names a column."""
+def save_index(tables: dict[str, DataFrame], path: str, by: dict[str, str] | None = None, spread: int = 1) -> None:
+    """Write an index's tables as Parquet below ``path``, partitioned where ``by`` names a column, each partition by ``spread`` tasks."""
     for name, df in tables.items():
         w = df.write
         if by and name in by:
-            w = df.repartition(by[name]).write.partitionBy(by[name])
+            w = df.repartition(by[name], F.pmod(F.xxhash64("vec_id"), F.lit(spread))).write.partitionBy(by[name])
         w.parquet(f"{path}/{name}")
 
 
