@@ -120,7 +120,7 @@ def read_queries(spark: SparkSession, path: str, binary: bool = False) -> DataFr
     rows = spark.read.text(path).where(F.size(parts) == 2).select(F.get(parts, F.lit(0)).try_cast("long").alias("qid"), values.alias("x"))
     if binary:
         rows = rows.where((F.size("x") % 32 == 0) & F.forall("x", lambda x: F.trim(x).isin("0", "1")))
-        return rows.select("qid", parsed_bits(F.transform("x", F.trim)).alias("qv"))
+        return rows.select("qid", parsed_bits(F.transform("x", lambda x: F.trim(x))).alias("qv"))
     return rows.select("qid", F.transform("x", lambda x: F.trim(x).try_cast("double")).alias("qv"))
 
 
