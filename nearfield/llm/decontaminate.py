@@ -138,6 +138,8 @@ def _match(q: Windows, seg: Segment, slop: int):
         return
     df = seg.many[q.term_of]
     live = np.flatnonzero(np.minimum.reduceat(df, q.first[:-1]) > 0)
+    if not len(live):
+        return
     # for every live window, its terms from the rarest on
     n = q.length[live]
     flat = np.repeat(q.first[live], n) + _ramp(n)
