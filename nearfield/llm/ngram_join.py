@@ -34,6 +34,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -85,13 +87,13 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
         parts = total.reshape(-1, chunk)
         narrow = [p.astype(np.min_scalar_type(int(p.max()))) for p in parts]
         for a in range(0, len(parts), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(range(a, min(a + 256, len(parts))), pa.int32()), pa.array([p.itemsize for p in narrow[a : a + 256]], pa.int32()), pa.array([p.tobytes() for p in narrow[a : a + 256]], pa.binary())], names=["part", "width", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, min(a + 256, len(parts))), pa.int32()), pa.array([p.itemsize for p in narrow[a : a + 256]], pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in narrow[a : a + 256]], pa.binary())], names=["part", "width", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, w, c in zip(*(batch.column(k).to_pylist() for k in ("part", "width", "counts")), strict=True):
-                sums[p] = sums.get(p, 0) + np.frombuffer(c, f"<u{w}").astype(np.int64)
+                sums[p] = sums.get(p, 0) + np.frombuffer(zlib.decompress(c), f"<u{w}").astype(np.int64)
         most = np.iinfo(np.uint32).max
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, most).astype("<u4").tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
 
@@ -236,7 +238,7 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     docs = docs.select("doc_id", "text")
     sigs = written(signatures(docs, n, percent, gram_counts(docs, n, rank_bits(docs))), "signatures")
     named = sigs.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
+    classes = written(named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")), "classes")
     member = written(named.select("doc_id", "one", "two", "n").join(classes, ["one", "two", "n"]).select("doc_id", "rep"), "members")
     # a doc_id with several texts binds their classes together
     several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("far")).where("a <> far")
