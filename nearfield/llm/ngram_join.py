@@ -11,11 +11,13 @@ What is linked forms components, and pairs inside a known component need no look
 n-gram's list all members are first compared with one pivot (rows stay linear in the list),
 components are formed, and only lists that still hold several components go on, with a new
 pivot each time, until there are no more than ``FEW`` pairs of different components a list entry.
-Where rounds don't halve what is left (many unlike documents with one n-gram), the lists are
-divided by a second n-gram, then a third: sets that are similar share l of their first
-``n - ceil(t n) + l``, so no pair is lost. What is still open then gets more pivots a round, one
-of each component, twice as many each time. No link between components is lost, and a large
-group of near copies never becomes all pairs.
+Where the first pivots leave more (many unlike documents with one n-gram), the members of open lists
+are listed anew by parts: sets that can be similar differ in at most d n-grams, so of d + 1 parts into
+which the n-grams' hashes divide both, one is equal, and sets meet by equal parts (some eight n-grams
+each at 90 per cent) in place of single n-grams, where that leaves fewer pairs. Rows are again linear in
+a set's size. What is still
+open then gets more pivots a round, one of each component, 16 times as many each time where rounds don't
+halve it. No link between components is lost, and a large group of near copies never becomes all pairs.
 
 Hot n-grams: a list's pivot and its components are found by aggregations that combine before the
 shuffle, and members meet written pivots, so adaptive execution may split a list over tasks.
@@ -35,6 +37,7 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,6 @@ from nearfield.llm.storage import map_arrow, written
 RANK_BITS = 18, 22
 RANK_WORDS, WORD_BYTES = 16, 6
 CHUNK_BITS = 12
-DEEPER = 2  # n-grams beyond a prefix, by which lists may be divided
 SUFFIX_BITS = 6  # a set is divided into 2**SUFFIX_BITS parts by its hashes
 SMALL_IDS = 500_000  # ids, 8 bytes each, that may be sent to every task
 FEW = 20  # open pairs per open list entry that may be compared at once
@@ -110,8 +112,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """Per row: doc_id, the set's size, its 128-bit signature, its rarest n-grams in order (those of its
-    prefix and ``DEEPER`` more), and the sizes of the parts into which its hashes divide it."""
+    """Per row: doc_id, the set's size, its 128-bit signature, the n-grams of its prefix, rarest
+    first, and the sizes of the parts into which its hashes divide it."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -126,7 +128,7 @@ def signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Dat
                     one.append(int(tg.mix(g).sum(dtype=np.uint64)))
                     two.append(int(tg.mix(g ^ tg.U(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)))
                     parts.append(np.bincount((g >> tg.U(64 - SUFFIX_BITS)).astype(np.int64), minlength=1 << SUFFIX_BITS))
-                    k = min(len(g), prefix_length(len(g), percent) + DEEPER) if len(g) else 0
+                    k = min(len(g), prefix_length(len(g), percent)) if len(g) else 0
                     c = rank[(g & low).astype(np.int64)]
                     if k < len(g):  # nothing above the k-th smallest count can be in the prefix
                         keep = c <= np.partition(c, k - 1)[k - 1]
@@ -152,6 +154,40 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, grams binary")
 
 
+def levels(size: int, percent: int, bounds: list[int]) -> list[tuple[int, int]]:
+    """(level, parts) under which a set of ``size`` is divided. Level i holds sizes from ``bounds[i]`` to below
+    ``bounds[i + 2]``, so two sizes that can link share the level of the smaller one; its parts are one more than
+    the n-grams in which two such sets differ at most. ``bounds`` starts as [1] and is continued."""
+    while len(bounds) < 2 or bounds[-2] <= size:
+        bounds.append(100 * bounds[-1] // percent + 1)
+    own = bisect_right(bounds, size) - 1
+    return [(i, (bounds[i + 1] + bounds[i + 2] - 2) * (100 - percent) // (100 + percent) + 1) for i in (own, own - 1) if i >= 0]
+
+
+def part_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row with words: doc_id, the set's size, and a key for each part of its set at both of its levels. Sets that
+    link have a key in common."""
+
+    def run(batches):
+        bounds = [1]
+        for batch in batches:
+            for rows in tg.blocks(batch, "text"):
+                size, keys = [], []
+                for g in _sets(rows, n):
+                    g = np.unique(g)
+                    sums, of_set = np.append(tg.U(0), np.cumsum(tg.mix(g), dtype=np.uint64)), [np.zeros(0, np.uint64)]
+                    for level, parts in levels(len(g), percent, bounds) if len(g) else ():
+                        ends = sums[np.searchsorted((g >> tg.U(32)) * tg.U(parts) >> tg.U(32), np.arange(parts + 1, dtype=np.uint64))]
+                        of_set.append(tg.mix(np.diff(ends) ^ tg.mix(np.arange(parts, dtype=np.uint64) + tg.U(level << 32))))
+                    size.append(len(g))
+                    keys.append(np.concatenate(of_set))
+                ends = pa.array(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32))
+                flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "n", "keys"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n int, keys array<long>")
+
+
 def _few(ids: DataFrame) -> DataFrame:
     """``ids``, to be sent to every task if they are counted and few; else they are joined by shuffle."""
     return F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
@@ -223,14 +259,24 @@ def _pivots(lists: DataFrame, many: int) -> DataFrame:
     return written(chosen.select("gram", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.pos").alias("pa"), F.col("p.c").alias("ca")), "pivots")
 
 
-def _divided(lists: DataFrame, reps: DataFrame, depth: int, percent: int) -> DataFrame:
-    """The lists by one more n-gram that members share, among the first ``depth`` beyond their prefixes."""
-    more = lists.join(reps.select("rep", F.expr(f"slice(prefix, 1, {_PREFIX.format(percent=percent)} + {depth})").alias("others")), "rep")
-    more = more.select("gram", "rep", "n", "pos", "c", "away", "used", F.explode("others").alias("other")).where(~F.array_contains("used", F.col("other")))
-    return more.select(F.xxhash64("gram", "other").alias("gram"), "rep", "n", "pos", "c", "away", F.array_append("used", F.col("other")).alias("used"))
+def _open(lists: DataFrame) -> tuple[int, int, DataFrame]:
+    """The entries and the pairs of different components in lists that hold several components, and those lists."""
+    counted = lists.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
+    mixed = counted.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("m")).where("pairs > 0")
+    mixed = written(mixed, "mixed")
+    rows, pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    return rows, pairs, written(lists.join(mixed.select("gram"), "gram").select(COLUMNS), "lists") if rows else lists
+
+
+def _divided(lists: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The members of ``lists`` in lists of equal parts."""
+    members = written(lists.groupBy("rep").agg(F.min("c").alias("c")), "open")
+    keys = part_keys(docs.join(_few(members.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi"), n, percent)
+    entries = members.join(keys, F.col("rep") == F.col("doc_id")).select(F.explode("keys").alias("gram"), "rep", "n", F.lit(0).alias("pos"), "c", F.lit(0.0).alias("away"))
+    return written(entries.distinct(), "finer")
 
 
-_PREFIX = "(n - cast((n * {percent} + 99) div 100 as int) + 1)"
+COLUMNS = ["gram", "rep", "n", "pos", "c", "away"]
 
 
 def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -246,16 +292,16 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
 
     first = classes.select(F.col("rep").alias("doc_id"), "one", "two", "n")
     reps = sigs.join(first, ["doc_id", "one", "two", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "prefix")
-    entries = reps.select("rep", "n", F.posexplode(F.expr(f"slice(prefix, 1, {_PREFIX.format(percent=percent)})")).alias("pos", "gram"))
+    entries = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "gram"))
     shared = written(entries.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("far")).where("low <> far").select("gram"), "shared")
-    columns = ["gram", "rep", "n", "pos", "c", "away", "used"]
-    lists = written(entries.join(shared, "gram").select("gram", "rep", "n", "pos", F.col("rep").alias("c"), F.lit(0.0).alias("away"), F.array("gram").alias("used")), "lists")
-    done, before, many, depth = None, None, 1, 0
+    lists = written(entries.join(shared, "gram").select("gram", "rep", "n", "pos", F.col("rep").alias("c"), F.lit(0.0).alias("away")), "lists")
+    done, before, many, comp, divided = None, None, 1, None, False
     while True:
         pivot = _pivots(lists, many)
         met = lists.withColumnRenamed("rep", "b").join(pivot, "gram").where("a <> b and ca <> c").where(_can_link(percent, "na", "n", "pa", "pos"))
         done, links = _compare(met, done, links, docs, sigs, n, percent)
-        comp = written(components(_union(links)), "components")
+        if comp is None or not links[-1].isEmpty():
+            comp = written(components(_union(links)), "components")
         # what is left: the lists without the pivots, which have met all others
         if many == 1:
             left = lists.join(pivot.select("gram", "a"), "gram").where("rep <> a").withColumns({"x": F.least("a", "rep"), "y": F.greatest("a", "rep")})
@@ -263,29 +309,25 @@ def linked_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
             left = left.join(far, ["x", "y"], "left").withColumn("away", F.coalesce("d", F.lit(1.0)))
         else:
             left = lists.join(pivot.select("gram", F.col("a").alias("rep")), ["gram", "rep"], "left_anti")
-        left = left.select("gram", "rep", "n", "pos", "away", "used").join(comp, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"), "away", "used")
-        left = written(left, "left")
-        counted = left.groupBy("gram", "c").agg(F.count("*").alias("k")).groupBy("gram")
-        mixed = counted.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("m")).where("pairs > 0")
-        mixed = written(mixed, "mixed")
-        rows, pairs = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        left = left.select("gram", "rep", "n", "pos", "away").join(comp, F.col("rep") == F.col("node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"), "away")
+        rows, pairs, lists = _open(written(left, "left"))
+        if pairs > FEW * rows and not divided:
+            finer, divided = _open(_divided(lists, docs, n, percent)), True
+            if finer[1] < pairs:
+                rows, pairs, lists = finer
+            else:
+                many *= 16
         if not rows:
             break
-        lists = written(left.join(mixed.select("gram"), "gram").select(columns), "lists")
         if pairs <= FEW * rows:
             x, y = (lists.select("gram", F.col("rep").alias(i), F.col("n").alias("n" + i), F.col("pos").alias("p" + i), F.col("c").alias("c" + i)) for i in "ab")
             met = x.join(y, "gram").where("a < b and ca <> cb").where(_can_link(percent, "na", "nb", "pa", "pb"))
             done, links = _compare(met, done, links, docs, sigs, n, percent)
-            comp = written(components(_union(links)), "components")
+            if not links[-1].isEmpty():
+                comp = written(components(_union(links)), "components")
             break
         if before is not None and pairs > before / 2:
-            if depth < DEEPER:
-                depth += 1
-                finer = written(_divided(lists, reps, depth, percent), "finer")
-                ends = written(finer.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram"), "ends")
-                lists, pairs = written(finer.join(ends, "gram").select(columns), "lists"), None
-            else:
-                many *= 2
+            many *= 16
         before = pairs
     node = member.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c")).groupBy("doc_id").agg(F.min("c").alias("c"))
     return sigs.select("doc_id", "n").join(node, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))

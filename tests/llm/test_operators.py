@@ -508,6 +508,24 @@ def test_jaccard(spark, docs, none, monkeypatch, n, percent, few):
         assert ngram_join.linked_components(none, n, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_equal_parts(spark, percent):
+    rng = random.Random(percent)
+    texts = ["a b", ""]
+    for m in (3, 7, 20, 60, 300):
+        base = [f"w{rng.randrange(900)}" for _ in range(m)]
+        for edits in (0, 1, 2, 4, m // 40):
+            s = list(base)
+            for _ in range(edits):
+                s[rng.randrange(len(s))] = "x"
+            texts += [" ".join(s), " ".join(s + base[: m // 12])]
+    keys = {r.doc_id: (r.n, set(r["keys"])) for r in ngram_join.part_keys(table(spark, texts), 3, percent).collect()}
+    grams = [{tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} if t else set() for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if grams[j] and 100 * len(grams[i] & grams[j]) >= percent * len(grams[i] | grams[j])]
+    assert len(near) > 30 and all(keys[i][1] & keys[j][1] for i, j in near)
+    assert all(n == len(g) for (n, _), g in zip((keys[i] for i in range(len(texts))), grams)) and not keys[1][1]
+
+
 def test_contamination(spark, docs, none):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(12)]
