@@ -151,13 +151,14 @@ def fit_counts(words, pieces: Pieces, rounds: int = ROUNDS) -> Model:
     size = len(pieces.id) + 2
     length = np.array([0, 1, *map(len, pieces.id)])
     p = np.repeat(0.02 ** np.minimum(length, 4)[:, None].astype(float) ** 0.5, len(languages), axis=1)
-    groups = [(pieces.grid([MARK + w for w in part]), np.array([counts[w] for w in part])) for g in _by_length(sorted(counts)).values() for a in range(0, len(g), 4096) for part in [g[a : a + 4096]]]
+    parts = [g[a : a + 4096] for g in _by_length(sorted(counts)).values() for a in range(0, len(g), 4096)]
     for _ in range(rounds):
         p[0] = 0
         p /= p.sum(axis=0)
         q = p * pieces.scale
         expected = np.full((size, len(languages)), 0.01)
-        for grid, c in groups:
+        for part in parts:  # grids are made anew each round: those of all words would take many times the words
+            grid, c = pieces.grid([MARK + w for w in part]), np.array([counts[w] for w in part])
             alpha, beta = _forward(grid, q), _backward(grid, q)
             share = c / np.maximum(alpha[-1], 1e-300)
             for i in range(1, grid.shape[0]):
