@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -41,9 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no recomputation. The files stay until ``dropped`` removes them."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    collected(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Let the driver collect its garbage. Spark removes the shuffles and broadcasts of plans that are done
+    only after that, and a driver that plans many tables would fill its heap with them first."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(spark: SparkSession) -> None:
     """Remove all tables that operators have written into the shared folder. Only when no result
     of theirs is read any more: results are lazy and read them."""
