@@ -191,7 +191,8 @@ def training_counts(docs: DataFrame, languages: list[str], per_language: int = P
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     words = map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return sorted(((r.lang, r.word, r.n) for r in words.toLocalIterator()), key=lambda r: (r[0], r[1] is not None, r[1]))
+    found = words.toArrow()  # in one job, where an iterator would run one for each partition
+    return sorted(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True), key=lambda r: (r[0], r[1] is not None, r[1]))
 
 
 class Scorer:

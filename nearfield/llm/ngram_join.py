@@ -102,8 +102,9 @@ def gram_counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     tasks = min((1 << bits) // chunk, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = map_arrow(docs.select("text"), count, "part int, width int, counts binary").repartition(tasks, "part")
     out = np.zeros(((1 << bits) // chunk, chunk), np.uint32)
-    for r in map_arrow(parts, add, "part int, counts binary").toLocalIterator():
-        out[r.part] = np.frombuffer(r.counts, "<u4")
+    sums = map_arrow(parts, add, "part int, counts binary").toArrow()  # in one job, where an iterator would run one for each partition
+    for part, c in zip(sums.column("part").to_pylist(), sums.column("counts"), strict=True):
+        out[part] = np.frombuffer(c.as_buffer(), "<u4")
     return out.reshape(-1)
 
 
