@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -73,7 +74,20 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         if not 0 < size_of(conf.get(key)) <= most:
             conf.set(key, str(most))
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        returned()
+
+    return df.mapInArrow(run, schema)
+
+
+def returned() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for other tasks, and with them what
+    their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def spare(columns: list[str], name: str) -> str:
