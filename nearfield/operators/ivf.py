@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import metrics
 from nearfield.operators.knn import centroid_sets, nearest_label
-from nearfield.operators.scan import Entry, scan
+from nearfield.operators.scan import Chosen, Entry, scan
 from nearfield.operators.topk import top_k
 
 L2 = metrics.KERNELS["squared_euclidean"]
@@ -41,10 +41,15 @@ def save(posting: DataFrame, path: str, spread: int = 1) -> None:
     posting.repartition("slot", F.pmod(F.xxhash64("vec_id"), F.lit(spread))).write.partitionBy("slot").parquet(path)
 
 
+def nearest_places(d: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n smallest distances, ties by label."""
+    return np.lexsort((labels, d))[:n]
+
+
 def probed(q: np.ndarray, labels: np.ndarray, c: np.ndarray, n: int, kernel=L2) -> list[tuple[int, float]]:
     """(label, distance) of the n centroids nearest to a query, ties by label."""
     d = kernel(q, c)
-    near = np.lexsort((labels, d))[:n]
+    near = nearest_places(d, labels, n)
     return list(zip(labels[near].tolist(), d[near].tolist(), strict=True))
 
 
@@ -68,8 +73,9 @@ def candidates(probe: DataFrame, posting: DataFrame) -> DataFrame:
     return posting.join(F.broadcast(probe.select("qid", "slot")), "slot")
 
 
-def search(probe: DataFrame, posting: DataFrame, k: int, kernel=L2) -> DataFrame:
-    found = scan(posting, entries(probe, k), kernel, group="slot")
+def search(probe: DataFrame | list[Entry], posting: DataFrame, k: int, kernel=L2) -> DataFrame:
+    """(qid, vec_id, dist, rk): the k nearest rows of the probed slots."""
+    found = scan(posting, probe if isinstance(probe, list) else entries(probe, k), kernel, group="slot")
     return top_k(found.withColumnRenamed("pool", "qid"), k, ["qid"])
 
 
@@ -105,19 +111,21 @@ def two_level(docs: DataFrame, rough: DataFrame, fine: DataFrame, beam: int, key
     return docs.where(F.col(vec).isNotNull()).select(key, vec).mapInArrow(run, f"{key} long, label long")
 
 
-def two_stage_probes(queries: DataFrame, rough: DataFrame, fine: DataFrame, n_rough: int, fine_ratio: float) -> DataFrame:
-    """(qid, qv, slot, probe_dist, cv): all fine centroids of the probed rough slots, of which the nearest share ``fine_ratio`` stays, 1 at least."""
+def two_stage_entries(queries: DataFrame, rough: DataFrame, fine: DataFrame, n_rough: int, fine_ratio: float, k: int) -> list[Entry]:
+    """An entry for each query: all fine centroids of the probed rough slots, of which the nearest share ``fine_ratio``
+    stays, 1 at least. A share of the slots is a set of bits for each query."""
     labels, c = centroid_sets(rough)[0]
     children = centroid_sets(fine, "parent")
+    slots = np.unique(np.concatenate([names for names, _ in children.values()])) if children else np.zeros(0, np.int64)
     out = []
-    for r in queries.select("qid", "qv").toLocalIterator():
-        q = np.array([float(x) for x in r.qv])
+    for r in queries.select("qid", "qv").where(F.col("qv").isNotNull()).toLocalIterator():
+        q = np.array(r.qv, float)
         pool = [children[p] for p, _ in probed(q, labels, c, n_rough) if p in children]
         if pool:
-            names, v = np.concatenate([p[0] for p in pool]), np.concatenate([p[1] for p in pool])
-            n = probe_count(fine_ratio, len(names))
-            out += [(r.qid, q.tolist(), slot, d, v[np.flatnonzero(names == slot)[0]].tolist()) for slot, d in probed(q, names, v, n)]
-    return queries.sparkSession.createDataFrame(out, "qid long, qv array<double>, slot long, probe_dist double, cv array<double>")
+            names = np.concatenate([p[0] for p in pool])
+            near = nearest_places(np.concatenate([L2(q, p[1]) for p in pool]), names, probe_count(fine_ratio, len(names)))
+            out.append(Entry(r.qid, q, k, Chosen.of(slots, np.searchsorted(slots, names[near]))))
+    return out
 
 
 def group_entries(docs: DataFrame, groups: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from nearfield.operators.scan import entries_of, matrix, scan
 from nearfield.operators.topk import top_k
 
 CENTROIDS = 2048  # centroids that are compared with a batch at once
+PAIRS = 32_768  # of rows and centroids whose exact distance is taken at once
 
 
 def exact(base: DataFrame, queries: DataFrame, k: int, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", qkey: str = "qid", qvec: str = "qv", kernel=None, kind=float) -> DataFrame:
@@ -61,7 +62,8 @@ def group_minima(base: DataFrame, queries: DataFrame, group: str, metric: str =
 
 def centroid_sets(centroids: DataFrame, group: str | None = None) -> dict:
     """{group: (labels, matrix)} of a table (label, cv[, group]) on the driver; labels ascend."""
-    rows = sorted((r[2] if group else 0, r[0], [float(x) for x in r[1]]) for r in centroids.select("label", "cv", *([group] if group else [])).toLocalIterator())
+    rows = [(r[2] if group else 0, r[0], np.array(r[1], float)) for r in centroids.select("label", "cv", *([group] if group else [])).toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
     out: dict = {}
     for g, label, v in rows:
         out.setdefault(g, ([], []))
@@ -71,7 +73,10 @@ def centroid_sets(centroids: DataFrame, group: str | None = None) -> dict:
 
 
 def nearest(x: np.ndarray, c: np.ndarray, kernel=None) -> tuple[np.ndarray, np.ndarray]:
-    """(place, distance) of the centroid nearest to each row, the first on ties: blocks of centroids, a running minimum."""
+    """(place, distance) of the centroid nearest to each row, the first on ties: blocks of centroids, a running minimum.
+    Without a kernel, products of matrices tell which centroids can be the nearest; only those are compared."""
+    if kernel is None and x.size and c.size and (found := _nearest_by_products(x, c)):
+        return found
     at, low = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
     step = max(1, min(CENTROIDS, (16 << 20) // max(1, x.size)))
     for a in range(0, len(c), step):
@@ -87,12 +92,36 @@ def nearest(x: np.ndarray, c: np.ndarray, kernel=None) -> tuple[np.ndarray, np.n
     return at, low
 
 
-def nearest_label(docs: DataFrame, centroids: DataFrame, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", group: str | None = None) -> DataFrame:
+def _nearest_by_products(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """``nearest`` by squared Euclidean distances; none where values are too large or no numbers."""
+    at, low = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    with np.errstate(all="ignore"):
+        xx, cc = (x * x).sum(axis=1), (c * c).sum(axis=1)
+        # each way of summing is off by less than this: a product and a sum lose half an epsilon a value, of at most 2 (xx + cc)
+        margin = 16 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + cc.max()) + np.finfo(float).tiny
+        if not np.isfinite(margin).all():
+            return None
+        for a in range(0, len(c), CENTROIDS):
+            part = c[a : a + CENTROIDS]
+            for b in range(0, len(x), 512):
+                rows = x[b : b + 512]
+                near = cc[a : a + CENTROIDS] - 2 * (rows @ part.T)
+                own, k = np.nonzero(near <= (near.min(axis=1) + margin[b : b + 512])[:, None])
+                d = np.concatenate([((part[k[i : i + PAIRS]] - rows[own[i : i + PAIRS]]) ** 2).sum(axis=1) for i in range(0, len(k), PAIRS)])
+                order = np.lexsort((k, d, own))
+                first = order[np.append(True, own[order][1:] != own[order][:-1])]
+                own, k, d = own[first] + b, k[first], d[first]
+                closer = d < low[own]
+                at[own[closer]], low[own[closer]] = a + k[closer], d[closer]
+    return at, low
+
+
+def nearest_label(docs: DataFrame, centroids: DataFrame | dict, metric: str = "squared_euclidean", key: str = "vec_id", vec: str = "v", group: str | None = None) -> DataFrame:
     """``docs`` with slot and dist: the centroid nearest to each vector, the lowest label on ties. All columns go
     through, so nothing is joined back. With ``group``, a column of both tables, each row is compared with the
-    centroids of its own group; rows of a group without centroids drop. Centroids are a stated table; rows
-    with a null vector drop."""
-    sets = centroid_sets(centroids, group)
+    centroids of its own group; rows of a group without centroids drop. Centroids are a stated table, or what
+    ``centroid_sets`` makes of it; rows with a null vector drop."""
+    sets = centroids if isinstance(centroids, dict) else centroid_sets(centroids, group)
     kernel = None if metric == "squared_euclidean" else metrics.KERNELS[metric]
     docs = docs.where(F.col(vec).isNotNull())
     docs = docs if group is None else docs.where(F.col(group).isNotNull())

@@ -177,7 +177,7 @@ def lloyd(vectors: DataFrame, sets: dict, rounds: int, epsilon: float = 0.0, dig
 
 def table_of(spark, sets: dict, group: str | None = None) -> DataFrame:
     rows = [(*([int(g)] if group else []), int(label), v.tolist()) for g, (labels, c) in sorted(sets.items()) for label, v in zip(labels, c, strict=True)]
-    return spark.createDataFrame(rows, (f"{group} long, " if group else "") + "label long, cv array<double>")
+    return spark.createDataFrame(rows, (f"{group} long, " if group else "") + "label long, cv array<double>", verifySchema=False)
 
 
 def kmeans(vectors: DataFrame, centroids: DataFrame, rounds: int = 10, epsilon: float = 1e-6, digits: int | None = None) -> DataFrame:

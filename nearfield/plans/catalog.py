@@ -460,7 +460,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = T(spark, sf_dir)
     rough, fine = _levels(t)
-    return ivf.search(ivf.two_stage_probes(t.queries, rough, fine, 2, 0.4), ivf.postings(t.base, fine.select("label", "cv")), K).select("qid", "vec_id", _r())
+    return ivf.search(ivf.two_stage_entries(t.queries, rough, fine, 2, 0.4, K), ivf.postings(t.base, fine.select("label", "cv")), K).select("qid", "vec_id", _r())
 
 
 @query("cat_flat", f"{WITH}{D}, l AS (SELECT d.* FROM d JOIN q USING (qid) WHERE d.label = q.qlabel){_top('l')}")

@@ -310,3 +310,30 @@ def test_segments(spark, tmp_path):
 def test_text_of_whole_vectors(spark):
     lines = catalog._text(catalog.T(spark, DIR)).limit(5).collect()
     assert all(len(r.value.split(";")[2].split(",")) == 64 for r in lines)
+
+
+def test_probes_of_many_slots_are_one_entry(spark):
+    from nearfield.operators import ivf
+    from nearfield.operators.scan import Entry
+
+    t = catalog.T(spark, DIR)
+    rough, fine = catalog._levels(t)
+    rows = ivf.postings(t.base, fine.select("label", "cv"))
+    asked = ivf.two_stage_entries(t.queries, rough, fine, 2, 0.4, 3)
+    assert len(asked) == len(t.asked)
+    plain = [Entry(e.pool, e.vector, 3, int(s)) for e in asked for s in e.group.labels[np.unpackbits(e.group.bits, count=len(e.group.labels)).astype(bool)]]
+    assert len(plain) > len(asked)
+    assert sorted(map(tuple, ivf.search(asked, rows, 3).collect())) == sorted(map(tuple, ivf.search(plain, rows, 3).collect()))
+
+
+def test_nearest_by_products_is_exact():
+    from nearfield.functions import metrics
+    from nearfield.operators import knn
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(600, 64))
+    c = np.concatenate([r.normal(size=(2100, 64)), x[:50] + 1e-9, x[:100], x[:100]])
+    for y, d in ((x, c), (x * 1e-6, c * 1e-6), (x + 1e3, c + 1e3), (x, c * np.nan)):
+        at, low = knn.nearest(y, d)
+        plain, far = knn.nearest(y, d, metrics.KERNELS["squared_euclidean"])
+        assert at.tolist() == plain.tolist() and low.tolist() == far.tolist()
