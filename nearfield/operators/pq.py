@@ -99,6 +99,8 @@ def adc(coded: DataFrame, entries: list[Entry], centres: np.ndarray, mode: str =
         lut = table(e.vector, centres)
         return bytes_table(lut) if mode == "fast" else lut
 
+    prepare.by_group = mode in ("residual", "terms")
+
     def kernel(lut, rows):
         if mode == "fast":
             q, a, b = lut

@@ -1,8 +1,9 @@
 """Builder, searcher and merger of indexes, driven by strings: build strings make rows by slot, query
 strings become the entries of one scan, on the plan that ``spec.plan`` names.
 
-An index is a folder of tables: ``postings`` (partitioned by slot: vec_id, pk, created, level, id,
-group_, slot, score, v and, for product-quantised kinds, codes), ``centroids`` (group_, label =
+An index is a folder of tables: ``postings`` (partitioned by bin, a run of slots with about ``BIN_ROWS`` rows
+together or one larger slot, and sorted by slot: vec_id, pk, created, level, id, group_, slot, score, v and,
+for product-quantised kinds, codes), ``centroids`` (group_, label =
 slot, cv; the slots of a group follow those of the groups before it), ``meta`` (level, id,
 group_, doc_count, centroid_count, first_slot, first_id) and ``codebook``. Probe and assignment
 use the squared Euclidean distance whatever the metric of the scores.
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from nearfield.functions import encode
 from nearfield.operators import graph, ivf, merge, pq, topk, train
 from nearfield.operators.knn import centroid_sets, nearest_label
-from nearfield.operators.scan import Entry, scan
+from nearfield.operators.scan import LISTED, Chosen, Entry, scan
 from nearfield.plans import query, spec
 from nearfield.sources import readers
 
 NAMES: dict[str, Callable] = {}  # plug-ins by name: reformers, metrics, trainers
 TABLES = ("postings", "centroids", "meta", "codebook")
-ROWS = 1_000_000  # rows of a slot, on average, for which there is a task that writes it
+BIN_ROWS = 20_000  # rows that the slots of a bin have together, if rows are dealt evenly
 AGES = 64  # age buckets a query may have
 
 
@@ -42,6 +43,22 @@ def register(name: str):
     return add
 
 
+def bins(meta: list) -> dict:
+    """{group: (rows of the groups before, rows, slots, first slot)}, from which a slot's bin follows."""
+    out, before = {}, 0
+    for m in sorted(meta, key=lambda m: m.first_slot):
+        out[m.group_] = (before, m.doc_count, m.centroid_count, m.first_slot)
+        before += m.doc_count
+    return out
+
+
+def bin_of(slots, before, rows, count, first):
+    """A slot's bin: of numbers, arrays, or Columns."""
+    if isinstance(slots, Column):
+        return F.call_function("div", before + F.call_function("div", (slots - first) * rows, count), F.lit(BIN_ROWS))
+    return (before + (slots - first) * rows // count) // BIN_ROWS
+
+
 class Reformer:
     """Changes vectors before they are indexed, and queries before they search. The plain one changes nothing."""
 
@@ -96,7 +113,7 @@ class Builder:
         missing = [m.group_ for m in meta if m.group_ not in sets]
         if missing:
             first = rows.where(F.col("group_").isin(missing)).groupBy("group_").agg(F.min(F.struct("vec_id", "v")).alias("m"))
-            sets |= {r.group_: (np.zeros(1, np.int64), np.array([list(r.m.v)])) for r in first.toLocalIterator()}
+            sets |= {r.group_: (np.zeros(1, np.int64), np.array([list(r.m.v)])) for r in first.collect()}
         return {m.group_: sets[m.group_] for m in meta}
 
     def build(self, records: DataFrame, path: str) -> None:
@@ -116,17 +133,21 @@ class Builder:
             described.append((m.level, m.id, m.group_, m.n, len(labels), first, m.first_id))
             first += len(labels)
         centroids = train.table_of(spark, slots, "group_")
-        out = nearest_label(rows, centroids, group="group_").drop("dist")
+        out = nearest_label(rows, slots, group="group_").drop("dist")
         if s.coded:
             if self.codebook is None:
                 raise ValueError(f"{s.kind} needs a codebook")
             centres = pq.book(self.codebook, s.fragments)
-            by_slot = {int(x): v for labels, c in slots.values() for x, v in zip(labels, c.tolist(), strict=True)} if s.residual else None
+            by_slot = {int(x): v for labels, c in slots.values() for x, v in zip(labels, c, strict=True)} if s.residual else None
             out = pq.codes(out.withColumn("x", F.col("v")), centres, "x", by_slot)
-        tables = {"postings": out, "centroids": centroids, "meta": spark.createDataFrame(described, "level long, id long, group_ long, doc_count long, centroid_count long, first_slot long, first_id long")}
+        described = spark.createDataFrame(described, "level long, id long, group_ long, doc_count long, centroid_count long, first_slot long, first_id long")
+        places = bins(described.collect())
+        places = spark.createDataFrame([(g, *p) for g, p in places.items()], "group_ long, before_ long, rows_ long, count_ long, first_ long")
+        out = out.join(F.broadcast(places), "group_").withColumn("bin", bin_of(F.col("slot"), F.col("before_"), F.col("rows_"), F.col("count_"), F.col("first_"))).drop("before_", "rows_", "count_", "first_")
+        tables = {"postings": out, "centroids": centroids, "meta": described}
         if self.codebook is not None:
             tables["codebook"] = self.codebook
-        readers.save_index(tables, path, by={"postings": "slot"}, spread=1 + sum(m.n for m in meta) // (ROWS * max(1, first)))
+        readers.save_index(tables, path, by={"postings": ("bin", "slot")})
 
 
 class Searcher:
@@ -137,30 +158,41 @@ class Searcher:
         self.tables = readers.load_index(spark, path, [t for t in TABLES if t != "codebook" or schema.coded])
         self.sets = centroid_sets(self.tables["centroids"], "group_")
         self.meta = {r.group_: r for r in self.tables["meta"].toLocalIterator()}
+        self.bins, self.labels = bins(list(self.meta.values())), {}
         self.real_time, self.deleted = list(real_time), deleted
 
     def rows(self) -> DataFrame:
+        """Postings; rows of real-time segments have no bin."""
         out = self.tables["postings"]
+        own = [c for c in out.columns if c != "bin"]
         for segment in self.real_time:
-            out = out.unionByName(segment.select(out.columns))
+            out = out.unionByName(segment.select(*own, F.lit(None).cast("int").alias("bin")))
         return out if self.deleted is None else out.join(self.deleted.select("pk").distinct(), "pk", "left_anti")
 
-    def probes(self, q: list[float], group: int, ratio: float) -> list[int]:
-        """Slots of a group to look at, in their order."""
-        if group not in self.sets:
-            return []
-        labels, c = self.sets[group]
-        return sorted(slot for slot, _ in ivf.probed(np.array(q), labels, c, ivf.probe_count(ratio, len(labels))))
-
-    def within(self, slots: list[int], lengths: dict[int, int], limit: int) -> list[int]:
-        """The first of ``slots`` whose postings together stay under ``limit``."""
-        out, seen = [], 0
-        for s in slots:
-            seen += lengths.get(s, 0)
-            if seen >= limit:
-                break
-            out.append(s)
-        return out
+    def probes(self, q: list[float], group: int, ratio: float) -> np.ndarray:
+        """Places among a group's slots to look at, in their order."""
+        labels, c = self.sets.get(group, ((), ()))
+        n = ivf.probe_count(ratio, len(labels))
+        return np.arange(len(labels)) if n >= len(labels) else np.sort(ivf.nearest_places(ivf.L2(np.asarray(q, float), c), labels, n))
+
+    def within(self, places: np.ndarray, group: int, lengths: dict[int, int], limit: int) -> np.ndarray:
+        """The first of ``places`` whose slots' postings together stay under ``limit``."""
+        labels, _ = self.sets.get(group, ((), ()))
+        return places[: int((np.cumsum([lengths.get(int(labels[p]), 0) for p in places]) < limit).sum())]
+
+    def chosen(self, group: int, places: np.ndarray, place: int = 0) -> Chosen:
+        """Those slots of a group, in the bucket ``place``."""
+        if (group, place) not in self.labels:
+            self.labels[group, place] = self.sets[group][0] * AGES + place
+        return Chosen.of(self.labels[group, place], places)
+
+    def binned(self, probed: dict[int, np.ndarray]) -> Column:
+        """Whether a row may be in the slots at ``probed`` places of groups, given as packed bits, by what prunes files: bin and slot."""
+        found = {g: self.sets[g][0][np.unpackbits(bits, count=len(self.sets[g][0])).astype(bool)] for g, bits in probed.items()}
+        wanted = sorted({b for g, slots in found.items() for b in np.unique(bin_of(slots, *self.bins[g])).tolist()})
+        slots = sorted({x for s in found.values() for x in s.tolist()})
+        kept = F.col("bin").isin(wanted) | F.col("bin").isNull() if len(wanted) <= LISTED else F.lit(True)
+        return kept & F.col("slot").isin(slots) if len(slots) <= LISTED else kept
 
     def search(self, strings: list[str], reject: Column | None = None, keys: DataFrame | None = None, docids: DataFrame | None = None, recall_test: bool = False, now: int | None = None, visit_limit: int = 0, distinct: bool = False, metric: str | None = None) -> DataFrame:
         """(qid, pool_id, vec_id, pk, dist, rk). ``keys`` (pk) and ``docids`` (vec_id) feed the rows to look at, ``reject`` takes
@@ -181,20 +213,24 @@ class Searcher:
             raise ValueError("age quotas need now, and the same ages in all queries of a call")
         whole = sum(m.doc_count for m in self.meta.values())
         plan = spec.plan(s.kind, rows=whole, threshold=s.threshold, recall_test=recall_test, coarse_ratio=min((s.ratio if r is None else r for r in ratios), default=0), feeder=keys, doc_feeder=docids, reject=reject)
-        pools, entries, wanted = [], [], query.rows(asked)
+        pools, entries, probed, wanted = [], [], {}, query.rows(asked)
         lengths = {r.slot: r["count"] for r in rows.groupBy("slot").count().toLocalIterator()} if visit_limit and self.real_time and not recall_test else None
         for qid, v, level, i, pool_id, k in wanted:
-            group, v = ivf.group_key(int(level), int(i)), s.reformer.query(list(v))
+            group, v = ivf.group_key(int(level), int(i)), np.array(s.reformer.query(list(v)), float)
             ratio = 1.0 if plan in ("exact", "graph") else ivf.probe_ratio(s.ratio, ratios[qid], s.real_time_ratio, bool(self.real_time), ages)
-            slots = self.probes(v, group, ratio)
+            places = self.probes(v, group, ratio)
             if lengths is not None:
-                slots = self.within(slots, lengths, visit_limit)
+                places = self.within(places, group, lengths, visit_limit)
+            if len(places):
+                bits = self.chosen(group, places).bits
+                probed[group] = probed[group] | bits if group in probed else bits
             parts = [(j, b, kk) for j, (b, kk) in enumerate(asked[qid].ages)] if ages else [(pool_id, None, k)]
             for place, _, kk in parts:
                 pools.append((qid, place, kk, group, v))
-                entries += [Entry(len(pools) - 1, v, kk, slot * AGES + (place if ages else 0)) for slot in slots]
+                if len(places):
+                    entries.append(Entry(len(pools) - 1, v, kk, self.chosen(group, places, place if ages else 0)))
         bucket = topk.age_bucket(F.lit(now) - F.col("created"), [a for a, _ in next(q.ages for q in asked if q.ages)]) if ages else F.lit(0)
-        found = self._graph(rows, pools) if plan == "graph" else self._scan(rows.where(bucket.isNotNull()), entries, pools, plan, F.col("slot") * AGES + bucket, metric)
+        found = self._graph(rows, pools) if plan == "graph" else self._scan(rows.where(bucket.isNotNull() & self.binned(probed)), entries, pools, plan, F.col("slot") * AGES + bucket, metric)
         out = ivf.labelled(self.spark, found, [p[:3] for p in pools])
         if distinct:
             out = topk.dedupe(out, ["qid"]).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "vec_id")))
@@ -208,7 +244,7 @@ class Searcher:
             return scan(rows, entries, kernel, group=group, distinct=True, check=False)
         centres = pq.book(self.tables["codebook"], s.fragments)
         wide = [Entry(e.pool, e.vector, max(e.k, s.pq_scan_num), e.group) for e in entries]
-        centroids = {slot * AGES: v for labels, c in self.sets.values() for slot, v in zip(labels.tolist(), c.tolist(), strict=True)} if s.residual else None
+        centroids = {slot * AGES: v for labels, c in self.sets.values() for slot, v in zip(labels.tolist(), c, strict=True)} if s.residual else None
         mode = "residual" if s.residual else "fast" if s.kind == "IvfFastScan" else "plain"
         near = pq.adc(rows, wide, centres, mode, centroids, group, distinct=True)
         near = topk.top_k(near, s.pq_scan_num, ["pool"])
@@ -227,7 +263,7 @@ class Searcher:
                 found = scan(part, [Entry(n, p[4], p[2]) for n, p in own], self.schema.vectors.kernel())
             else:
                 base = graph.sharded(part)
-                asked = self.spark.createDataFrame([(n, p[4]) for n, p in own], "qid long, qv array<double>")
+                asked = self.spark.createDataFrame([(n, p[4].tolist()) for n, p in own], "qid long, qv array<double>")
                 edges = graph.build(base, "hnsw" if self.schema.kind == "GroupHnsw" else "vamana")
                 found = graph.search(base, edges, asked, max(p[2] for _, p in own)).select(F.col("qid").alias("pool"), "vec_id", "dist")
             out = found if out is None else out.union(found)

@@ -150,12 +150,14 @@ def parsed_requests(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.select(F.from_json(line, "request_id string, request_url string").alias("r")).select("r.*")
 
 
-def save_index(tables: dict[str, DataFrame], path: str, by: dict[str, str] | None = None, spread: int = 1) -> None:
-    """Write an index's tables as Parquet below ``path``, partitioned where ``by`` names a column, each partition by ``spread`` tasks."""
+def save_index(tables: dict[str, DataFrame], path: str, by: dict[str, tuple[str, str]] | None = None) -> None:
+    """Write an index's tables as Parquet below ``path``, partitioned where ``by`` names a column and sorted by the column
+    beside it. Spark divides a partition that is large among tasks."""
     for name, df in tables.items():
         w = df.write
         if by and name in by:
-            w = df.repartition(by[name], F.pmod(F.xxhash64("vec_id"), F.lit(spread))).write.partitionBy(by[name])
+            part, order = by[name]
+            w = df.hint("rebalance", F.col(part)).sortWithinPartitions(part, order).write.partitionBy(part)
         w.parquet(f"{path}/{name}")
 
 

@@ -337,3 +337,33 @@ def test_nearest_by_products_is_exact():
         at, low = knn.nearest(y, d)
         plain, far = knn.nearest(y, d, metrics.KERNELS["squared_euclidean"])
         assert at.tolist() == plain.tolist() and low.tolist() == far.tolist()
+
+
+@pytest.mark.parametrize("name, groups", [("group_ivf_string_distinct", 3), ("group_ivf_string", 3), ("group_ivfpq_string", 3), ("recall_test_string", 1)])
+def test_searches_state_one_entry_a_group(spark, monkeypatch, name, groups):
+    from nearfield.operators import pq
+    from nearfield.plans import engine
+
+    seen = []
+
+    def counted(rows, entries, *more, f=engine.scan, **named):
+        seen.append(len(entries))
+        return f(rows, entries, *more, **named)
+
+    monkeypatch.setattr(engine, "scan", counted)
+    monkeypatch.setattr(pq, "scan", counted)
+    n = len(catalog.T(spark, DIR).asked)
+    catalog.queries()[name](spark, DIR)
+    assert seen[0] == n * groups
+
+
+def test_slots_share_files(spark):
+    from nearfield.plans import engine
+
+    t = catalog.T(spark, DIR)
+    path, schema = catalog._built(t, "GroupIvf")
+    s = engine.Searcher(spark, path, schema)
+    assert len(s.tables["postings"].inputFiles()) < sum(m.centroid_count for m in s.meta.values())
+    for r in s.tables["postings"].select("group_", "slot", "bin").distinct().collect():
+        assert engine.bin_of(r.slot, *s.bins[r.group_]) == r.bin
+    assert "bin" in s.search(catalog._strings(t, "0:0#5")[:1])._jdf.queryExecution().toString().split("PartitionFilters")[1][:200]
