@@ -121,7 +121,7 @@ class Builder:
         whose string has no vector of the schema's dimension are left out."""
         s, spark = self.schema, records.sparkSession
         records = records if "created" in records.columns else records.withColumn("created", F.lit(None).cast("long"))
-        parsed = records.select("vec_id", "pk", "created", *readers.build_columns("value")).where((F.size("v") == s.vectors.dimension) & ~F.exists("v", lambda x: x.isNull()))
+        parsed = readers.parsed_builds(records.select("vec_id", "pk", "created", "value")).where((F.size("v") == s.vectors.dimension) & ~F.exists("v", lambda x: x.isNull()))
         parsed = parsed.withColumn("v", s.reformer.document(F.col("v"))).withColumn("score", encode.rank_score(F.col("groups"), 1))
         rows = ivf.group_entries(parsed, F.col("groups")).drop("groups").withColumn("group_", ivf.group_key(F.col("level"), F.col("id")))
         meta = sorted(rows.groupBy("level", "id", "group_").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")).collect())

@@ -105,6 +105,14 @@ def build_columns(line: str) -> list[Column]:
     return [F.when(has, F.array_sort(F.array_distinct(pairs))).otherwise(every).alias("groups"), v.alias("v")]
 
 
+def parsed_builds(records: DataFrame, line: str = "value") -> DataFrame:
+    """``records`` with groups and v of their build strings in place of ``line``. Generators stand between, as Spark would
+    otherwise make the string and its parts anew wherever one of them is used."""
+    kept = [c for c in records.columns if c != line]
+    once = records.select(*kept, F.explode(F.array(line)).alias(line))
+    return once.select(*kept, F.inline(F.array(F.struct(*build_columns(line)))))
+
+
 def read_norm(spark: SparkSession, path: str) -> float:
     """The one number of a norm file."""
     values = [r.value.strip() for r in spark.read.text(path).limit(2).collect()]

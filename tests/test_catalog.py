@@ -367,3 +367,15 @@ def test_slots_share_files(spark):
     for r in s.tables["postings"].select("group_", "slot", "bin").distinct().collect():
         assert engine.bin_of(r.slot, *s.bins[r.group_]) == r.bin
     assert "bin" in s.search(catalog._strings(t, "0:0#5")[:1])._jdf.queryExecution().toString().split("PartitionFilters")[1][:200]
+
+
+def test_build_strings_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from nearfield.sources import readers
+
+    lines = spark.range(3).select(F.col("id").alias("vec_id"), F.concat(F.lit("0:0;1:2||0.5 "), F.col("id").cast("string")).alias("value"))
+    rows = readers.parsed_builds(lines).where((F.size("v") == 2) & ~F.exists("v", lambda x: x.isNull()))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(") == 1 and plan.count("as double") == 1
+    assert [(r.vec_id, [tuple(g) for g in r.groups], r.v) for r in rows.orderBy("vec_id").collect()] == [(i, [(0, 0), (1, 2)], [0.5, float(i)]) for i in range(3)]
