@@ -5,7 +5,7 @@ built by one task and searched by one task, and shards' results meet in a top-k.
 ``by_centroids`` puts each vector into the shards of its nearest centroids instead; a shard over
 its capacity is divided by hash, so that no task gets more. ``merged`` unites their graphs into one
 table of nodes, which ``beam_search`` walks: the driver holds each query's list, and every round
-fetches the neighbours and codes of the nodes to expand.
+fetches the neighbours and codes of the nodes to expand that it has not met before.
 """
 
 from __future__ import annotations
@@ -22,39 +22,39 @@ from nearfield.operators.scan import Entry, entries_of, matrix
 from nearfield.operators.topk import top_k
 
 SHARD_ROWS = 50_000
+FETCHED, KEPT = 20_000, 100_000  # rows that a walk fetches in a job, and keeps for later rounds
 
 
 def greedy(x: np.ndarray, edges: list[np.ndarray], start: int, q: np.ndarray, width: int, kernel) -> tuple[list[tuple[float, int]], list[int]]:
     """Best-first search with a list of ``width``: (nearest found, expanded)."""
-    pool = {start: float(kernel(q, x[start : start + 1])[0])}
+    pool = [(float(kernel(q, x[start : start + 1])[0]), start)]
     expanded: list[int] = []
-    done = set()
+    done, seen = set(), {start}  # what fell out of the list once would again
     while True:
-        best = sorted(pool.items(), key=lambda p: (p[1], p[0]))[:width]
-        pool = dict(best)
-        at = next((i for i, _ in best if i not in done), None)
+        at = next((i for _, i in pool if i not in done), None)
         if at is None:
-            return [(d, i) for i, d in best], expanded
+            return pool, expanded
         done.add(at)
         expanded.append(at)
-        new = [n for n in edges[at].tolist() if n not in pool and n not in done]
+        new = [n for n in dict.fromkeys(edges[at].tolist()) if n not in seen]
         if new:
-            pool.update(zip(new, kernel(q, x[new]).tolist(), strict=True))
+            seen.update(new)
+            pool.extend(zip(kernel(q, x[new]).tolist(), new, strict=True))
+            pool.sort()
+            del pool[width:]
 
 
 def prune(x: np.ndarray, p: int, near: list[int], degree: int, alpha: float, kernel) -> np.ndarray:
     """Neighbours of p, none of which a nearer one covers: occluded where alpha times its distance to a kept one is less."""
-    near = sorted(set(near) - {p})
-    d = kernel(x[p], x[near])
-    left = [near[i] for i in np.lexsort((near, d))]
-    dist = dict(zip(near, d.tolist(), strict=True))
-    kept: list[int] = []
-    while left and len(kept) < degree:
-        c = left.pop(0)
-        kept.append(c)
-        if left:
-            to = kernel(x[c], x[left])
-            left = [n for n, t in zip(left, to.tolist(), strict=True) if alpha * t > dist[n]]
+    left = np.array(sorted(set(near) - {p}), np.int64)
+    d = kernel(x[p], x[left])
+    order = np.lexsort((left, d))
+    left, d = left[order], d[order]
+    v, kept = x[left], []
+    while len(left) and len(kept) < degree:
+        kept.append(left[0])
+        clear = np.flatnonzero(alpha * kernel(v[0], v[1:]) > d[1:]) + 1
+        left, d, v = left[clear], d[clear], v[clear]
     return np.array(kept, np.int64)
 
 
@@ -194,6 +194,23 @@ def nodes(base: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
     return base.select("vec_id", "v").dropDuplicates(["vec_id"]).join(merged(edges, degree), "vec_id", "left").select("vec_id", F.coalesce("nbrs", F.array().cast("array<long>")).alias("nbrs"), "v")
 
 
+class _Rows:
+    """Arrays of a table by vec_id, fetched in one job for ``FETCHED`` of them; the first ``KEPT`` stay on the driver."""
+
+    def __init__(self, table: DataFrame, column: str):
+        self.table, self.column, self.known = table, column, {}
+
+    def __call__(self, ids: list[int]) -> dict[int, np.ndarray]:
+        out = {i: self.known[i] for i in ids if i in self.known}
+        left = [i for i in ids if i not in out]
+        for a in range(0, len(left), FETCHED):
+            wanted = self.table.sparkSession.createDataFrame([(i,) for i in left[a : a + FETCHED]], "vec_id long")
+            got = {r[0]: np.array(r[1], np.int64) for r in self.table.join(F.broadcast(wanted), "vec_id").select("vec_id", self.column).collect()}
+            out |= got
+            self.known.update(list(got.items())[: max(0, KEPT - len(self.known))])
+        return out
+
+
 def beam_search(graph: DataFrame, coded: DataFrame, entries: list[Entry], starts: list[int], centres: np.ndarray, k: int, width: int = 100, beam: int = 4, rounds: int = 200) -> DataFrame:
     """(qid, vec_id, dist, rk): a walk over a merged graph by distances from product codes, several starts, ``beam``
     nodes a query and round, and an exact re-rank of each query's list of ``width``. The lists (queries x width) are
@@ -202,14 +219,14 @@ def beam_search(graph: DataFrame, coded: DataFrame, entries: list[Entry], starts
 
     spark, k = graph.sparkSession, min(k, width)
     luts = {e.pool: pq.table(e.vector, centres) for e in entries}
+    neighbours, codes = _Rows(graph, "nbrs"), _Rows(coded, "codes")
     pools: dict[int, dict[int, float]] = {e.pool: {} for e in entries}
     done: dict[int, set] = {e.pool: set() for e in entries}
 
     def offer(wanted: dict[int, list[int]]) -> None:
         ids = sorted({i for w in wanted.values() for i in w})
         if ids:
-            table = spark.createDataFrame([(i,) for i in ids], "vec_id long")
-            got = {r.vec_id: r.codes for r in coded.join(F.broadcast(table), "vec_id").select("vec_id", "codes").toLocalIterator()}
+            got = codes(ids)
             for q, own in wanted.items():
                 own = [i for i in own if i in got]
                 if own:
@@ -222,8 +239,7 @@ def beam_search(graph: DataFrame, coded: DataFrame, entries: list[Entry], starts
         ids = sorted({i for f in front.values() for i in f})
         if not ids:
             break
-        table = spark.createDataFrame([(i,) for i in ids], "vec_id long")
-        near = {r.vec_id: r.nbrs for r in graph.join(F.broadcast(table), "vec_id").select("vec_id", "nbrs").toLocalIterator()}
+        near = {i: n.tolist() for i, n in neighbours(ids).items()}
         for q, f in front.items():
             done[q].update(f)
         offer({q: sorted({n for i in f for n in near.get(i, ())} - done[q] - set(pools[q])) for q, f in front.items()})

@@ -379,3 +379,17 @@ def test_build_strings_are_parsed_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat(") == 1 and plan.count("as double") == 1
     assert [(r.vec_id, [tuple(g) for g in r.groups], r.v) for r in rows.orderBy("vec_id").collect()] == [(i, [(0, 0), (1, 2)], [0.5, float(i)]) for i in range(3)]
+
+
+def test_a_walk_fetches_in_one_job(spark, monkeypatch):
+    from nearfield.operators import graph
+
+    table = spark.createDataFrame([(i, [i, i + 1]) for i in range(40)], "vec_id long, nbrs array<long>").repartition(8, "vec_id").persist()
+    rows = graph._Rows(table, "nbrs")
+    assert {i: n.tolist() for i, n in rows(list(range(30))).items()} == {i: [i, i + 1] for i in range(30)}
+    rows.table = None  # no more is fetched of what is known
+    assert rows([3, 5])[5].tolist() == [5, 6]
+    monkeypatch.setattr(graph, "KEPT", 4)
+    few = graph._Rows(table, "nbrs")
+    assert len(few(list(range(30)))) == 30 and len(few.known) == 4 and len(few([7, 99])) == 1
+    table.unpersist()
