@@ -82,10 +82,10 @@ def bytes_table(lut: np.ndarray) -> tuple[np.ndarray, float, float]:
     return np.floor((lut - lo[:, None]) * a).astype(np.int64), float(a), float(lo.sum())
 
 
-def adc(coded: DataFrame, entries: list[Entry], centres: np.ndarray, mode: str = "plain", centroids: dict | None = None, group: str | None = None, digits: int = 9, key: str = "vec_id", distinct: bool = False) -> DataFrame:
+def adc(coded: DataFrame, entries: list[Entry], centres: np.ndarray, mode: str = "plain", centroids: dict | None = None, group: str | None = None, digits: int = 9, key: str = "vec_id", distinct: bool = False, also: tuple | None = None) -> DataFrame:
     """(pool, key, dist) from codes. ``mode``: plain look-up tables; residual (the entry's group is a slot; the
     table is of the query less the slot's centroid); terms (the same distance as |q - C|^2, in ``offset``, and
-    |y|^2 + 2 C.y - 2 q.y, of which the middle terms depend on the slot alone); fast (tables in bytes)."""
+    |y|^2 + 2 C.y - 2 q.y, of which the middle terms depend on the slot alone); fast (tables in bytes). ``also``: as in ``scan``, such as the exact distances of the rows that are kept."""
 
     def built(slot):
         c = np.asarray(centroids[slot], float).reshape(centres.shape[0], 1, centres.shape[2])
@@ -107,7 +107,7 @@ def adc(coded: DataFrame, entries: list[Entry], centres: np.ndarray, mode: str =
             return np.round(gathered(q, rows) / a + b, digits)
         return np.round(gathered(lut, rows), digits)
 
-    return scan(coded, entries, kernel, prepare, key=key, vec="codes", group=group, kind=np.int64, distinct=distinct)
+    return scan(coded, entries, kernel, prepare, key=key, vec="codes", group=group, kind=np.int64, distinct=distinct, also=also)
 
 
 def lookup(queries: DataFrame, centres: np.ndarray, fast: bool = False) -> DataFrame:

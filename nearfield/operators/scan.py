@@ -68,27 +68,32 @@ def best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(dist))
 
 
-def scan(rows: DataFrame, entries: list[Entry], kernel, prepare=None, key: str = "vec_id", vec: str = "v", group: Column | str | None = None, kind=float, distinct: bool = False, check: bool = True) -> DataFrame:
+def scan(rows: DataFrame, entries: list[Entry], kernel, prepare=None, key: str = "vec_id", vec: str = "v", group: Column | str | None = None, kind=float, distinct: bool = False, check: bool = True, also: tuple | None = None) -> DataFrame:
     """(pool, key, dist) with each pool's k nearest rows of each task: a superset of the k nearest of all.
 
     ``kernel(q, x)`` gives the distances of a prepared query and a matrix of rows, or a pair (distances, ranks):
     then there is a column rank. ``prepare(entry)`` makes what the kernel gets in place of the vector; with an
     attribute ``by_group`` it is asked for each group of a ``Chosen`` set.
     ``distinct``: a row that a pool meets in several groups counts once.
+    ``also``: (column, kernel) of a second vector of the rows; there is a column also with that kernel's distance
+    between an entry's vector and it, taken of the rows that are kept only. Rows without it are no candidates.
     """
     paired = bool(getattr(kernel, "paired", False))
-    names = ["pool", key, "dist", *(["rank"] if paired else [])]
-    kinds = f"pool long, {key} long, dist double" + (", rank double" if paired else "")
+    added = [*(["rank"] if paired else []), *(["also"] if also else [])]
+    names = ["pool", key, "dist", *added]
+    kinds = f"pool long, {key} long, dist double" + "".join(f", {c} double" for c in added)
     rows = rows.where(F.col(vec).isNotNull())
+    if also:
+        rows = rows.where(F.col(also[0]).isNotNull())
     grouped = group is not None
-    picked = rows.select(F.col(key).cast("long").alias(key), vec, *([(F.col(group) if isinstance(group, str) else group).cast("long").alias("group_")] if grouped else []))
+    picked = rows.select(F.col(key).cast("long").alias(key), vec, *([F.col(also[0]).alias("also_")] if also else []), *([(F.col(group) if isinstance(group, str) else group).cast("long").alias("group_")] if grouped else []))
     if grouped:
         wanted = _listed(entries)
         if wanted is not None:
             picked = picked.where(F.col("group_").isin(wanted))  # prunes the partitions of a saved index
     out = None
     for a in range(0, max(1, len(entries)), BLOCK):
-        part = picked.mapInArrow(_scanner(entries[a : a + BLOCK], kernel, prepare, key, vec, grouped, kind, distinct, names, paired, check, prepare is None and kind is float and kernel is KERNELS["squared_euclidean"]), kinds)
+        part = picked.mapInArrow(_scanner(entries[a : a + BLOCK], kernel, prepare, key, vec, grouped, kind, distinct, names, paired, check, also and also[1], prepare is None and kind is float and kernel is KERNELS["squared_euclidean"]), kinds)
         out = part if out is None else out.union(part)
     return out
 
@@ -109,7 +114,7 @@ def _listed(entries: list[Entry]) -> list[int] | None:
     return sorted(single) if len(single) <= LISTED else None
 
 
-def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names, paired, check, euclidean):
+def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names, paired, check, second, euclidean):
     def run(batches):
         by_slot = getattr(prepare, "by_group", False)
         ready = [None if by_slot and isinstance(e.group, Chosen) else prepare(e) if prepare else np.asarray(e.vector, kind) for e in entries]
@@ -122,16 +127,20 @@ def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names,
                 by_group.setdefault(e.group, []).append(i)
         kept: dict[int, list] = {}
 
-        def offer(i: int, x: np.ndarray, own: np.ndarray, once: bool = False, q=None) -> None:
-            """``once``: no key is there twice."""
+        def offer(i: int, x: np.ndarray, own: np.ndarray, z: np.ndarray | None = None, once: bool = False, q=None) -> None:
+            """``z``: the rows' second vectors, if there are any. ``once``: no key is there twice."""
             e, q = entries[i], ready[i] if q is None else q
             if check and prepare is None and x.shape[1] != len(q):
                 raise ValueError(f"queries have {len(q)} dimensions, vectors {x.shape[1]}")
+            if check and z is not None and z.shape[1] != len(e.vector):
+                raise ValueError(f"queries have {len(e.vector)} dimensions, vectors {z.shape[1]}")
             found = kernel(q, x)
             d, more = found if paired else (found, None)
             near = best(d, own, e.k) if once or not distinct else np.arange(len(d))
-            new = [d[near] + e.offset, own[near], *([more[near]] if paired else [])]
             old = kept.get(e.pool)
+            if z is not None and old is not None and len(old[0]) == e.k > 0:
+                near = near[d[near] + e.offset <= old[0].max()]  # others aren't kept
+            new = [d[near] + e.offset, own[near], *([more[near]] if paired else []), *([second(np.asarray(e.vector, float), z[near])] if z is not None else [])]
             both = new if old is None else [np.append(x, y) for x, y in zip(old, new, strict=True)]
             if distinct:
                 order = np.lexsort((both[0], both[1]))
@@ -166,7 +175,7 @@ def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names,
 
             return close
 
-        def offer_sets(x: np.ndarray, own: np.ndarray, g: np.ndarray) -> None:
+        def offer_sets(x: np.ndarray, own: np.ndarray, z: np.ndarray | None, g: np.ndarray) -> None:
             names, at = np.unique(g, return_inverse=True)
             for labels, members in sets.values():
                 places = np.minimum(np.searchsorted(labels, names), max(0, len(labels) - 1))
@@ -175,6 +184,7 @@ def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names,
                 if not len(rows):
                     continue
                 y, keys, of = (x, own, at) if len(rows) == len(x) else (x[rows], own[rows], at[rows])
+                w = z if z is None or len(rows) == len(x) else z[rows]
                 once = distinct and len(np.unique(keys)) == len(keys)
                 close = products(members, y) if euclidean and (once or not distinct) else None
                 for i in members:
@@ -185,18 +195,19 @@ def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names,
                     if by_slot:
                         for n in np.flatnonzero(chosen).tolist():
                             part = near[of[near] == n]
-                            offer(i, y[part], keys[part], once, prepare(replace(entries[i], group=int(names[n]))))
+                            offer(i, y[part], keys[part], w if w is None else w[part], once, prepare(replace(entries[i], group=int(names[n]))))
                     elif len(near) == len(y):
-                        offer(i, y, keys, once)
+                        offer(i, y, keys, w, once)
                     elif len(near):
-                        offer(i, y[near], keys[near], once)
+                        offer(i, y[near], keys[near], w if w is None else w[near], once)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, own = matrix(batch.column(vec), kind), np.asarray(batch.column(key))
+            z = matrix(batch.column("also_")) if second else None
             for i in by_group.get(EVERY, ()):
-                offer(i, x, own)
+                offer(i, x, own, z)
             if grouped:
                 g = batch.column("group_").to_numpy(zero_copy_only=False)
                 order = np.argsort(g, kind="stable")
@@ -205,11 +216,11 @@ def _scanner(entries, kernel, prepare, key, vec, grouped, kind, distinct, names,
                     if members := by_group.get(int(g[order[a]])):
                         near = order[a:b]
                         for i in members:
-                            offer(i, x[near], own[near])
+                            offer(i, x[near], own[near], z if z is None else z[near])
                 if sets:
-                    offer_sets(x, own, g)
+                    offer_sets(x, own, z, g)
         pools = list(kept)
-        columns = [np.repeat(np.array(pools, np.int64), [len(kept[p][0]) for p in pools]), *(np.concatenate([np.zeros(0, t), *(kept[p][c] for p in pools)]) for c, t in ((1, np.int64), (0, float), *(((2, float),) if paired else ())))]
+        columns = [np.repeat(np.array(pools, np.int64), [len(kept[p][0]) for p in pools]), *(np.concatenate([np.zeros(0, t), *(kept[p][c] for p in pools)]) for c, t in ((1, np.int64), (0, float), *((c, float) for c in range(2, len(names) - 1))))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return run

@@ -246,10 +246,11 @@ class Searcher:
         wide = [Entry(e.pool, e.vector, max(e.k, s.pq_scan_num), e.group) for e in entries]
         centroids = {slot * AGES: v for labels, c in self.sets.values() for slot, v in zip(labels.tolist(), c, strict=True)} if s.residual else None
         mode = "residual" if s.residual else "fast" if s.kind == "IvfFastScan" else "plain"
-        near = pq.adc(rows, wide, centres, mode, centroids, group, distinct=True)
+        # the rows have their vectors beside the codes: tasks take the exact distances of what they keep, so that candidates
+        # neither come to the driver nor are met with the vectors again
+        near = pq.adc(rows, wide, centres, mode, centroids, group, distinct=True, also=("v", kernel))
         near = topk.top_k(near, s.pq_scan_num, ["pool"])
-        features = rows.select("vec_id", "v").dropDuplicates(["vec_id"])
-        return pq.refine(near, features, [Entry(n, p[4], p[2]) for n, p in enumerate(pools)], max((p[2] for p in pools), default=0), kernel).drop("rk")
+        return near.groupBy("pool", "vec_id").agg(F.min("also").alias("dist"))
 
     def _graph(self, rows, pools):
         """A graph for each group that the queries ask for, built from its rows; groups up to the threshold are scanned."""

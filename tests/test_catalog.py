@@ -393,3 +393,30 @@ def test_a_walk_fetches_in_one_job(spark, monkeypatch):
     few = graph._Rows(table, "nbrs")
     assert len(few(list(range(30)))) == 30 and len(few.known) == 4 and len(few([7, 99])) == 1
     table.unpersist()
+
+
+def test_candidates_of_codes_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from nearfield.functions import metrics
+    from nearfield.operators import pq
+    from nearfield.operators.scan import Entry
+    from nearfield.plans import engine
+
+    t = catalog.T(spark, DIR)
+    found = catalog.queries()["group_ivfpq_string"](spark, DIR)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # one pass over the postings' vectors, no candidates sent to them
+    assert plan.count("MapInArrow") == 1
+    # distances of the second vector are those of a scan of the rows themselves
+    coded = pq.codes(t.base.withColumn("x", F.col("v")), t.book, "x")
+    asked = [Entry(qid, np.array(v), 7) for qid, v, _ in t.asked]
+    kernel = metrics.KERNELS["squared_euclidean"]
+    got = pq.adc(coded, asked, t.book, also=("v", kernel)).collect()
+    vectors = {r.vec_id: np.array(r.v)[None] for r in t.base.collect()}
+    queries = {qid: np.array(v) for qid, v, _ in t.asked}
+    assert got and all(r["also"] == kernel(queries[r.pool], vectors[r.vec_id])[0] for r in got)
+    plain = pq.adc(coded, asked, t.book).collect()
+    assert sorted((r.pool, r.vec_id, r.dist) for r in got) == sorted((r.pool, r.vec_id, r.dist) for r in plain)
+    with pytest.raises(Exception, match="queries have 63 dimensions"):
+        engine.scan(coded, [Entry(0, np.zeros(63), 1)], lambda q, x: x[:, 0].astype(float), lambda e: e, vec="codes", kind=np.int64, also=("v", kernel)).collect()
