@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from operator import add
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -45,14 +46,21 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
 
 
-def _table_ids(table: WordTable, spaced: WordTable, text: bytes) -> bytes:
-    """White space outside ASCII can join a run of spaces that the words are cut at; such texts are encoded whole."""
-    if not text.isascii() and WIDE_SPACE.search(text.decode("utf-8", "replace")):
-        return np.array(table.t.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, table.type).tobytes()
-    if single_spaced(text):
-        first, *rest = text.split(b" ")
-        return (table.join([first]) if first else b"") + spaced.join(rest)
-    return table.join(led(text))
+def _table_ids(table: WordTable, spaced: WordTable, texts: list[bytes]) -> list[bytes]:
+    """The packed ids of each text. White space outside ASCII can join a run of spaces that the words are cut at; such
+    texts are encoded whole. The words after single spaces are looked up for all texts at once."""
+    heads, rests = [], []
+    for text in texts:
+        rest = []
+        if not text.isascii() and WIDE_SPACE.search(text.decode("utf-8", "replace")):
+            heads.append(np.array(table.t.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, table.type).tobytes())
+        elif single_spaced(text):
+            first, *rest = text.split(b" ")
+            heads.append(table.join([first]) if first else b"")
+        else:
+            heads.append(table.join(led(text)))
+        rests.append(rest)
+    return list(map(add, heads, spaced.join_all(rests)))
 
 
 class _Sequences:
@@ -110,7 +118,7 @@ def write(docs: DataFrame, path: str, vocab: str, end_id: int, length: int = LEN
                     sequences = _Sequences(sinks[0], table.type, length, batch_rows)
                     index = pa.ipc.new_stream(sinks[1], DOCS)
                     end = np.array([end_id], table.type).tobytes()
-                packed = [_table_ids(table, spaced, t) + end for t in _texts(rows)]
+                packed = [p + end for p in _table_ids(table, spaced, list(_texts(rows)))]
                 counts = np.array([len(p) // table.type.itemsize for p in packed])
                 sequences.add(np.frombuffer(b"".join(packed), table.type))
                 index.write_batch(pa.record_batch([rows.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))

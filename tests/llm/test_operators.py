@@ -592,3 +592,31 @@ def test_storage(spark):
     assert storage.spare(["A", "a_"], "a") == "a__"
     with pytest.raises(ValueError):
         storage.open_fs("wasb://x/y")
+
+
+def test_missing_words_are_encoded_together():
+    from nearfield.llm import token_files, wordtable
+
+    path = word_bpe.vocabulary(token_files.VOCABULARY)
+    t = wordtable.tokenizer(path)
+
+    class Counted:
+        texts = 0
+
+        def __getattr__(self, name):
+            return getattr(t, name)
+
+        def encode_batch_fast(self, texts, **more):
+            Counted.texts += len(texts)
+            return t.encode_batch_fast(texts, **more)
+
+    table, spaced = wordtable.WordTable(path), wordtable.WordTable(path, " ")
+    spaced.t = Counted()
+    many = " ".join(f"wort{i}" for i in range(2000))
+    texts = ["a", "", " ", " a", "a ", "a  b", "a\n b", "a \nb", "a\t \tb", "\n", " \n", "x 's it's", "a <|endoftext|> b", "<|endoftext|>", "a  b", "Ġ Ġx", "é é ́", "\U0001f600 1 2,3", "z\r\nq\x0b w\x0c", "\x1c \x1c", many, many + " neu"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, table.type).tobytes() for x in texts]
+    assert token_files._table_ids(table, spaced, [x.encode() for x in texts]) == want
+    assert Counted.texts < 50  # not one for each of 2000 words
+    few = wordtable.WordTable(path, " ", 10)  # words that the table lost amid the texts come back
+    assert [token_files._table_ids(table, few, [x.encode()])[0] for x in texts * 2] == want * 2
+    assert token_files._table_ids(table, few, [x.encode() for x in texts]) == want
